@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import line_dedup
+from panelspark.llm import line_dedup, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": line_dedup.SQL,
+    "op10_quality_rules": quality_rules.SQL,
 }
