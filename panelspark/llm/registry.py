@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import line_dedup, packing, quality_rules
+from panelspark.llm import language_id, license_scan, line_dedup, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_license_scan": license_scan.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
