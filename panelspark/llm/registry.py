@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import language_id, license_scan, line_dedup, packing, quality_rules
+from panelspark.llm import chat_format, language_id, license_scan, line_dedup, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_formatting": chat_format.op2_chat_formatting,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_license_scan": license_scan.op4_license_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat_formatting": chat_format.SQL,
     "op4_license_scan": license_scan.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
