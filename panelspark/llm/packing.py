@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from panelspark.llm.common import partitions, stash
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers; a full memory starts anew.
-CACHE_WORDS = 200_000
+#: Words whose ids a worker remembers in each of two generations.
+CACHE_WORDS = 250_000
 
 Group = tuple[list[tuple[int, int]], int]  # a bin's (length, how often), and how many such bins
 
@@ -38,7 +39,10 @@ class WordIds(dict):
     """Token ids of a word as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words, one after the other.
+    are those of its words, one after the other. Nor does it join a letter with
+    the mark after it, and it lower-cases; so most new words are known without
+    their last mark or in lower case. A full generation of words becomes the old
+    one, from which words that occur again return.
     """
 
     def __init__(self, path: str):
@@ -46,22 +50,38 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if len(word) > 1 and word[-1] in ".,;:" and word[-2].isalpha():
+                found = self[word[:-1]] + self[word[-1]]
+            elif "<|" not in word and word and max(word) < "\u0250" and (low := word.lower()) != word:
+                found = self[low]
+            else:
+                found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        self[word] = found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """A worker's own memory, kept from task to task."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(tokenizer)
+        known = word_ids(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
