@@ -26,6 +26,9 @@ END_ID = 1
 #: Words whose ids a worker remembers in each of two generations.
 CACHE_WORDS = 250_000
 
+#: Below it every letter's lower case is one letter.
+_PLAIN = "\u0130"
+
 Group = tuple[list[tuple[int, int]], int]  # a bin's (length, how often), and how many such bins
 
 
@@ -55,9 +58,9 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            if len(word) > 1 and word[-1] in ".,;:" and word[-2].isalpha():
+            if len(word) > 1 and word[-1] in ".,;:" and word[-2].isalpha() and word[-2] < _PLAIN:
                 found = self[word[:-1]] + self[word[-1]]
-            elif "<|" not in word and word and max(word) < "\u0250" and (low := word.lower()) != word:
+            elif "<|" not in word and word and max(word) < _PLAIN and (low := word.lower()) != word:
                 found = self[low]
             else:
                 found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
