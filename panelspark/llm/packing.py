@@ -28,6 +28,7 @@ CACHE_WORDS = 250_000
 
 #: Below it every letter's lower case is one letter.
 _PLAIN = "\u0130"
+MARKS = ".,;:!?#$%&*"
 
 Group = tuple[list[tuple[int, int]], int]  # a bin's (length, how often), and how many such bins
 
@@ -43,9 +44,10 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words, one after the other. Nor does it join a letter with
-    the mark after it, and it lower-cases; so most new words are known without
-    their last mark or in lower case. A full generation of words becomes the old
-    one, from which words that occur again return.
+    the marks after it, and it lower-cases; so most new words are known without
+    their last marks or in lower case, and new words of letters alone are encoded
+    many at a time. A full generation of words becomes the old one, from which
+    words that occur again return.
     """
 
     def __init__(self, path: str):
@@ -58,20 +60,49 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            if len(word) > 1 and word[-1] in ".,;:" and word[-2].isalpha() and word[-2] < _PLAIN:
-                found = self[word[:-1]] + self[word[-1]]
+            base = _without_marks(word)
+            if base is not None:
+                found = self[base] + self[word[len(base) :]]
             elif "<|" not in word and word and max(word) < _PLAIN and (low := word.lower()) != word:
                 found = self[low]
             else:
                 found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
         self[word] = found
         return found
 
+    def learn(self, words: set[str]) -> None:
+        """Encodes the new words of letters alone, one token group each, together."""
+        new = set()
+        for word in words:
+            if word not in self and word not in self.old:
+                base = _without_marks(word) or word
+                if base.isalpha() and max(base) < _PLAIN:
+                    new.add(base.lower())
+        bases = [w for w in new if w not in self and w not in self.old]
+        if not bases:
+            return
+        made = self.tokenizer.encode(" ".join(bases), add_special_tokens=False)
+        ids, at = np.array(made.ids, "<u4"), np.array(made.word_ids, np.int64)
+        cuts = np.searchsorted(at, np.arange(len(bases) + 1))
+        data = ids.tobytes()
+        for k, word in enumerate(bases):
+            self[word] = data[4 * cuts[k] : 4 * cuts[k + 1]]
+
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        words = text.replace("\n", " ").split(" ")
+        self.learn(set(words))
+        return b"".join(map(self.__getitem__, words))
+
+
+def _without_marks(word: str) -> str | None:
+    """A word that ends with a plain letter and MARKS, without the marks (one token group of their own)."""
+    base = word.rstrip(MARKS)
+    if base and len(base) < len(word) and base[-1].isalpha() and base[-1] < _PLAIN:
+        return base
+    return None
 
 
 @lru_cache(maxsize=1)
