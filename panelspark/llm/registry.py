@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import chat_format, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, quality_rules
+from panelspark.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": chat_format.op2_chat_formatting,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
+    "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_language_id": language_id.op9_language_id,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat_format.SQL,
     "op4_license_scan": license_scan.SQL,
+    "op6_benchmark_decontamination": decontaminate.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
