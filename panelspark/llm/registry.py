@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, quality_rules
+from panelspark.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": substring_dedup.op1_suffix_array_dedup,
     "op2_chat_formatting": chat_format.op2_chat_formatting,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_license_scan": license_scan.op4_license_scan,
