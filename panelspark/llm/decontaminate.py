@@ -63,16 +63,28 @@ def _blocks(fp: str) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """`doc_id`, `item_id`, `start` (word offset of the first best window) and `similarity`, a row for each document row and item that reach SIMILARITY.
+    """`doc_id`, `item_id`, `start` and `similarity` of each document row and item that match, see `leaked_texts`. Null ids stay."""
+    best = leaked_texts(docs, benchmark, text_col, item_col, item_text)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"))
+    return own.join(best, "key").select("doc_id", "item_id", "start", "similarity")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs` without a match, whatever their ids."""
+    gone = leaked_texts(docs, benchmark, text_col, item_col, item_text).select(F.col("key").alias("__key")).distinct()
+    return docs.join(gone, text_key(F.col(text_col)) == F.col("__key"), "left_anti")
+
+
+def leaked_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """`key` (content key of a text), `item_id`, `start` (word offset of the first best window) and `similarity`, a row for each distinct text and item that reach SIMILARITY.
 
     Words are lower-cased runs of letters and digits, shingles are WORDS of them.
     The similarity of a window and an item is the sum of the least over the sum of
     the greatest counts of each shingle. Null or empty texts and items match
     nothing; items shorter than a shingle match only such documents. Equal items
-    each match. Repeated rows repeat their matches; null ids stay. Extra columns
-    are ignored, and an empty table on either side gives no rows.
+    each match. Repeated rows are one text. Extra columns are ignored, and an empty table on either side gives no rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    own = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words(F.col(item_text)).alias("w")).withColumn("item", F.monotonically_increasing_id())
     parts = stash(shingles(items.withColumn("size", F.greatest(F.size("w") - WORDS + 1, F.lit(1))), ["item", "item_id", "size"], "w"), "items")
     counts = parts.groupBy("item", "sh").agg(F.count(F.lit(1)).alias("n"))
@@ -108,8 +120,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     both = near.join(have, ["key", "size", "start"]).join(small(counts), ["item", "sh"]).groupBy("key", "size", "start", "item", "item_id").agg(F.sum(F.least("m", "n")).alias("shared"))
     both = both.join(total, ["key", "size", "start"]).withColumn("similarity", F.col("shared") / (F.col("all") + F.col("size") - F.col("shared")))
     best = both.filter(F.col("similarity") >= SIMILARITY).groupBy("key", "item", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("best"))
-    best = best.select("key", "item_id", (-F.col("best")["col2"]).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
-    return own.select("doc_id", "key").join(best, "key").select("doc_id", "item_id", "start", "similarity")
+    return best.select("key", "item_id", (-F.col("best")["col2"]).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

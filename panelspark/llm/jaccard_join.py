@@ -291,11 +291,11 @@ def verify(members: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of `docs`: `doc_id`, `digest`, `class_id` and `n_links`.
+    """A row for each row of `docs`: `doc_id`, `digest`, `class_key`, `class_id` and `n_links`.
 
     Two rows are linked if the Jaccard similarity of their shingle sets (see
     `shingles`) is 4/5 or more. `class_id` is the least doc_id of all that links
-    connect; `n_links` counts the other rows a row is linked to, copies included.
+    connect, `class_key` (null without words) tells classes apart by content; `n_links` counts the other rows a row is linked to, copies included.
     Null, empty and blank texts have no shingles and no links: each such row is
     its own class. Rows without an id take part; a class of nothing else has a
     null class_id. Repeated rows are copies of each other. Extra columns are
@@ -314,9 +314,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = linked.groupBy("id").agg(F.sum("links").alias("links"))
     labels = stash(sets.select("id", "first_id", "copies").join(classes, "id", "left").join(links, "id", "left").select("id", "first_id", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "labels")
     least = labels.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    labels = labels.join(least, "root").select(F.col("id").alias("digest"), "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
+    labels = labels.join(least, "root").select(F.col("id").alias("digest"), F.col("root").alias("class_key"), "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
     out = base.select("doc_id", "digest").join(labels, "digest", "left")
-    return out.select("doc_id", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "digest", "class_key", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _with_shingles(docs: DataFrame, want: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -341,5 +341,35 @@ def _with_shingles(docs: DataFrame, want: DataFrame, id_col: str, text_col: str)
     return once.join(again, "id", "left_anti").unionByName(extra.select(*once.columns))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay if one of each class does: that of the least id.
+
+    Rows without words all stay. Where the least id stands on several rows of a
+    class, or no row of it has an id, any one of them stays.
+    """
+    labels = stash(near_duplicates(docs, id_col, text_col), "classes")
+    lead = labels.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("digest").isNotNull())
+    odd = stash(lead.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("doc_id").isNull() | (F.col("n") > 1)).select(F.col("doc_id").alias("__odd")), "odd")
+    gone = labels.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    own = F.col(id_col).cast("long")
+    if odd.isEmpty():
+        return docs.join(gone, own.eqNullSafe(F.col("__gone")), "left_anti")
+    gone = gone.join(odd, F.col("__gone").eqNullSafe(F.col("__odd")), "left_anti")
+    plain = docs.join(gone, own.eqNullSafe(F.col("__gone")), "left_anti").join(odd, own.eqNullSafe(F.col("__odd")), "left_anti")
+    names = docs.columns
+    at = names.index(text_col)
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())], [*names, "__digest"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = docs.join(odd, own.eqNullSafe(F.col("__odd")), "left_semi").mapInArrow(digested, f"{fields}, __digest binary")
+    classes = lead.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("class_key").alias("__class")).distinct()
+    several = rows.join(classes, (F.col("__digest") == F.col("__d")) & own.eqNullSafe(F.col("__id"))).dropDuplicates(["__class"])
+    return plain.unionByName(rows.filter(F.col("__digest").isNull()).select(*names)).unionByName(several.select(*names))
+
+
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links")
