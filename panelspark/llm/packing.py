@@ -10,6 +10,7 @@ table of runs; each piece finds its slot by its rank among pieces of its length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,6 +40,11 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: A plain text has letters below _PLAIN only, no special token, and each full
+#: stop or comma stands by itself between letters, digits or spaces.
+_not_plain = re.compile(r"[.,<\x1c-\x1f\u0130-\U0010ffff](?:(?<=[^.,<])|(?<=<)(?=\|)|(?<=[.,])(?![^\W_]|[ \n]|\Z)|(?<=[.,])(?<![^\W_][.,]))")
+
+
 class WordIds(dict):
     """Token ids of a word as little-endian uint32 bytes.
 
@@ -52,9 +58,12 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)  # the same vocabulary for lower-case words of letters, which need no normalising
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
@@ -72,27 +81,25 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         """Encodes the new words of letters alone, one token group each, together."""
-        new = set()
-        for word in words:
-            if word not in self and word not in self.old:
-                base = _without_marks(word) or word
-                if base.isalpha() and max(base) < _PLAIN:
-                    new.add(base.lower())
-        bases = [w for w in new if w not in self and w not in self.old]
+        old = self.old
+        bases = {(_without_marks(w) or w).lower() for w in words if w not in self and w not in old}
+        bases = [w for w in bases if w not in self and w not in old and w.isalpha() and max(w) < _PLAIN]
         if not bases:
             return
-        made = self.tokenizer.encode(" ".join(bases), add_special_tokens=False)
-        ids, at = np.array(made.ids, "<u4"), np.array(made.word_ids, np.int64)
-        cuts = np.searchsorted(at, np.arange(len(bases) + 1))
-        data = ids.tobytes()
-        for k, word in enumerate(bases):
-            self[word] = data[4 * cuts[k] : 4 * cuts[k + 1]]
+        made = self.plain.encode(" ".join(bases), add_special_tokens=False)
+        at = np.array(made.word_ids, np.int64)
+        cuts = (4 * np.searchsorted(at, np.arange(len(bases) + 1))).tolist()
+        data = np.array(made.ids, "<u4").tobytes()
+        self.update(zip(bases, (data[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)), strict=True))
 
     def ids(self, text: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        words = text.replace("\n", " ").split(" ")
+        if _not_plain.search(text) is None:
+            words = text.lower().replace(".", " . ").replace(",", " , ").split()
+        else:
+            words = text.replace("\n", " ").split(" ")
         self.learn(set(words))
         return b"".join(map(self.__getitem__, words))
 
