@@ -6,9 +6,10 @@ agree in one block at least, so joining on the blocks misses none of them. What
 the join finds is verified exactly by the weighted similarity of the shingles.
 
 Which windows? A window that begins with a shingle of no item of its size can
-move one word on: it loses nothing that it shares. So the best window begins with
-a shared shingle, and only those are fingerprinted; they are found by one hash
-join of all shingles of all documents with the shingles of the benchmark.
+move one word on: it loses nothing that it shares. So a best window begins with
+a shared shingle, and holds as many as SIMILARITY asks for. Only such windows are
+fingerprinted; one hash join of all shingles of all documents with those of the
+benchmark finds them.
 """
 
 from __future__ import annotations
@@ -46,6 +47,28 @@ def shingles(rows: DataFrame, keep: list[str], own: str) -> DataFrame:
     return out.filter((F.col("pos") <= F.col("__n") - WORDS) | ((F.col("pos") == 0) & (F.col("__n") > 0))).select(*keep, "pos", F.xxhash64(*[F.col(f"g.w{i}") for i in range(WORDS)]).alias("sh"))
 
 
+def _hashes(own: Column) -> Column:
+    """All shingles of a word array as an array of the same hashes (fewer words than a shingle has: one)."""
+    grams = F.transform(_grams(own), lambda g: F.xxhash64(*[g[f"w{i}"] for i in range(WORDS)]))
+    return F.slice(grams, 1, F.greatest(F.size(own) - WORDS + 1, F.lit(1)))
+
+
+def _starts(places: str, size: str) -> Column:
+    """Of an item's places in a text those where a window may reach SIMILARITY.
+
+    The window must hold enough places. And where the shingle before it is shared
+    too but its last one is not, the window one to the left is no worse.
+    """
+    need = F.ceil(F.lit(SIMILARITY) * F.col(size) - 1e-9).cast("int")
+
+    def good(x: Column, i: Column) -> Column:
+        enough = F.coalesce(F.get(F.col(places), i + need - 1) < x + F.col(size), F.lit(False))
+        before = F.coalesce(F.get(F.col(places), i - 1) == x - 1, F.lit(False))
+        return enough & (~before | F.array_contains(F.slice(places, i + 1, F.col(size)), x + F.col(size) - 1))
+
+    return F.filter(places, good)
+
+
 def _fingerprint(rows: DataFrame, by: list[str]) -> DataFrame:
     """SimHash of the shingles (weight: how often they occur) of each group: `fp`, BITS bits."""
     votes = [F.sum(2 * F.shiftright("sh", i).bitwiseAND(F.lit(1)) - 1).alias(f"b{i}") for i in range(BITS)]
@@ -84,29 +107,27 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     nothing; items shorter than a shingle match only such documents. Equal items
     each match. Repeated rows are one text. Extra columns are ignored, and an empty table on either side gives no rows.
     """
-    own = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    own = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words(F.col(item_text)).alias("w")).withColumn("item", F.monotonically_increasing_id())
     parts = stash(shingles(items.withColumn("size", F.greatest(F.size("w") - WORDS + 1, F.lit(1))), ["item", "item_id", "size"], "w"), "items")
     counts = parts.groupBy("item", "sh").agg(F.count(F.lit(1)).alias("n"))
-    known = parts.groupBy("sh").agg(F.count(F.lit(1)).alias("__k")).select("sh")
-    by_item = counts.join(parts.select("item", "item_id", "size").distinct(), "item")
+    by_item = parts.select("sh", "item", "size").distinct()
     few = parts.count() <= BROADCAST_SHINGLES
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
 
-    # Shared shingles, for each distinct text once; a document that shares too few with an item has no such window.
-    hits = shingles(own.select("key", words(F.col("text")).alias("w")), ["key"], "w").join(small(known), "sh", "left_semi").distinct()
-    hits = stash(hits, "hits")
-    found = hits.groupBy("key", "sh").agg(F.count(F.lit(1)).alias("m")).join(small(by_item), "sh")
-    found = found.groupBy("key", "item", "item_id", "size").agg(F.sum(F.least("m", "n")).alias("shared")).filter(F.col("shared") >= SIMILARITY * F.col("size"))
+    # Where a text shares shingles with an item: all of a row's places meet in its task, so little more than the matches is shuffled.
+    hits = shingles(own.select("key", words(F.col("text")).alias("w")), ["key"], "w").join(small(by_item), "sh")
+    hits = hits.groupBy("key", "item", "size").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+    found = hits.select("key", "size", _starts("p", "size").alias("starts")).filter(F.size("starts") > 0)
+    found = found.select("key", F.explode("starts").alias("start"), "size").groupBy("key").agg(F.collect_set(F.struct("size", "start")).alias("windows"))
     found = stash(found, "found")
-    # Windows of those documents, by the items' sizes and beginning with a shared shingle.
-    starts = hits.join(found.select("key", "item", "size"), "key").join(small(counts.select("item", "sh")), ["item", "sh"], "left_semi").select("key", "size", F.col("pos").alias("start")).distinct()
-    texts = own.select("key", "text").join(found.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("text").alias("text"))
-    stream = shingles(texts.select("key", words(F.col("text")).alias("w")), ["key"], "w")
-    at = starts.withColumn("pos", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))
-    windows = stash(at.join(stream, ["key", "pos"]).select("key", "size", "start", "sh"), "windows")
+    # The windows' shingles, read from the texts again; copies of a text give the same ones.
+    cut = own.join(found, "key").select("key", "windows", _hashes(words(F.col("text"))).alias("h"))
+    cut = cut.select("key", "h", F.explode("windows").alias("x")).select("key", "x.size", "x.start", F.slice("h", F.col("x.start") + 1, F.col("x.size")).alias("h"))
+    cut = stash(cut.groupBy("key", "size", "start").agg(F.first("h").alias("h")), "windows")
+    windows = cut.select("key", "size", "start", F.explode("h").alias("sh"))
     prints = _fingerprint(windows, ["key", "size", "start"])
     targets = _fingerprint(parts, ["item", "item_id", "size"]).withColumnRenamed("fp", "ifp")
     # Multi-index: equal in one block of RADIUS + 1 at least.
@@ -116,7 +137,7 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     near = near.select("key", "size", "start", "item", "item_id").distinct()
     # Exact: sum of the least over sum of the greatest counts.
     have = windows.groupBy("key", "size", "start", "sh").agg(F.count(F.lit(1)).alias("m"))
-    total = have.groupBy("key", "size", "start").agg(F.sum("m").alias("all"))
+    total = cut.select("key", "size", "start", F.size("h").alias("all"))
     both = near.join(have, ["key", "size", "start"]).join(small(counts), ["item", "sh"]).groupBy("key", "size", "start", "item", "item_id").agg(F.sum(F.least("m", "n")).alias("shared"))
     both = both.join(total, ["key", "size", "start"]).withColumn("similarity", F.col("shared") / (F.col("all") + F.col("size") - F.col("shared")))
     best = both.filter(F.col("similarity") >= SIMILARITY).groupBy("key", "item", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("best"))
