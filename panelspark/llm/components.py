@@ -19,8 +19,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     joins whose rows never outnumber the edges. The rounds grow with the log of
     the longest path. Self-loops are allowed; an empty edge table gives no rows.
     """
+    edges = stash(edges.select("u", "v").distinct(), "edges")
     nodes = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
-    now, mark = stash(edges.filter(F.col("u") != F.col("v")).distinct(), "edges"), None
+    now, mark = edges.filter(F.col("u") != F.col("v")), None
     for _ in range(max_rounds):
         # Large-star: every larger neighbour of u links to the least node around u.
         near = _both(now)

@@ -31,13 +31,15 @@ from panelspark.llm.components import components
 
 WORDS = 5
 THRESHOLD = (4, 5)  # similarity of 4 / 5 or more
-BANDS, ROWS = 28, 4
+BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: Signature lengths at which the posterior is looked at.
 STEPS = (16, 32, 64, HASHES)
 TOLERANCE = 1e-9
-BLOCK_ROWS = 256
-BLOCK_SHINGLES = 200_000
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1_000_000
+#: Ids of rows to read again up to which they are broadcast (8 bytes each); beyond, a shuffle join of the texts.
+BROADCAST_IDS = 2_000_000
 _seed = np.random.default_rng(20240229)
 _MULTIPLY = _seed.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _seed.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -201,7 +203,7 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
 
 def candidates(sets: DataFrame) -> DataFrame:
     """Edges (`u`, `v`) of forests over the pairs that share a bucket and survive pruning; `sets` has id, sig and bands."""
-    rows = stash(sets.select("id", F.explode("bands").alias("bucket")), "bands")
+    rows = sets.select("id", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
     sizes = stash(sizes.select("bucket", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("nb")), "buckets")
     many = rows.join(sizes.select("bucket"), "bucket", "left_semi").join(sets.select("id", "sig"), "id")
@@ -246,8 +248,8 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray,
         for k, (i, j) in enumerate(zip(a, b, strict=True)):
             inter[k] = len(np.intersect1d(left[i], right[j], assume_unique=True))
     else:
-        known = np.unique(np.concatenate(left))
-        known = known[np.isin(known, np.concatenate(right))]
+        known, often = np.unique(np.concatenate(left if left is right else [*left, *right]), return_counts=True)
+        known = known[often > 1]
         dense = np.zeros((len(left), len(right)), np.float32)
         for at in range(0, len(known), 4096):
             part = known[at : at + 4096]
@@ -281,7 +283,8 @@ def verify(members: DataFrame, sizes: DataFrame) -> DataFrame:
                 a, b = survivors(sig[left], sig[right])
                 if same:
                     a, b = a[a < b], b[a < b]
-                good = linked_pairs([sets[i] for i in left], [sets[i] for i in right], a, b)
+                ours = [sets[i] for i in left]
+                good = linked_pairs(ours, ours if same else [sets[i] for i in right], a, b)
                 a, b = left[a[good]], right[b[good]]
                 links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
                 label = _forest(len(ids), a, b)
@@ -322,6 +325,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _with_shingles(docs: DataFrame, want: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`want` with the shingles of its sets, read again from the text of each set's first row."""
     own = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
+    ids = stash(want.select(F.col("first_id").alias("i")).distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        own = own.join(F.broadcast(ids), F.col("d").eqNullSafe(F.col("i")), "left_semi")
     rows = own.join(want, F.col("d").eqNullSafe(F.col("first_id"))).select("comp", "id", "copies", "sig", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
