@@ -35,6 +35,7 @@ GRAM = 32
 #: Bytes of runs in a shard, about; and runs of one hash beyond which it is hot.
 SHARD_BYTES = 1_000_000
 HOT_RUNS = 1000
+SALTS = 32
 _CHUNK = 1 << 16
 
 
@@ -194,7 +195,10 @@ def _hot_spans(cut: DataFrame, length: int) -> DataFrame:
     every = cut.select("key", "s0", "bytes").mapInArrow(strings, "digest binary, key binary, s long")
     place = F.struct("key", "s")
     again = every.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("digest")
-    return every.join(again, "digest", "left_semi").select("key", F.col("s").alias("lo"), (F.col("s") + length).alias("hi"))
+    # A string may stand at most of the places: the join back is dealt by a salt too.
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    every = every.withColumn("salt", F.pmod(F.xxhash64("key", "s"), F.lit(SALTS)).cast("int"))
+    return every.join(again, ["digest", "salt"], "left_semi").select("key", F.col("s").alias("lo"), (F.col("s") + length).alias("hi"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
