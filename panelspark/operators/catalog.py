@@ -101,7 +101,7 @@ def batches(rows: DataFrame, order: str, size: str, max_size: int, max_rows: int
     """Adds `batch`: rows in order, a new batch where the next row would break a bound. Groups are independent."""
     import pandas as pd
 
-    schema = rows.schema.add("batch", "int")
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
 
     def cut(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable")
