@@ -25,7 +25,7 @@ from panelspark.llm.common import partitions, stash
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 #: Below it every letter's lower case is one letter.
 _PLAIN = "\u0130"
@@ -45,52 +45,52 @@ def default_tokenizer() -> str:
 _not_plain = re.compile(r"[.,<\x1c-\x1f\u0130-\U0010ffff](?:(?<=[^.,<])|(?<=<)(?=\|)|(?<=[.,])(?![^\W_]|[ \n]|\Z)|(?<=[.,])(?<![^\W_][.,]))")
 
 
+def _byte_symbols() -> dict[int, str]:
+    """The byte-level vocabulary's symbol of each byte: printable Latin-1 stands for itself, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
 class WordIds(dict):
     """Token ids of a word as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words, one after the other. Nor does it join a letter with
-    the marks after it, and it lower-cases; so most new words are known without
-    their last marks or in lower case, and new words of letters alone are encoded
-    many at a time. A full generation of words becomes the old one, from which
-    words that occur again return.
+    the marks after it, and it lower-cases; so most words are known without their
+    last marks or in lower case. A new lower-case word of letters goes straight to
+    the tokenizer's model, anything else through all of it. A full generation of
+    words becomes the old one, from which words that occur again return.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)  # the same vocabulary for lower-case words of letters, which need no normalising
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.model = self.tokenizer.model
+        self.symbols = _byte_symbols()
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            base = _without_marks(word)
-            if base is not None:
-                found = self[base] + self[word[len(base) :]]
-            elif "<|" not in word and word and max(word) < _PLAIN and (low := word.lower()) != word:
-                found = self[low]
-            else:
-                found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            found = self.learn(word)
         self[word] = found
         return found
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes the new words of letters alone, one token group each, together."""
-        old = self.old
-        bases = {(_without_marks(w) or w).lower() for w in words if w not in self and w not in old}
-        bases = [w for w in bases if w not in self and w not in old and w.isalpha() and max(w) < _PLAIN]
-        if not bases:
-            return
-        made = self.plain.encode(" ".join(bases), add_special_tokens=False)
-        at = np.array(made.word_ids, np.int64)
-        cuts = (4 * np.searchsorted(at, np.arange(len(bases) + 1))).tolist()
-        data = np.array(made.ids, "<u4").tobytes()
-        self.update(zip(bases, (data[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)), strict=True))
+    def learn(self, word: str) -> bytes:
+        if word.isalpha() and max(word) < _PLAIN:
+            low = word.lower()
+            if low != word:
+                return self[low]
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.symbols)
+            return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        base = _without_marks(word)
+        if base is not None:
+            return self[base] + self[word[len(base) :]]
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if len(self) >= CACHE_WORDS:
@@ -100,7 +100,6 @@ class WordIds(dict):
             words = text.lower().replace(".", " . ").replace(",", " , ").split()
         else:
             words = text.replace("\n", " ").split(" ")
-        self.learn(set(words))
         return b"".join(map(self.__getitem__, words))
 
 
