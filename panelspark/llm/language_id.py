@@ -21,6 +21,8 @@ PROFILE_SIZE = 400
 #: Languages beyond this many would make the broadcast profiles large.
 MAX_LANGUAGES = 2000
 _BITS = np.uint64(21)
+#: No letter, and not nothing: a padded pair is not a plain letter.
+PAD = 1
 
 
 def _letters() -> np.ndarray:
@@ -31,7 +33,7 @@ def _letters() -> np.ndarray:
 
 
 class Grams:
-    """N-grams of a text as integers: three code points of 21 bits, 0 for what isn't a letter."""
+    """N-grams of a text as integers: three code points of 21 bits, PAD for what isn't a letter."""
 
     def __init__(self):
         self.letters = _letters()
@@ -39,14 +41,14 @@ class Grams:
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams and how often they occur; none without a letter. Runs of other characters count as one pad."""
         code = np.frombuffer(f" {text or ''} ".lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.where(self.letters[code], code, 0).astype(np.uint64)
-        code = code[np.concatenate(([True], (code[1:] != 0) | (code[:-1] != 0)))]
+        code = np.where(self.letters[code], code, PAD).astype(np.uint64)
+        code = code[np.concatenate(([True], (code[1:] != PAD) | (code[:-1] != PAD)))]
         if len(code) < 2:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         two = (code[:-1] << _BITS) | code[1:]
         three = (two[:-1] << _BITS) | code[2:]
-        three = three[(code[1:-1] != 0)]  # a pad only at an end
-        return np.unique(np.concatenate((code[code != 0], two, three)), return_counts=True)
+        three = three[code[1:-1] != PAD]  # a pad only at an end
+        return np.unique(np.concatenate((code[code != PAD], two, three)), return_counts=True)
 
 
 def _ranked(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
