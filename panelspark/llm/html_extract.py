@@ -26,7 +26,7 @@ BROADCAST_HOSTS = 50_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-CONTAINERS = frozenset("body div section article main td center".split())
+CONTAINERS = frozenset("html body div section article main td center".split())
 PRUNED_TAGS = frozenset("head nav header footer aside form script style noscript template iframe object svg canvas select button textarea dialog menu fieldset audio video map".split())
 PRUNED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Parts of class or id names that mark something other than the article.
@@ -184,7 +184,7 @@ def best_container(found: list[tuple[str, Node, bool]]) -> Node | None:
 
     def worth(n: Node) -> float:
         words = {w.lower() for w in _words.findall(n.name)}
-        return n.score * (1.5 if n.tag in ("article", "main") else 1.25 if words & CONTENT_WORDS and n.tag != "body" else 1.0)
+        return n.score * (1.5 if n.tag in ("article", "main") else 1.25 if words & CONTENT_WORDS and n.tag not in ("html", "body") else 1.0)
 
     best = max(scored.values(), key=worth, default=None)
     for tag in ("article", "main"):

@@ -36,8 +36,8 @@ SPELLINGS = (
 #: A line that names a copyright holder or reserves rights says nothing about the licence.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright[^\p{L}\n]|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|©)[^\n]*$|^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 #: Each known text holds one of these; others need no canonical form.
-TEXT_MARK = r"(?i)software|licen[sc]|gpl"
-NOTICE_MARK = r"(?i)licen[sc]|gpl|public domain"
+NOTICE_MARK = r"(?i)licen[sc]|gpl|public domain|creative|cc0|(^|[^a-z])cc([^a-z]|$)"
+TEXT_MARK = NOTICE_MARK + "|software"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
