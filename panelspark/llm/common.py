@@ -2,46 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The six ASCII white-space code points of the `[\x20\x09-\x0D]` class.
-ASCII_SPACE = " \t\n\x0b\x0c\r"
+from panelspark.storage import stash
 
+__all__ = ["ASCII_SPACE", "partitions", "read_table", "stash", "text_key"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (local
-    tests) a temporary folder of this machine is set instead.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isDefined():
-        return context.getCheckpointDir().get()
-    made = "file://" + tempfile.mkdtemp(prefix="panelspark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: its lineage ends there.
-
-    The files go away with the application (Hadoop's deleteOnExit), so a lost
-    executor never costs more than re-reading them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/panelspark/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The six ASCII white-space code points of the `[\x20\x09-\x0D]` class.
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def partitions(spark: SparkSession) -> int:
