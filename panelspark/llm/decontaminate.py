@@ -123,10 +123,10 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     found = hits.select("key", "size", _starts("p", "size").alias("starts")).filter(F.size("starts") > 0)
     found = found.select("key", F.explode("starts").alias("start"), "size").groupBy("key").agg(F.collect_set(F.struct("size", "start")).alias("windows"))
     found = stash(found, "found")
-    # The windows' shingles, read from the texts again; copies of a text give the same ones.
-    cut = own.join(found, "key").select("key", "windows", _hashes(words(F.col("text"))).alias("h"))
-    cut = cut.select("key", "h", F.explode("windows").alias("x")).select("key", "x.size", "x.start", F.slice("h", F.col("x.start") + 1, F.col("x.size")).alias("h"))
-    cut = stash(cut.groupBy("key", "size", "start").agg(F.first("h").alias("h")), "windows")
+    # The windows' shingles, read from the texts again, each text once: copies meet in partial aggregates.
+    texts = own.groupBy("key").agg(F.first("text").alias("text")).join(found, "key")
+    cut = texts.select("key", "windows", _hashes(words(F.col("text"))).alias("h")).select("key", "h", F.explode("windows").alias("x"))
+    cut = stash(cut.select("key", "x.size", "x.start", F.slice("h", F.col("x.start") + 1, F.col("x.size")).alias("h")), "windows")
     windows = cut.select("key", "size", "start", F.explode("h").alias("sh"))
     prints = _fingerprint(windows, ["key", "size", "start"])
     targets = _fingerprint(parts, ["item", "item_id", "size"]).withColumnRenamed("fp", "ifp")
