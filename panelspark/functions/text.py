@@ -128,3 +128,14 @@ def to_millis(ts: Column) -> Column:
 
 def latex_escape(c: Column) -> Column:
     return F.regexp_replace(c, r"([&%$#_{}])", r"\\$1")
+
+
+def candidate_reason(c: Column, has_truth: Column) -> Column:
+    """Why a text is worth reading: a year in it, a known answer, or both; null if it is not."""
+    full = tidy(c).isNotNull()
+    return F.when(full & has_year(c) & has_truth, "year_and_truth").when(full & has_year(c), "year").when(full & has_truth, "truth")
+
+
+def without_suffix(c: Column, suffixes: list[str]) -> Column:
+    """A name without the first of the endings it has."""
+    return F.regexp_replace(c, "(" + "|".join(suffixes) + ")$", "")

@@ -114,3 +114,23 @@ def batches(rows: DataFrame, order: str, size: str, max_size: int, max_rows: int
         return frame.assign(batch=pd.Series(out, index=frame.index, dtype="int32"))
 
     return rows.groupBy(group).applyInPandas(cut, schema)
+
+
+def stamp_census(catalog: DataFrame, column: str = "timestamp") -> DataFrame:
+    """How many stamps are missing, statuses of the old kind, dates, or anything else."""
+    c = F.lower(F.trim(column))
+    old = c.isin("pending", "downloading", "completed") | c.startswith("failed")
+    date = c.rlike(r"^\d{4}-\d{2}-\d{2}")
+    return catalog.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(c.isNull() | (c == "")).alias("n_missing"), F.count_if(old).alias("n_status"), F.count_if(date).alias("n_date"),
+        F.count_if(c.isNotNull() & (c != "") & ~old & ~date).alias("n_other"),
+    )
+
+
+def modern_status(stamp: Column) -> Column:
+    """Today's status of an old stamp: a date means completed, nothing means pending."""
+    low = F.lower(F.trim(stamp))
+    return (
+        F.when(low.isNull() | (low == "") | (low == "pending"), "pending").when(low.rlike(r"^\d{4}-\d{2}-\d{2}"), "completed").when(low.startswith("failed"), F.concat(F.lit("FAILED"), F.substring(F.trim(stamp), F.lit(7), F.length(stamp))))
+        .when(low == "downloading", "DOWNLOADING").when(low == "completed", "completed").otherwise(stamp)
+    )

@@ -127,3 +127,52 @@ def keep_where_any(df: DataFrame, keys: list[str], mask: DataFrame, flag: str, v
     joined = df.join(mask.select(*keys, flag), keys, "left")
     masked = joined.select(*[c for c in df.columns if c not in values], *[F.when(F.col(flag), F.col(v)).alias(v) for v in values])
     return masked.dropna(how="all", subset=values)
+
+
+def factorize(df: DataFrame, column: str, order: str, name: str = "code") -> DataFrame:
+    """Adds 0, 1, ... for a label by where it first appears; null: -1. Only the distinct labels are ranked."""
+    first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__l")).agg(F.min(order).alias("__o"))
+    codes = first.select("__l", (F.row_number().over(Window.orderBy("__o", "__l")) - 1).alias(name))
+    return df.join(codes, F.col(column) == F.col("__l"), "left").drop("__l").withColumn(name, F.coalesce(name, F.lit(-1)))
+
+
+def two_hop(df: DataFrame, column: str, first: DataFrame, second: DataFrame, name: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows with `name`, labels without one) of a label mapped twice: `first` has label and code, `second` code and id."""
+    one = first.select(F.col("label").alias(column), F.col("code").alias("__c")).dropDuplicates([column])
+    two = second.select(F.col("code").alias("__c"), F.col("id").alias(name)).dropDuplicates(["__c"])
+    mapped = df.join(one, column, "left").join(two, "__c", "left").drop("__c")
+    return mapped, mapped.filter(F.col(name).isNull() & F.col(column).isNotNull()).select(column).distinct()
+
+
+def align(left: DataFrame, right: DataFrame, lat: str, lon: str, step: float, how: str = "inner") -> DataFrame:
+    """Joins two gridded tables on the integer index of their coordinates, never on floating point numbers."""
+    index = lambda c: F.bround(F.col(c) / step).cast("long")
+    a = left.withColumns({"row": index(lat), "col": index(lon)}).drop(lat, lon)
+    b = right.withColumns({"row": index(lat), "col": index(lon)}).drop(lat, lon)
+    return a.join(b, ["row", "col"], how).withColumns({lat: F.col("row") * step, lon: F.col("col") * step})
+
+
+def dense(df: DataFrame, axes: dict[str, tuple[int, int]], values: list[str], missing: float | None = None) -> DataFrame:
+    """Every cell of the axes' ranges [low, high], with nulls (or `missing`) where the table has none: one range, no driver loop."""
+    size = 1
+    for low, high in axes.values():
+        size *= high - low + 1
+    cells, step = df.sparkSession.range(size), 1
+    for name, (low, high) in reversed(axes.items()):
+        cells = cells.withColumn(name, (F.col("id") / step).cast("long") % (high - low + 1) + low)
+        step *= high - low + 1
+    out = cells.drop("id").join(df.select(*axes, *values), list(axes), "left")
+    return out if missing is None else out.fillna(missing, values)
+
+
+def wide_flags(df: DataFrame, row: str, column: str, labels: list[str], base: DataFrame | None = None) -> DataFrame:
+    """A boolean column for each label a row has; rows of `base` without any are all false."""
+    flags = df.groupBy(row).agg(*[F.max(F.coalesce(F.col(column) == x, F.lit(False))).alias(x) for x in labels])
+    if base is None:
+        return flags
+    return base.select(row).distinct().join(flags, row, "left").select(row, *[F.coalesce(x, F.lit(False)).alias(x) for x in labels])
+
+
+def grouped_files(files: DataFrame, by: list[str], path: str) -> DataFrame:
+    """The files of each group, in order (a group is a year's or a tile's files)."""
+    return files.groupBy(*by).agg(F.sort_array(F.collect_list(path)).alias("files"), F.count(F.lit(1)).alias("n_files"))

@@ -675,3 +675,67 @@ def q_assemble(spark, d):
     plan = Assembly(grid.GridSpec(0, 0, 1, 1, 16, 16, tile=16), [Source("lights", lights, ["q"], factor=4, resampling="average"), Source("static", static, ["v"])])
     out = assemble(plan).filter("year is not null")
     return out.select("year", F.col("pixel_id").alias("cell"), _r("lights_q"), "static_v")
+
+
+# --- labels, grids, candidates ------------------------------------------------
+
+
+@query("SELECT c_custkey AS k, (dense_rank() OVER (ORDER BY f, c_mktsegment) - 1)::INTEGER AS code FROM customer JOIN (SELECT c_mktsegment, min(c_custkey) AS f FROM customer GROUP BY 1) USING (c_mktsegment)")
+def q_factorize(spark, d):
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("l"))
+    return panel.factorize(c, "l", "k").select("k", "code")
+
+
+@query("SELECT c_custkey AS k, n_regionkey AS id FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 5 > 0")
+def q_two_hop(spark, d):
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("name"))
+    n = _t(spark, d, "nation").filter("n_nationkey % 5 > 0")
+    first = n.select(F.col("n_name").alias("label"), F.col("n_nationkey").alias("code"))
+    second = n.select(F.col("n_nationkey").alias("code"), F.col("n_regionkey").alias("id"))
+    return panel.two_hop(c, "name", first, second)[0].select("k", "id")
+
+
+@query("SELECT r.i AS row, c.i AS col, coalesce(n, 0) AS n FROM range(0, 20) r(i), range(3, 15) c(i) LEFT JOIN (SELECT l_suppkey % 20 AS row, l_linenumber AS col, count(*) AS n FROM lineitem GROUP BY ALL) x ON x.row = r.i AND x.col = c.i")
+def q_dense_grid(spark, d):
+    li = _t(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("row"), F.col("l_linenumber").cast("long").alias("col")).agg(F.count(F.lit(1)).alias("n"))
+    return panel.dense(li, {"row": (0, 19), "col": (3, 14)}, ["n"], 0)
+
+
+@query("SELECT n_nationkey AS k, coalesce(bool_or(c_mktsegment = 'BUILDING'), false) AS \"BUILDING\", coalesce(bool_or(c_mktsegment = 'MACHINERY'), false) AS \"MACHINERY\" FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 40 = 0 GROUP BY 1")
+def q_wide_flags(spark, d):
+    c = _t(spark, d, "customer").filter("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("k"), "c_mktsegment")
+    return panel.wide_flags(c, "k", "c_mktsegment", ["BUILDING", "MACHINERY"], _t(spark, d, "nation").select(F.col("n_nationkey").alias("k")))
+
+
+@query(f"SELECT year, count(*) AS n_files, min(doy) AS first_day, max(doy) AS last_day FROM {_CATALOG} GROUP BY year")
+def q_group_files(spark, d):
+    g = panel.grouped_files(_catalog(spark, d), ["year"], "relative_path")
+    day = lambda c: F.substring(F.regexp_extract(c, r"A(\d{7})", 1), 5, 3).cast("int")
+    return g.select("year", "n_files", day(F.element_at("files", 1)).alias("first_day"), day(F.element_at("files", -1)).alias("last_day"))
+
+
+@query(
+    """SELECT p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 3 = 0 AND p_size % 5 = 0 THEN 'year_and_truth' WHEN p_size % 3 = 0 THEN 'year' WHEN p_size % 5 = 0 THEN 'truth' END AS reason FROM part"""
+)
+def q_candidates(spark, d):
+    t = F.when(F.col("p_size") % 4 == 0, " NA ").when(F.col("p_size") % 3 == 0, F.concat(F.lit("opened in 19"), (F.col("p_size") + 40).cast("string"))).otherwise("no date")
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), text.candidate_reason(t, F.col("p_size") % 5 == 0).alias("reason"))
+
+
+@query(
+    """WITH a AS (SELECT l_suppkey % 30 AS i, l_partkey % 30 AS j, round(avg(l_quantity), 4) AS q FROM lineitem GROUP BY ALL), b AS (SELECT o_custkey % 40 AS i, o_orderkey % 40 AS j, count(*) AS n FROM orders GROUP BY ALL)
+    SELECT i AS row, j AS col, q, n FROM a JOIN b USING (i, j)"""
+)
+def q_align_grids(spark, d):
+    a = _t(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 30).alias("i"), (F.col("l_partkey") % 30).alias("j")).agg(F.round(F.avg("l_quantity"), 4).alias("q"))
+    b = _t(spark, d, "orders").groupBy((F.col("o_custkey") % 40).alias("i"), (F.col("o_orderkey") % 40).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    place = lambda t, c: t.select((F.col("i") * 0.05 + 0.001).alias("lat"), (F.col("j") * 0.05 - 0.001).alias("lon"), c)
+    return panel.align(place(a, "q"), place(b, "n"), "lat", "lon", 0.05).select("row", "col", "q", "n")
+
+
+@query(
+    """SELECT avg((v IS NULL)::INT)::DOUBLE AS v_null_share, avg((v = 0)::INT)::DOUBLE AS v_zero_share FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN l_discount END AS v FROM lineitem)"""
+)
+def q_missing_shares(spark, d):
+    li = _t(spark, d, "lineitem").select(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount")).alias("v"))
+    return stats.missing_shares(li, ["v"])

@@ -83,3 +83,11 @@ def write_result(spark: SparkSession, fit: Fit, path: str, **metadata: object) -
     out.close()
     for name, one in {"coefficients": fit, **{f"first_stage_{k}": v for k, v in fit.first_stage.items()}}.items():
         spark.createDataFrame(one.rows(), "name string, estimate double, std_error double, t double, p double").coalesce(1).write.mode("overwrite").csv(f"{path}/{name}", header=True)
+
+
+def write_provenance(spark: SparkSession, path: str, **facts: object) -> None:
+    """A YAML note of plain facts beside an output."""
+    fs, target = _fs(spark, f"{path}/_provenance.yaml")
+    out = fs.create(target, True)
+    out.write(bytearray("".join(f"{k}: {json.dumps(v, default=str)}\n" for k, v in facts.items()).encode()))
+    out.close()
