@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.llm.common import partitions, stash
 from panelspark.llm.components import components
@@ -370,8 +371,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             sets = [shingles(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())], [*names, "__digest"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.join(odd, own.eqNullSafe(F.col("__odd")), "left_semi").mapInArrow(digested, f"{fields}, __digest binary")
+    rows = docs.join(odd, own.eqNullSafe(F.col("__odd")), "left_semi").mapInArrow(digested, T.StructType([*docs.schema.fields, T.StructField("__digest", T.BinaryType())]))
     classes = lead.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("class_key").alias("__class")).distinct()
     several = rows.join(classes, (F.col("__digest") == F.col("__d")) & own.eqNullSafe(F.col("__id"))).dropDuplicates(["__class"])
     return plain.unionByName(rows.filter(F.col("__digest").isNull()).select(*names)).unionByName(several.select(*names))

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.llm.common import ASCII_SPACE, partitions, stash
 
@@ -212,8 +213,7 @@ def dedup_lines(
     keys = stash(repeated_lines(docs, id_col, text_col, min_docs, min_chars, max_bits), "lines")
     size = keys.agg(F.coalesce(F.sum(F.length("key") + 64), F.lit(0))).first()[0]
     columns = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema = f"{fields}, __lines long, __dropped long, __kept string"
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__dropped", T.LongType()), T.StructField("__kept", T.StringType())])
     id_at, text_at = columns.index(id_col), columns.index(text_col)
     if size > broadcast_bytes:
         return _dedup_by_join(docs, keys, schema, id_at, text_at, keep_first)
@@ -225,7 +225,7 @@ def dedup_lines(
     return docs.mapInArrow(run, schema)
 
 
-def _dedup_by_join(docs: DataFrame, keys: DataFrame, schema: str, id_at: int, text_at: int, keep_first: bool) -> DataFrame:
+def _dedup_by_join(docs: DataFrame, keys: DataFrame, schema: T.StructType, id_at: int, text_at: int, keep_first: bool) -> DataFrame:
     """The way for a key table over the broadcast bound: the keys of each text meet the table and return by the text's digest."""
     columns = docs.columns
     text = F.coalesce(F.col(columns[text_at]), F.lit("")).cast("binary")

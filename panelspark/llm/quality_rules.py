@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.llm.common import ASCII_SPACE
 
@@ -102,9 +103,8 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
             made = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(made, types, strict=True))], [*columns, *names])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    fields += [f"{n} {'long' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'string'}" for n, t in zip(names, types, strict=True)]
-    return docs.mapInArrow(run, ", ".join(fields))
+    kinds = {pa.int64(): T.LongType(), pa.bool_(): T.BooleanType(), pa.string(): T.StringType()}
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(n, kinds[t]) for n, t in zip(names, types, strict=True)]]))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
