@@ -21,11 +21,29 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/panelspark/{spark.sparkContext.applicationId}"
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back, which ends its lineage. The files go with the application."""
+    """Write `df` to the shared folder and read it back, which ends its lineage.
+
+    The files stay while the application may read them; they go with it, or with `clear`.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/panelspark/{label}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, target = _path(spark, path)
+    fs.deleteOnExit(target)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables: for after its results are written."""
+    fs, target = _path(spark, _folder(spark))
+    fs.delete(target, True)
