@@ -8,7 +8,7 @@ from panelspark.storage import clear, stash
 def test_stash_and_clear(spark):
     df = spark.range(5)
     kept = stash(df, "t")
-    assert kept.schema == df.schema and kept.count() == 5
+    assert kept.dtypes == df.dtypes and kept.count() == 5
     clear(spark)
     with pytest.raises((PySparkException, Py4JJavaError)):
         kept.collect()
