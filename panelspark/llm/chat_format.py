@@ -1,12 +1,14 @@
 """Chat formatting by quotation linking.
 
 Messages quote earlier ones with leading `>` marks, one for each level. A run of
-equally deep quoted lines is a passage. Passages and the messages' own lines are
-normalised and hashed; joining the hashes links a passage to the first message
-of its conversation that said it. The message quoted at the shallowest level is
-the parent; a message's thread is what pointer jumping over the parents finds.
-Conversations come back in reply order: thread after thread, by turn, each
-message without its quotes.
+equally deep quoted lines is a passage, whatever its line breaks. Passages are
+normalised and looked up by hashes of word windows in the messages' own words,
+with an exact test after the join, which links a passage to the first message of
+its conversation that said it. A passage that nobody said as a whole (some of it
+was left out) is looked up line by line. The message quoted at the shallowest
+level is the parent; a message's thread is what pointer jumping over the parents
+finds. Conversations come back in reply order: thread after thread, by turn,
+each message without its quotes.
 
 Ranks within a conversation are counted over range partitions, so a conversation
 of any size never has to meet in one task.
@@ -22,7 +24,10 @@ from panelspark.llm.common import partitions, stash
 QUOTED = r"^[ \t]{0,3}>"
 #: Lines that announce a quote ("On Monday, Ann wrote:"), if a quote follows.
 ATTRIBUTION = r"(?i)^.{0,120}(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$"
+#: Floor of the SQL below, which compares single lines; passages have none.
 MIN_CHARS = 8
+#: Words in the longest window that is hashed; what follows it is compared as text.
+WINDOW = 64
 
 
 def normal(text: Column) -> Column:
@@ -40,19 +45,48 @@ def _bare(line: Column) -> Column:
 
 
 def parse(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """`__body` (the text without quotes and attributions) and `__quotes`, an array of (level, hash) for the quoted lines."""
+    """`__body` (the text without quotes and attributions) and `__quotes`, an array of (level, text, lines): the passages, normalised, as a whole and line by line."""
     lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
     parsed = F.transform(lines, lambda x: F.struct(_depth(x).alias("level"), _bare(x).alias("text")))
     out = messages.withColumn("__lines", F.when(F.col(text_col).rlike(r"(?m)" + QUOTED), parsed).otherwise(F.transform(lines, lambda x: F.struct(F.lit(0).alias("level"), x.alias("text")))))
     n = F.size("__lines")
-    following = lambda i: F.when(i + 1 < n, F.element_at("__lines", i + 2)["level"]).otherwise(F.lit(0))
-    body = F.filter("__lines", lambda x, i: (x["level"] == 0) & ~((following(i) > 0) & x["text"].rlike(ATTRIBUTION)))
+    level = lambda i: F.element_at("__lines", i + 1)["level"]
+    following = lambda i: F.when(i + 1 < n, level(i + 1)).otherwise(F.lit(0))
+    announces = lambda x, i: (following(i) > x["level"]) & x["text"].rlike(ATTRIBUTION)
+    body = F.filter("__lines", lambda x, i: (x["level"] == 0) & ~announces(x, i))
     body = F.regexp_replace(F.array_join(F.transform(body, lambda x: x["text"]), "\n"), r"\A\s+|\s+\z", "")
-    quotes = F.filter(F.transform("__lines", lambda x: F.struct(x["level"].alias("level"), normal(x["text"]).alias("key"))), lambda x: (x["level"] > 0) & (F.length(x["key"]) >= MIN_CHARS))
-    quotes = F.transform(quotes, lambda x: F.struct(x["level"].alias("level"), F.xxhash64(x["key"]).alias("hash"), F.md5(x["key"]).alias("key")))
+    starts = F.filter(F.transform("__lines", lambda x, i: i), lambda i: F.when(i == 0, F.lit(True)).otherwise(level(i) != level(i - 1)))
+    out = out.withColumn("__starts", F.when(F.exists("__lines", lambda x: x["level"] > 0), starts))
+    ends = lambda j: F.when(j + 1 < F.size("__starts"), F.element_at("__starts", j + 2)).otherwise(n)
+    said = lambda i: lambda x, j: F.when(announces(x, i + j), F.lit("")).otherwise(x["text"])
+    runs = F.transform("__starts", lambda i, j: F.struct(level(i).alias("level"), F.transform(F.slice("__lines", i + 1, ends(j) - i), said(i)).alias("lines")))
+    passages = F.transform(F.filter(runs, lambda x: x["level"] > 0), lambda x: F.struct(x["level"].alias("level"), normal(F.array_join(x["lines"], "\n")).alias("text"), F.filter(F.transform(x["lines"], normal), lambda y: y != "").alias("lines")))
+    quotes = F.coalesce(F.filter(passages, lambda x: x["text"] != ""), F.array().cast("array<struct<level:int,text:string,lines:array<string>>>"))
     return out.select(*[F.col(f"`{c}`") for c in messages.columns], body.alias("__body"), quotes.alias("__quotes"))
 
 
+def _said(pieces: DataFrame, messages: DataFrame) -> DataFrame:
+    """`conv`, `key` and `said`, the first turn of `messages` (conv, turn, mid, body) whose words hold the piece (conv, key, piece).
+
+    A piece begins with a window of as many words as the largest power of two that
+    it holds, WINDOW at most. Windows of these sizes are hashed at every word of the
+    messages; where a hash agrees, the words from there on are compared.
+    """
+    of = pieces.withColumn("n", F.size(F.split("piece", " ")))
+    of = of.withColumn("k", F.greatest(*[F.when(F.col("n") >= k, k).otherwise(1) for k in (1 << i for i in range(WINDOW.bit_length()))]))
+    of = of.withColumn("hash", F.xxhash64(F.array_join(F.slice(F.split("piece", " "), F.lit(1), F.col("k")), " ")))
+    sizes = [r.k for r in of.select("k").distinct().collect()]  # seven powers of two at most
+    words = stash(messages.join(pieces.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", "mid", F.split(normal(F.col("body")), " ").alias("words")), "words")
+    n = F.size("words")
+    starts = lambda k: F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
+    window = lambda k: lambda p: F.struct(F.lit(k).alias("k"), p.alias("p"), F.xxhash64(F.array_join(F.slice("words", p, F.lit(k)), " ")).alias("hash"))
+    at = F.flatten(F.array(*[F.transform(starts(k), window(k)) for k in sizes]))
+    windows = words.select("conv", "mid", F.explode(at).alias("w")).select("conv", "mid", "w.k", "w.p", "w.hash")
+    hits = windows.join(of, ["conv", "k", "hash"]).select("conv", "mid", "p", "n", "key", "piece")
+    found = hits.join(words, ["conv", "mid"]).filter(F.array_join(F.slice("words", F.col("p"), F.col("n")), " ") == F.col("piece"))
+    return found.groupBy("conv", "key").agg(F.min("turn").alias("said"))
+
+
 def _ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Adds `name`, the rank (from 0) in `group` by `order`, without a task that holds a whole group.
 
@@ -78,35 +112,37 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """A row for each message: conv_id, turn, role, `body`, `n_quotes`, `n_linked`, `reply_to`, `thread` and `position`.
 
     `body` is the text without quotes and their attributions, trimmed; `n_quotes`
-    counts quoted lines of MIN_CHARS or more normalised characters, `n_linked`
-    those that an earlier turn of the conversation said. `reply_to` is the turn
-    quoted at the shallowest level that has a link (ties: the latest), else null.
-    `thread` is the turn its chain of replies starts at (itself without one), and
-    `position` (from 0) the place in the conversation by thread and turn.
+    counts quoted passages with a letter or digit, `n_linked` those that an earlier
+    turn of the conversation said, as a whole or else in one of their lines (the
+    longest found). `reply_to` is the turn quoted at the shallowest level that has a
+    link (ties: whole passages first, then the latest turn), else null. `thread` is
+    the turn its chain of replies starts at (itself without one), and `position`
+    (from 0) the place in the conversation by thread and turn.
 
     A null text gives an empty body; a null role stays. Messages without conv_id
     form one conversation, those without a turn link to nothing and come first.
     Repeated messages each keep a row; ties of turn are placed in any order.
     """
     own = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    parsed = stash(parse(own).select("conv_id", "turn", "role", "__body", "__quotes"), "messages")
+    parsed = stash(parse(own).select("conv_id", "turn", "role", "__body", "__quotes", F.monotonically_increasing_id().alias("mid")), "messages")
     conv = F.coalesce(F.col("conv_id"), F.lit(-(2**63)))
-    quotes = parsed.filter(F.size("__quotes") > 0).select(conv.alias("conv"), "turn", F.explode("__quotes").alias("q")).select("conv", "turn", "q.level", "q.hash", "q.key").distinct()
-    # Only lines that somebody quotes can be an original: a semi join keeps the rest out of the shuffle.
-    wanted = quotes.select("conv", "hash", "key").distinct()
-    lines = parsed.filter(F.col("turn").isNotNull()).select(conv.alias("conv"), "turn", F.explode(F.split("__body", "\n")).alias("line")).select("conv", "turn", normal(F.col("line")).alias("n")).filter(F.length("n") >= MIN_CHARS)
-    lines = lines.select("conv", "turn", F.xxhash64("n").alias("hash"), F.md5("n").alias("key")).join(wanted, ["conv", "hash", "key"], "left_semi")
-    first = lines.groupBy("conv", "hash", "key").agg(F.min("turn").alias("said"))
-    links = quotes.join(first, ["conv", "hash", "key"]).filter(F.col("said") < F.col("turn"))
-    parents = links.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), "said"))["said"].alias("reply_to"), F.count_distinct("hash", "key").alias("n_found"))
-    parents = stash(parents, "parents")
-    threads = _threads(parents)
-    linked = links.groupBy("conv", "turn").agg(F.collect_set("key").alias("keys")).join(threads, ["conv", "turn"])
-    rows = parsed.withColumn("conv", conv).join(linked, ["conv", "turn"], "left")
-    found = F.size(F.filter("__quotes", lambda x: F.array_contains(F.col("keys"), x["key"])))
+    quoting = parsed.filter((F.size("__quotes") > 0) & F.col("turn").isNotNull())
+    if quoting.isEmpty():
+        rows = parsed.select("conv_id", "turn", "role", F.col("__body").alias("body"), F.size("__quotes").cast("long").alias("n_quotes"), F.lit(0).cast("long").alias("n_linked"), F.lit(None).cast("long").alias("reply_to"), F.col("turn").alias("thread"))
+        return _ranked(rows, ["conv_id"], ["thread", "turn"], "position")
+    passages = quoting.select(conv.alias("conv"), "turn", "mid", F.posexplode("__quotes").alias("at", "q"))
+    parts = F.array_union(F.array(F.struct(F.lit(True).alias("whole"), F.col("q.text").alias("piece"))), F.transform("q.lines", lambda x: F.struct((x == F.col("q.text")).alias("whole"), x.alias("piece"))))
+    pieces = stash(passages.select("conv", "turn", "mid", "at", "q.level", F.explode(parts).alias("x")).select("conv", "turn", "mid", "at", "level", "x.whole", "x.piece", F.md5("x.piece").alias("key")), "pieces")
+    said = _said(pieces.select("conv", "key", "piece").distinct(), parsed.filter(F.col("turn").isNotNull()).select(conv.alias("conv"), "turn", "mid", F.col("__body").alias("body")))
+    links = pieces.join(said, ["conv", "key"]).filter(F.col("said") < F.col("turn"))
+    best = F.max(F.struct("whole", F.length("piece").alias("length"), "said"))
+    links = stash(links.groupBy("conv", "turn", "mid", "at", "level").agg(best.alias("best")).select("conv", "turn", "mid", "level", "best.whole", "best.said"), "links")
+    parents = stash(links.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), "whole", "said"))["said"].alias("reply_to")), "parents")
+    linked = links.groupBy("mid").agg(F.count(F.lit(1)).alias("n_linked"))
+    rows = parsed.withColumn("conv", conv).join(_threads(parents), ["conv", "turn"], "left").join(linked, "mid", "left")
     rows = rows.select(
         "conv_id", "turn", "role", F.col("__body").alias("body"), F.size("__quotes").cast("long").alias("n_quotes"),
-        F.when(F.col("keys").isNull(), F.lit(0)).otherwise(found).cast("long").alias("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"),
+        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"),
     )
     return _ranked(rows, ["conv_id"], ["thread", "turn"], "position")
 

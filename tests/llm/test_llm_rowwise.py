@@ -323,5 +323,24 @@ def test_chats(spark):
     assert chat_format.format_chats(chats.limit(0)).count() == 0
 
 
+def test_chats_quote_passages(spark):
+    long = "The first part of a long line, which goes on and on, and the last part of it."
+    rows = [
+        (1, 0, long),
+        (1, 1, "> The first part of a long line, which\n> goes on and on, and\n> the last part of it.\nWrapped."),
+        (1, 2, "One line of mine.\nAnd a second one.\n\nA third."),
+        (1, 3, "> One line of mine. And a second one. A third.\nJoined."),
+        (1, 4, "I agree"),
+        (1, 5, "> I agree\nShort."),
+        (1, 6, "> One line of mine.\n> [...]\n> A third.\nCut."),
+        (1, 7, ">> goes on and on\n> Bob wrote:\n>> I agree\n> Joined.\nDeep."),
+        (1, 8, "> agree with\nNot said."),
+    ]
+    got = {r.turn: r for r in chat_format.format_chats(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: got[t].reply_to for t in (1, 3, 5, 6, 7, 8)} == {1: 0, 3: 2, 5: 4, 6: 2, 7: 3, 8: None}
+    assert [(got[t].n_quotes, got[t].n_linked) for t in (1, 3, 5, 6, 7, 8)] == [(1, 1)] * 4 + [(3, 3), (1, 0)]
+    assert got[7].thread == 2 and got[7].body == "Deep."
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
