@@ -330,6 +330,13 @@ def q_catalog_stats(spark, d):
     return catalog.totals(_catalog(spark, d))
 
 
+@query("SELECT n_nationkey AS k, coalesce(bool_or(c_mktsegment = 'BUILDING'), false) AS \"BUILDING\", coalesce(bool_or(c_mktsegment = 'MACHINERY'), false) AS \"MACHINERY\" FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def q_wide_flags_all(spark, d):
+    """The flags over all customers; `q_wide_flags` and its SQL take one in forty."""
+    c = _t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_mktsegment")
+    return panel.wide_flags(c, "k", "c_mktsegment", ["BUILDING", "MACHINERY"], _t(spark, d, "nation").select(F.col("n_nationkey").alias("k")))
+
+
 @query(f"SELECT year, count(*) AS n_files, {_CAT_COUNTS}, coalesce(sum(size), 0)::BIGINT AS bytes, round(avg(size), 4) AS mean_size FROM {_CATALOG} GROUP BY year")
 def q_catalog_by_year(spark, d):
     c = catalog.by_year(_catalog(spark, d))
@@ -535,6 +542,14 @@ def q_buffer_count(spark, d):
     return spatial.buffer_counts(_points(spark, d).filter("k % 3 = 0"), sites, ("x", "y"), ("sx", "sy"), 5.0, "k").select("k", "n_sites")
 
 
+@query()
+def q_buffer_count_all(spark, d):
+    """The buffer counts of all orders; `q_buffer_count` and its SQL take one in three."""
+    s = F.col("s_suppkey")
+    sites = _t(spark, d, "supplier").select(s.alias("s"), (s * 53 % 100).cast("double").alias("sx"), (s * 29 % 62).cast("double").alias("sy"))
+    return spatial.buffer_counts(_points(spark, d), sites, ("x", "y"), ("sx", "sy"), 5.0, "k").select("k", "n_sites")
+
+
 @query(
     """WITH RECURSIVE p AS (SELECT s_suppkey AS k, (s_suppkey * 53 % 997)::DOUBLE AS x, (s_suppkey * 29 % 641)::DOUBLE AS y FROM supplier),
     e AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600),

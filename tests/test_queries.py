@@ -21,3 +21,16 @@ def test_entry_has_rows(spark):
 def test_fixed_effects_run(spark, sf):
     row = QUERIES["q_fe_iter"](spark, sf).first()
     assert row["name"] == "x" and row["std_error"] > 0
+
+
+def test_buffer_counts_of_all_orders(spark, sf):
+    k = sorted(r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect())
+    sites = [(float(s * 53 % 100), float(s * 29 % 62)) for (s,) in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()]
+    want = {i: sum((i * 37 % 997 / 10 + 0.013 - x) ** 2 + (i * 91 % 613 / 10 + 0.017 - y) ** 2 <= 25 for x, y in sites) for i in k}
+    assert {r.k: r.n_sites for r in QUERIES["q_buffer_count_all"](spark, sf).collect()} == want
+
+
+def test_flags_of_all_customers(spark, sf):
+    seen = {tuple(r) for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_nationkey", "c_mktsegment").collect()}
+    got = {(r.k, r.BUILDING, r.MACHINERY) for r in QUERIES["q_wide_flags_all"](spark, sf).collect()}
+    assert len(got) == 25 and got == {(k, (k, "BUILDING") in seen, (k, "MACHINERY") in seen) for k, _, _ in got}
