@@ -191,19 +191,22 @@ def tsls(df: DataFrame, y: str, exog: list[str], endog: list[str], instruments:
     return fit
 
 
-def prune_singletons(df: DataFrame, effects: list[str], iterative: bool = True, max_rounds: int = 50) -> DataFrame:
-    """Rows whose groups all have two rows or more; `iterative` repeats until none is left alone."""
+def prune_singletons(df: DataFrame, effects: list[str], iterative: bool = True) -> DataFrame:
+    """Rows whose groups all have two rows or more; `iterative` repeats until none is left alone.
+
+    Each round takes a row at least, so the rounds end by themselves.
+    """
     before = None
-    for _ in range(max_rounds if iterative else 1):
+    while True:
         for e in effects:
             df = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(e))).filter("__n > 1").drop("__n")
-        if iterative:
-            df = stash(df, "pruned")
-            n = df.count()
-            if n == before:
-                break
-            before = n
-    return df
+        if not iterative:
+            return df
+        df = stash(df, "pruned")
+        n = df.count()
+        if n == before:
+            return df
+        before = n
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
@@ -211,27 +214,32 @@ def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if row[c]]
 
 
-def demean(df: DataFrame, effects: list[str], values: list[str], tolerance: float = 1e-8, max_rounds: int = 200, check_every: int = 5) -> DataFrame:
+def demean(df: DataFrame, effects: list[str], values: list[str], tolerance: float = 1e-8, max_rounds: int = 10_000, check_every: int = 5) -> DataFrame:
     """Values with all fixed effects swept out by alternating projections.
 
+    Sweeping ends when no group mean is above `tolerance` (or 1e-13 of the largest
+    value, what a double holds); a RuntimeError says that `max_rounds` did not do.
+
     Effects with fewer groups come last in a sweep. Each round is one window an
     effect; lineage ends in the shared folder every `check_every` rounds, where the
     largest group mean left decides whether to go on.
     """
     sizes = df.agg(*[F.approx_count_distinct(e).alias(e) for e in effects]).first()
     order = sorted(effects, key=lambda e: -sizes[e])
+    largest = df.agg(F.max(F.greatest(*[F.abs(F.col(v)) for v in values], F.lit(0.0)))).first()[0] or 0.0
+    tolerance = max(tolerance, 1e-13 * largest)
     for round_ in range(1, max_rounds + 1):
         for e in order:
             w = Window.partitionBy(e)
             df = df.withColumns({v: F.col(v) - F.avg(v).over(w) for v in values})
         if len(order) == 1:
             return df
-        if round_ % check_every == 0:
+        if round_ % check_every == 0 or round_ == max_rounds:
             df = stash(df, "demeaned")
             left = [df.groupBy(e).agg(*[F.avg(v).alias(v) for v in values]).agg(F.max(F.greatest(*[F.abs(F.col(v)) for v in values], F.lit(0.0)))).first()[0] or 0.0 for e in order]
-            if max(left) < tolerance:
+            if max(left) <= tolerance:
                 return df
-    return df
+    raise RuntimeError(f"demean: group means above {tolerance:g} after {max_rounds} rounds")
 
 
 def fe_ols(df: DataFrame, y: str, x: list[str], effects: list[str], method: str = "demean", cluster: list[str] | None = None, **options) -> Fit:

@@ -633,6 +633,12 @@ def q_singletons(spark, d):
     return regression.prune_singletons(_panel(spark, d), ["unit", "year"], iterative=False).select("unit", "year", "x")
 
 
+@query()
+def q_singletons_iterative(spark, d):
+    """The fixed point of what `q_singletons` does once."""
+    return regression.prune_singletons(_panel(spark, d), ["unit", "year"]).select("unit", "year", "x")
+
+
 _DENSE = """p AS (SELECT n_nationkey AS unit, year(o_orderdate)::INTEGER AS year, sum(o_totalprice::DECIMAL(18,2))::DOUBLE / 1000 AS y, count(*)::DOUBLE AS x FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
     b AS (SELECT * FROM p WHERE unit IN (SELECT unit FROM p GROUP BY unit HAVING count(*) = (SELECT count(DISTINCT year) FROM p)))"""
 
@@ -656,7 +662,7 @@ def q_twfe_balanced(spark, d):
 
 @query()
 def q_fe_iter(spark, d):
-    f = regression.fe_ols(_panel(spark, d), "y", ["x"], ["unit", "year"], cluster=["unit"], max_rounds=20)
+    f = regression.fe_ols(_panel(spark, d), "y", ["x"], ["unit", "year"], cluster=["unit"])
     return regression.fit_frame(spark, f)
 
 

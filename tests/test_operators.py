@@ -223,3 +223,21 @@ def test_results_are_written(spark, sample, tmp_path):
 
     got = json.loads((tmp_path / "r/results.json").read_text())
     assert got["first_stage"]["x"]["f_statistic"] > 10 and got["analysis_metadata"] == {"model": "m"}
+
+
+def test_pruning_ends_at_the_fixed_point_of_a_long_chain(spark):
+    # One end hangs on a block that stays; each round takes two rows off the other.
+    chain = [(i, i + d) for i in range(53) for d in (0, 1)][1:]
+    df = spark.createDataFrame([*chain, (0, 900), (900, 900), (900, 901), (901, 900), (901, 901)], "a int, b int").coalesce(1)
+    assert sorted(tuple(r) for r in regression.prune_singletons(df, ["b", "a"]).collect()) == [(900, 900), (900, 901), (901, 900), (901, 901)]
+
+
+def test_slow_panel_is_swept_to_the_end(spark):
+    # Two years to a unit, so that the units link the years in a chain.
+    rows = [(u, u + t, float((u * 7 + t * 3 + k * u + 2 * k) % 5), float((u * u + 4 * t + k * u * t + 3 * k) % 11)) for u in range(4) for t in (0, 1) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "unit int, year int, x double, y double").coalesce(1)
+    wide = np.array([[x, *(float(u == k) for k in range(4)), *(float(t == k) for k in range(1, 5))] for u, t, x, _ in rows])
+    want = np.linalg.lstsq(wide, np.array([r[3] for r in rows]), rcond=None)[0][0]
+    with pytest.raises(RuntimeError, match="20 rounds"):
+        regression.fe_ols(df, "y", ["x"], ["unit", "year"], max_rounds=20)
+    assert abs(regression.fe_ols(df, "y", ["x"], ["unit", "year"], check_every=10).coef[0] - want) < 1e-6
