@@ -2,9 +2,9 @@
 
 Each page scores its containers by the text they hold outside links and pruned
 regions, and votes for the generalised tag-class path of the best one. Spark
-counts the votes per host; the winning paths of a host then say which containers
-of each of its pages are the article. A page without any winning path falls back
-to its own best container.
+counts the votes per host; of the paths that a page has, the one with most votes
+on its host then says which of its containers are the article. A page without any
+voted path falls back to the path of its own best container.
 """
 
 from __future__ import annotations
@@ -14,15 +14,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import stash
 
-#: Winning paths kept for a host, in order of votes.
-PATHS_A_HOST = 5
-#: Hosts up to which the winners are broadcast (a few hundred bytes each); beyond, a shuffle join.
+#: Hosts up to which the votes are broadcast, with PATHS_A_HOST paths each on average (a few hundred bytes); beyond, a shuffle join.
 BROADCAST_HOSTS = 50_000
+PATHS_A_HOST = 5
+#: Parts into which the pages that ask for one path of one host are dealt in that join.
+SALTS = 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -229,7 +230,22 @@ def text_of(found: list[tuple[str, Node, bool]], paths: list[str]) -> str:
     best = best_container(found)
     if best is None:
         return taken(lambda n: n.tag == "body") or " ".join(html.unescape("".join(t for t, _, _ in found)).split())
-    return taken(lambda n: n is best)
+    return taken(lambda n: path(n) == path(best))
+
+
+def candidates(found: list[tuple[str, Node, bool]]) -> set[str]:
+    """The paths of all containers with text."""
+    seen: set[int] = set()
+    out = set()
+    for text, node, _ in found:
+        if not text or text.isspace():
+            continue
+        while node is not None and id(node) not in seen:
+            seen.add(id(node))
+            if node.container:
+                out.add(node.path)
+            node = node.parent
+    return out
 
 
 def host_of(url):
@@ -237,7 +253,7 @@ def host_of(url):
 
 
 def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """`host` and `paths`: its best paths by votes (ties: the shorter, then the first by name)."""
+    """`host`, `path` and `n`, the votes of each path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,10 +261,22 @@ def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.path if b else None for b in best], pa.string())], ["host", "path"])
 
     votes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string")).mapInArrow(run, "host string, path string")
-    votes = votes.filter(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("host").orderBy(F.desc("n"), F.length("path"), "path")
-    top = votes.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PATHS_A_HOST)
-    return top.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    return votes.filter(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ranked_paths(rows: DataFrame, votes: DataFrame) -> DataFrame:
+    """`host`, `key` and `paths`: the voted paths that each page (host, key, __html) has, by votes (ties: the shorter, then the first by name)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted(candidates(parse(x))) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.string()))], ["host", "key", "own"])
+
+    own = rows.select("host", "key", "__html").mapInArrow(run, "host string, key string, own array<string>")
+    own = own.select("host", "key", F.explode("own").alias("path")).distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    dealt = votes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    met = own.join(dealt, ["host", "path", "salt"]).select("host", "key", F.struct(-F.col("n"), F.length("path").alias("length"), "path").alias("p"))
+    return met.groupBy("host", "key").agg(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["path"]).alias("paths"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
@@ -259,15 +287,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url belongs to the host "". Rows stay as they are repeated; extra columns are
     ignored; an empty table gives no rows.
     """
-    winners = stash(vote(pages, url_col, html_col), "hosts")
-    if winners.count() <= broadcast_hosts:
-        winners = F.broadcast(winners)
+    votes = stash(vote(pages, url_col, html_col), "votes")
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias("__html"), host_of(F.col(url_col)).alias("host"))
-    rows = rows.join(winners, "host", "left").select(id_col, url_col, "__html", "paths")
+    few = votes.count() <= broadcast_hosts * PATHS_A_HOST
+    ranks: dict[str, dict[str, tuple]] = {}
+    for r in votes.collect() if few else ():
+        ranks.setdefault(r.host, {})[r.path] = (-r.n, len(r.path), r.path)
+    shared = pages.sparkSession.sparkContext.broadcast(ranks)
+    if few:
+        rows = rows.select(id_col, url_col, "__html", "host")
+    else:
+        rows = rows.withColumn("key", F.md5(F.coalesce("__html", F.lit("")).cast("binary")))
+        rows = rows.join(_ranked_paths(rows, votes), ["host", "key"], "left").select(id_col, url_col, "__html", "paths")
+
+    def text(source: str | None, by) -> str:
+        found = parse(source)
+        if few:
+            known = shared.value.get(by, {})
+            by = sorted((p for p in candidates(found) if p in known), key=known.__getitem__)
+        return text_of(found, by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_of(parse(x), p) for x, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [text(x, by) for x, by in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}

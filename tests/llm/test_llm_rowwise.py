@@ -284,6 +284,16 @@ def test_pages_vote_by_host(spark, sf):
     assert html_extract.extract(pages).count() == 10 and html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_of_a_host_with_many_templates(spark):
+    body = "<p>%s</p>" % ("the article of this page goes on " * 9)
+    rows = [(i, "http://h.org/1", f"<body><div class='t{'abcdef'[i % 6]}'>{body}</div></body>") for i in range(12)]
+    rows.append((20, "http://h.org/2", f"<body><div class='rare'>{body}</div><div class='rare'>second</div><div class='rare'>third</div></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (100, 0):
+        got = {r.page_id: r.text for r in html_extract.extract(pages, broadcast_hosts=limit).collect()}
+        assert len(got) == 13 and got[20].endswith("goes on second third") and got[0].endswith("goes on")
+
+
 def test_pages_of_the_test_data(spark, sf):
     import html
     import re
