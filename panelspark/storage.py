@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (local tests), a temporary folder of this machine."""
+    """spark.checkpoint.dir; where that is unset and driver and executors are one process, a temporary folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isDefined():
         return context.getCheckpointDir().get()
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="panelspark-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -33,14 +38,25 @@ def _path(spark: SparkSession, path: str):
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, which ends its lineage.
 
-    The files stay while the application may read them; they go with it, or with `clear`.
+    The files stay while the application may read them; they go with it, or before
+    with `discard` or `clear`.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     fs, target = _path(spark, path)
     fs.deleteOnExit(target)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stashed tables that no plan still to run reads; other tables are left alone."""
+    for table in tables:
+        if (path := _paths.pop(table, None)) is not None:
+            fs, target = _path(table.sparkSession, path)
+            fs.delete(target, True)
 
 
 def clear(spark: SparkSession) -> None:
