@@ -46,9 +46,9 @@ def _bare(line: Column) -> Column:
 
 def parse(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """`__body` (the text without quotes and attributions) and `__quotes`, an array of (level, text, lines): the passages, normalised, as a whole and line by line."""
-    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
+    lines = F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "\n")
     parsed = F.transform(lines, lambda x: F.struct(_depth(x).alias("level"), _bare(x).alias("text")))
-    out = messages.withColumn("__lines", F.when(F.col(text_col).rlike(r"(?m)" + QUOTED), parsed).otherwise(F.transform(lines, lambda x: F.struct(F.lit(0).alias("level"), x.alias("text")))))
+    out = messages.withColumn("__lines", F.when(F.col(f"`{text_col}`").rlike(r"(?m)" + QUOTED), parsed).otherwise(F.transform(lines, lambda x: F.struct(F.lit(0).alias("level"), x.alias("text")))))
     n = F.size("__lines")
     level = lambda i: F.element_at("__lines", i + 1)["level"]
     following = lambda i: F.when(i + 1 < n, level(i + 1)).otherwise(F.lit(0))
@@ -123,7 +123,7 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     form one conversation, those without a turn link to nothing and come first.
     Repeated messages each keep a row; ties of turn are placed in any order.
     """
-    own = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    own = messages.select(F.col(f"`{conv_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
     parsed = stash(parse(own).select("conv_id", "turn", "role", "__body", "__quotes", F.monotonically_increasing_id().alias("mid")), "messages")
     conv = F.coalesce(F.col("conv_id"), F.lit(-(2**63)))
     quoting = parsed.filter((F.size("__quotes") > 0) & F.col("turn").isNotNull())

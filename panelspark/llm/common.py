@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.storage import stash
+from panelspark.storage import discard, stash
 
-__all__ = ["ASCII_SPACE", "partitions", "read_table", "stash", "text_key"]
+__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "discard", "few", "free_names", "partitions", "read_table", "stash", "text_key"]
 
 #: The six ASCII white-space code points of the `[\x20\x09-\x0D]` class.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Rows of ids or keys (8 to 16 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def partitions(spark: SparkSession) -> int:
@@ -25,3 +27,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_key(text: Column) -> Column:
     """A 128-bit content key of a text (null: empty): equal texts, equal keys."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def few(rows: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """`rows`, to be broadcast if there are `bound` at most: for tables of a key or two that are cheap to count."""
+    return F.broadcast(rows) if rows.count() <= bound else rows
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with as many underscores before them as it takes to clash with none of `columns` in any case."""
+    taken = {c.lower() for c in columns}
+    lead = ""
+    while any((lead + w).lower() in taken for w in wanted):
+        lead += "_"
+    return [lead + w for w in wanted]

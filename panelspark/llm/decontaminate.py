@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import stash, text_key
+from panelspark.llm.common import few, free_names, stash, text_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -88,14 +88,15 @@ def _blocks(fp: str) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """`doc_id`, `item_id`, `start` and `similarity` of each document row and item that match, see `leaked_texts`. Null ids stay."""
     best = leaked_texts(docs, benchmark, text_col, item_col, item_text)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"))
-    return own.join(best, "key").select("doc_id", "item_id", "start", "similarity")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(F.col(f"`{text_col}`")).alias("key"))
+    return own.join(few(stash(best, "leaks")), "key").select("doc_id", "item_id", "start", "similarity")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of `docs` without a match, whatever their ids."""
-    gone = leaked_texts(docs, benchmark, text_col, item_col, item_text).select(F.col("key").alias("__key")).distinct()
-    return docs.join(gone, text_key(F.col(text_col)) == F.col("__key"), "left_anti")
+    """The rows of `docs` without a match, whatever their ids. Columns of any name pass through."""
+    (key,) = free_names(docs.columns, "key")
+    gone = stash(leaked_texts(docs, benchmark, text_col, item_col, item_text).select(F.col("key").alias(key)).distinct(), "leaks")
+    return docs.join(few(gone), text_key(F.col(f"`{text_col}`")) == F.col(key), "left_anti")
 
 
 def leaked_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -107,15 +108,15 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     nothing; items shorter than a shingle match only such documents. Equal items
     each match. Repeated rows are one text. Extra columns are ignored, and an empty table on either side gives no rows.
     """
-    own = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(text_key(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words(F.col(item_text)).alias("w")).withColumn("item", F.monotonically_increasing_id())
     parts = stash(shingles(items.withColumn("size", F.greatest(F.size("w") - WORDS + 1, F.lit(1))), ["item", "item_id", "size"], "w"), "items")
     counts = parts.groupBy("item", "sh").agg(F.count(F.lit(1)).alias("n"))
     by_item = parts.select("sh", "item", "size").distinct()
-    few = parts.count() <= BROADCAST_SHINGLES
+    fits = parts.count() <= BROADCAST_SHINGLES
 
     def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if few else df
+        return F.broadcast(df) if fits else df
 
     # Where a text shares shingles with an item: all of a row's places meet in its task, so little more than the matches is shuffled.
     hits = shingles(own.select("key", words(F.col("text")).alias("w")), ["key"], "w").join(small(by_item), "sh")
@@ -124,7 +125,8 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     found = found.select("key", F.explode("starts").alias("start"), "size").groupBy("key").agg(F.collect_set(F.struct("size", "start")).alias("windows"))
     found = stash(found, "found")
     # The windows' shingles, read from the texts again, each text once: copies meet in partial aggregates.
-    texts = own.groupBy("key").agg(F.first("text").alias("text")).join(found, "key")
+    wanted = own.join(few(found.select("key")), "key", "left_semi")
+    texts = wanted.groupBy("key").agg(F.first("text").alias("text")).join(found, "key")
     cut = texts.select("key", "windows", _hashes(words(F.col("text"))).alias("h")).select("key", "h", F.explode("windows").alias("x"))
     cut = stash(cut.select("key", "x.size", "x.start", F.slice("h", F.col("x.start") + 1, F.col("x.size")).alias("h")), "windows")
     windows = cut.select("key", "size", "start", F.explode("h").alias("sh"))

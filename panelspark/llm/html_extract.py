@@ -260,7 +260,7 @@ def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Data
             best = [best_container(parse(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.path if b else None for b in best], pa.string())], ["host", "path"])
 
-    votes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string")).mapInArrow(run, "host string, path string")
+    votes = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string")).mapInArrow(run, "host string, path string")
     return votes.filter(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -288,7 +288,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ignored; an empty table gives no rows.
     """
     votes = stash(vote(pages, url_col, html_col), "votes")
-    rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias("__html"), host_of(F.col(url_col)).alias("host"))
+    rows = pages.select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), F.col(f"`{html_col}`").cast("string").alias("__html"), host_of(F.col(f"`{url_col}`")).alias("host"))
     few = votes.count() <= broadcast_hosts * PATHS_A_HOST
     ranks: dict[str, dict[str, tuple]] = {}
     for r in votes.collect() if few else ():

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import partitions, stash
+from panelspark.llm.common import BROADCAST_ROWS, discard, few, free_names, partitions, stash
 from panelspark.llm.components import components
 
 WORDS = 5
@@ -39,8 +39,6 @@ STEPS = (16, 32, 64, HASHES)
 TOLERANCE = 1e-9
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1_000_000
-#: Ids of rows to read again up to which they are broadcast (8 bytes each); beyond, a shuffle join of the texts.
-BROADCAST_IDS = 2_000_000
 _seed = np.random.default_rng(20240229)
 _MULTIPLY = _seed.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _seed.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -155,7 +153,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 ["doc_id", "digest", "n", "sig", "bands"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, digest binary, n long, sig binary, bands array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, n long, sig binary, bands array<long>")
 
 
 def _groups(key_columns: int):
@@ -239,7 +237,9 @@ def candidates(sets: DataFrame) -> DataFrame:
                 out = []
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u binary, v binary").distinct()
+    out = stash(dealt.mapInArrow(run, "u binary, v binary").distinct(), "pairs")
+    discard(sizes)
+    return out
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -310,13 +310,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("bands").alias("bands")
     )
     sets = stash(sets, "sets")
-    found = stash(components(candidates(sets)).withColumnRenamed("root", "comp"), "candidates")
-    sizes = found.join(sets.select("id", "n"), "id").groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    want = found.join(sets.select("id", "first_id", "copies", "sig"), "id").select("comp", "id", "first_id", "copies", "sig")
-    linked = stash(verify(_with_shingles(docs, want, id_col, text_col), stash(sizes, "sizes")), "links")
+    pairs = candidates(sets)
+    found = components(pairs).withColumnRenamed("root", "comp")
+    discard(pairs)
+    want = stash(found.join(sets.select("id", "first_id", "copies", "n", "sig"), "id").select("comp", "id", "first_id", "copies", "n", "sig"), "want")
+    sizes = want.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    sizes = stash(sizes, "sizes")
+    shingled = _with_shingles(docs, want.drop("n"), id_col, text_col)
+    linked = stash(verify(shingled, sizes), "links")
+    discard(want, sizes, shingled)
     classes = components(linked.select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("id").agg(F.sum("links").alias("links"))
     labels = stash(sets.select("id", "first_id", "copies").join(classes, "id", "left").join(links, "id", "left").select("id", "first_id", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "labels")
+    discard(sets, linked, classes)
     least = labels.groupBy("root").agg(F.min("first_id").alias("class_id"))
     labels = labels.join(least, "root").select(F.col("id").alias("digest"), F.col("root").alias("class_key"), "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
     out = base.select("doc_id", "digest").join(labels, "digest", "left")
@@ -325,9 +331,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _with_shingles(docs: DataFrame, want: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`want` with the shingles of its sets, read again from the text of each set's first row."""
-    own = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
-    ids = stash(want.select(F.col("first_id").alias("i")).distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    ids = want.select(F.col("first_id").alias("i")).distinct()
+    if ids.count() <= BROADCAST_ROWS:
         own = own.join(F.broadcast(ids), F.col("d").eqNullSafe(F.col("i")), "left_semi")
     rows = own.join(want, F.col("d").eqNullSafe(F.col("first_id"))).select("comp", "id", "copies", "sig", "t")
 
@@ -345,36 +351,39 @@ def _with_shingles(docs: DataFrame, want: DataFrame, id_col: str, text_col: str)
         return once
     # A set whose first id stands on several rows: one of them is enough.
     extra = once.join(again, "id", "left_semi").groupBy("id").agg(*[F.max(c).alias(c) for c in ("comp", "copies", "sig", "sh")])
-    return once.join(again, "id", "left_anti").unionByName(extra.select(*once.columns))
+    out = stash(once.join(again, "id", "left_anti").unionByName(extra.select(*once.columns)), "shingles")
+    discard(once)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay if one of each class does: that of the least id.
 
     Rows without words all stay. Where the least id stands on several rows of a
-    class, or no row of it has an id, any one of them stays.
+    class, or no row of it has an id, any one of them stays. Columns of any name pass through.
     """
     labels = stash(near_duplicates(docs, id_col, text_col), "classes")
     lead = labels.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("digest").isNotNull())
-    odd = stash(lead.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("doc_id").isNull() | (F.col("n") > 1)).select(F.col("doc_id").alias("__odd")), "odd")
-    gone = labels.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    own = F.col(id_col).cast("long")
+    odd_id, gone_id = free_names(docs.columns, "odd", "gone")
+    odd = stash(lead.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("doc_id").isNull() | (F.col("n") > 1)).select(F.col("doc_id").alias(odd_id)), "odd")
+    gone = labels.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(gone_id)).distinct()
+    own = F.col(f"`{id_col}`").cast("long")
     if odd.isEmpty():
-        return docs.join(gone, own.eqNullSafe(F.col("__gone")), "left_anti")
-    gone = gone.join(odd, F.col("__gone").eqNullSafe(F.col("__odd")), "left_anti")
-    plain = docs.join(gone, own.eqNullSafe(F.col("__gone")), "left_anti").join(odd, own.eqNullSafe(F.col("__odd")), "left_anti")
-    names = docs.columns
-    at = names.index(text_col)
+        return docs.join(few(gone), own.eqNullSafe(F.col(gone_id)), "left_anti")
+    gone = gone.join(odd, F.col(gone_id).eqNullSafe(F.col(odd_id)), "left_anti")
+    plain = docs.join(few(gone), own.eqNullSafe(F.col(gone_id)), "left_anti").join(few(odd), own.eqNullSafe(F.col(odd_id)), "left_anti")
+    whole = docs.join(few(odd), own.eqNullSafe(F.col(odd_id)), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())], [*names, "__digest"])
-
-    rows = docs.join(odd, own.eqNullSafe(F.col("__odd")), "left_semi").mapInArrow(digested, T.StructType([*docs.schema.fields, T.StructField("__digest", T.BinaryType())]))
-    classes = lead.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("class_key").alias("__class")).distinct()
-    several = rows.join(classes, (F.col("__digest") == F.col("__d")) & own.eqNullSafe(F.col("__id"))).dropDuplicates(["__class"])
-    return plain.unionByName(rows.filter(F.col("__digest").isNull()).select(*names)).unionByName(several.select(*names))
+            sets = [shingles(t) for t in batch.column(0).field(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())], ["doc", "digest"])
+
+    rows = whole.mapInArrow(digested, T.StructType([*whole.schema.fields, T.StructField("digest", T.BinaryType())]))
+    classes = lead.select(F.col("doc_id").alias("id"), F.col("digest").alias("known"), F.col("class_key").alias("class")).distinct()
+    several = rows.join(classes, (F.col("digest") == F.col("known")) & F.col("doc")[id_col].cast("long").eqNullSafe(F.col("id"))).dropDuplicates(["class"])
+    back = [F.col("doc")[c].alias(c) for c in docs.columns]
+    return plain.unionByName(rows.filter(F.col("digest").isNull()).select(*back)).unionByName(several.select(*back))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def learn_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "la
         for lang, (grams, counts) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * grams.size, pa.string()), pa.array(grams.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
-    rows = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
+    rows = train.filter(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     summed = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return summed.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < profile_size).select("lang", "gram", "rank")
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, F.col(f"`{text_col}`").cast("string")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -125,10 +125,10 @@ def scan(docs: DataFrame, texts=TEXTS + NOTICES, id_col: str = "doc_id", text_co
     pairs = known.collect()  # as many as `texts`
     by_digest = F.create_map(*[F.lit(x) for r in pairs for x in (r.license_digest, r.license_id)])
     digest = lambda x: F.sha2(canonical(x).cast("binary"), 256)
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     lines = F.filter(F.split(F.coalesce(F.when(text.rlike(NOTICE_MARK), text), F.lit("")), "\n"), lambda x: x.rlike(NOTICE_MARK))
     rows = docs.select(
-        F.col(id_col).alias("__id"),
+        F.col(f"`{id_col}`").alias("__id"),
         F.when(text.rlike(TEXT_MARK), digest(text)).alias("license_digest"),
         F.filter(F.transform(lines, lambda x: F.element_at(by_digest, digest(x))), lambda x: x.isNotNull()).alias("__found"),
     )

@@ -33,6 +33,8 @@ from panelspark.llm.common import ASCII_SPACE, partitions, stash
 _STRIP = ASCII_SPACE.encode()
 SHARD_BITS = 1 << 18
 HASHES = 2
+#: Parts that the rows of one line are dealt to in a join on lines.
+SALTS = 16
 
 
 def line_key(line: bytes) -> bytes:
@@ -117,7 +119,7 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
 
 def twice_filter(docs: DataFrame, text: str, bits: int, min_chars: int) -> np.ndarray:
     """The merged "twice" filter: `bits` / 8 bytes, whatever the size of `docs`."""
-    parts = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_partial_filters(bits, min_chars), "shard int, once binary, twice binary")
+    parts = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(_partial_filters(bits, min_chars), "shard int, once binary, twice binary")
     fan = max(2, math.isqrt(partitions(docs.sparkSession)))
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("once", "twice"), F.lit(fan)).cast("int"))
     merged = salted.groupBy("shard", "salt").applyInPandas(_merge, "shard int, once binary, twice binary")
@@ -155,12 +157,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keep = np.flatnonzero(np.logical_and.reduce([_has(twice, x) for x in _positions(hashes, bits)])) if keys else []
             yield pa.RecordBatch.from_pydict({"id": pa.array([ids[j] for j in keep], pa.int64()), "key": pa.array([keys[j] for j in keep], pa.binary())})
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(suspects, "id long, key binary")
+    found = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(suspects, "id long, key binary")
     return found.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id")).filter(F.col("n_docs") >= min_docs)
 
 
-def _cleaner(columns: list[str], table: dict | None, id_at: int, text_at: int, keep_first: bool):
-    """Texts without their banned lines; the banned keys and their first ids come from `table` or from a row's last column."""
+def _cleaner(table: dict | None, id_name: str, text_name: str, keep_first: bool):
+    """Texts without their banned lines; the banned keys and their first ids come from `table` or from a row's second column."""
 
     def one(value: bytes | None, keys: dict, own) -> tuple[int, int, bytes]:
         lines = _lines(value)
@@ -177,15 +179,13 @@ def _cleaner(columns: list[str], table: dict | None, id_at: int, text_at: int, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_at).cast(pa.binary()).to_pylist()
-            ids = batch.column(id_at).to_pylist()
-            keys = [table] * len(texts) if table is not None else [{x["key"]: x["first_id"] for x in own or ()} for own in batch.column(batch.num_columns - 1).to_pylist()]
+            docs = batch.column(0)
+            texts = docs.field(text_name).cast(pa.binary()).to_pylist()
+            ids = docs.field(id_name).to_pylist()
+            keys = [table] * len(texts) if table is not None else [{x["key"]: x["first_id"] for x in own or ()} for own in batch.column(1).to_pylist()]
             rows = [one(*x) for x in zip(texts, keys, ids, strict=True)]
-            out = {name: batch.column(j) for j, name in enumerate(columns)}
-            out["__lines"] = pa.array([r[0] for r in rows], pa.int64())
-            out["__dropped"] = pa.array([r[1] for r in rows], pa.int64())
-            out["__kept"] = pa.array([r[2].decode() for r in rows], pa.string())
-            yield pa.RecordBatch.from_pydict(out)
+            out = [docs, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].decode() for r in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays(out, ["doc", "n_lines", "n_dropped", "kept"])
 
     return run
 
@@ -200,35 +200,36 @@ def dedup_lines(
     max_bits: int = 1 << 27,
     broadcast_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """`docs` and three more columns: `__lines`, `__dropped` (long) and `__kept`, the text without repeated lines.
+    """`doc` (a struct of all columns of a row of `docs`), `n_lines`, `n_dropped` (long) and `kept`, the text without repeated lines.
 
     A line's key is the line stripped of ASCII white space at both ends with A-Z
     lower-cased. Keys of `min_chars` code points in `min_docs` rows or more lose
     all their lines everywhere; with `keep_first` the first line in the row of
     the least id stays. A null or empty text is one empty line and stays (its
-    `__kept` is empty). Rows are judged one by one, so equal rows and null or
-    repeated ids are fine (a key counts once a row). All other columns pass
-    through. An empty table gives an empty table.
+    `kept` is empty). Rows are judged one by one, so equal rows and null or
+    repeated ids are fine (a key counts once a row). Columns of any name travel
+    inside `doc`. An empty table gives an empty table.
     """
     keys = stash(repeated_lines(docs, id_col, text_col, min_docs, min_chars, max_bits), "lines")
     size = keys.agg(F.coalesce(F.sum(F.length("key") + 64), F.lit(0))).first()[0]
-    columns = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__dropped", T.LongType()), T.StructField("__kept", T.StringType())])
-    id_at, text_at = columns.index(id_col), columns.index(text_col)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    schema = T.StructType([*whole.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
     if size > broadcast_bytes:
-        return _dedup_by_join(docs, keys, schema, id_at, text_at, keep_first)
+        return _with_keys(whole, keys, text_col).mapInArrow(_cleaner(None, id_col, text_col, keep_first), schema)
     banned = docs.sparkSession.sparkContext.broadcast({bytes(r.key): r.first_id for r in keys.collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cleaner(columns, banned.value, id_at, text_at, keep_first)(batches)
+        return _cleaner(banned.value, id_col, text_col, keep_first)(batches)
 
-    return docs.mapInArrow(run, schema)
+    return whole.mapInArrow(run, schema)
 
 
-def _dedup_by_join(docs: DataFrame, keys: DataFrame, schema: T.StructType, id_at: int, text_at: int, keep_first: bool) -> DataFrame:
-    """The way for a key table over the broadcast bound: the keys of each text meet the table and return by the text's digest."""
-    columns = docs.columns
-    text = F.coalesce(F.col(columns[text_at]), F.lit("")).cast("binary")
+def _with_keys(whole: DataFrame, keys: DataFrame, text_name: str) -> DataFrame:
+    """`doc` and `keys`, for a key table over the broadcast bound: the keys of each text meet the table and return by the text's digest.
+
+    A line that very many texts have is dealt to SALTS parts.
+    """
+    text = F.coalesce(F.col("doc")[text_name], F.lit("")).cast("binary")
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,18 +238,17 @@ def _dedup_by_join(docs: DataFrame, keys: DataFrame, schema: T.StructType, id_at
                 own = {k for k in map(line_key, _lines(value)) if k}
                 digests += [hashlib.sha256(value).digest()] * len(own)
                 lines += own
-            yield pa.RecordBatch.from_pydict({"__digest": pa.array(digests, pa.binary()), "key": pa.array(lines, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "key": pa.array(lines, pa.binary())})
 
-    pairs = docs.select(text.alias("t")).mapInArrow(exploded, "__digest binary, key binary")
-    hits = pairs.join(keys, "key").groupBy("__digest").agg(F.collect_set(F.struct("key", "first_id")).alias("__keys"))
-    found = docs.withColumn("__digest", F.unhex(F.sha2(text, 256))).join(hits, "__digest", "left")
-    return found.select(*[F.col(f"`{c}`") for c in columns], "__keys").mapInArrow(_cleaner(columns, None, id_at, text_at, keep_first), schema)
+    pairs = whole.select(text.alias("t")).mapInArrow(exploded, "digest binary, key binary").withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
+    dealt = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = pairs.join(dealt, ["key", "salt"]).groupBy("digest").agg(F.collect_set(F.struct("key", "first_id")).alias("keys"))
+    return whole.withColumn("digest", F.unhex(F.sha2(text, 256))).join(hits, "digest", "left").select("doc", "keys")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs)
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
+    return dedup_lines(docs).select(F.col("doc")["doc_id"].alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -85,31 +85,30 @@ def judge(text: str | None) -> tuple[int, int, int, int, int, bool, bool, str |
 
 
 def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with `__n_words`, `__word_chars`, `__n_symbols`, `__n_dup_lines`, `__n_repeat_words` (long), `__base_failed`, `__kept` (boolean) and `__clean` (the text without failed lines).
+    """`doc` (a struct of all columns of a row of `docs`) with `n_words`, `word_chars`, `n_symbols`, `n_dup_lines`, `n_repeat_words` (long), `base_failed`, `kept` (boolean) and `clean` (the text without failed lines).
 
     Words are runs of `[^\\x20\\x09-\\x0D]`. A null text has no words: its base
-    fails and `__clean` is null; an empty text likewise with `__clean` empty.
-    Lines without a word are neither judged nor lost. Rows are independent, so
-    repeated rows, ties and null ids need no care; other columns pass through.
+    fails and `clean` is null; an empty text likewise with `clean` empty. Lines
+    without a word are neither judged nor lost. Rows are independent, so repeated
+    rows, ties and null ids need no care; columns of any name travel inside `doc`.
     """
-    columns = docs.columns
-    at = columns.index(text_col)
-    names = [f"__{x}" for x in (*COUNTS, *FLAGS, "clean")]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    names = [*COUNTS, *FLAGS, "clean"]
     types = [pa.int64()] * len(COUNTS) + [pa.bool_()] * len(FLAGS) + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [judge(x) for x in batch.column(at).to_pylist()]
+            rows = [judge(x) for x in batch.column(0).field(text_col).to_pylist()]
             made = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(made, types, strict=True))], [*columns, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(made, types, strict=True))], ["doc", *names])
 
     kinds = {pa.int64(): T.LongType(), pa.bool_(): T.BooleanType(), pa.string(): T.StringType()}
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(n, kinds[t]) for n, t in zip(names, types, strict=True)]]))
+    return whole.mapInArrow(run, T.StructType([*whole.schema.fields, *[T.StructField(n, kinds[t]) for n, t in zip(names, types, strict=True)]]))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return quality(docs).select("doc_id", *[F.col(f"__{x}").alias(x) for x in (*COUNTS, *FLAGS)])
+    return quality(docs).select(F.col("doc")["doc_id"].alias("doc_id"), *COUNTS, *FLAGS)
 
 
 def _sql(pattern: str) -> str:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import partitions, stash, text_key
+from panelspark.llm.common import discard, few, partitions, stash, text_key
 from panelspark.llm.jaccard_join import _groups, _mix
 from panelspark.llm.suffix_array import common_prefixes, suffix_array
 
@@ -151,15 +151,18 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int = LENGTH, gram: i
                 ["key", "s0", "s1", "hash", "many"],
             )
 
-    source = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").cast("binary").alias("text")).filter(F.length("text") >= length)
+    source = docs.select(text_key(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")).filter(F.length("text") >= length)
     runs = stash(source.mapInArrow(anchors, "key binary, s0 long, s1 long, hash long, many boolean"), "runs")
     place = F.struct("key", "s0")
     again = runs.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("many").alias("many")).filter("a != b or many").select("hash")
     hits = stash(runs.join(again, "hash").groupBy("key", "s0", "s1").agg(F.max("hash").alias("hash")), "hits")
     hot = hits.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_runs).select("hash", F.lit(True).alias("hot"))
     by_text = hits.join(hot, "hash", "left").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s0", "s1", "hash", F.coalesce("hot", F.lit(False)).alias("hot")))).alias("runs"))
-    texts = source.groupBy("key").agg(F.first("text").alias("text")).join(by_text, "key")
+    by_text = stash(by_text, "by_text")
+    wanted = source.join(few(by_text.select("key")), "key", "left_semi")
+    texts = wanted.groupBy("key").agg(F.first("text").alias("text")).join(by_text, "key")
     texts = stash(texts, "texts")
+    discard(runs, by_text)
     total = hits.agg(F.coalesce(F.sum(F.col("s1") - F.col("s0") + length), F.lit(0))).first()[0]
     shards = max(1, int(total // shard_bytes))
     exploded = texts.select("key", "text", F.explode("runs").alias("r"))
@@ -210,8 +213,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text is empty and keeps nothing. Repeated rows are copies of each other.
     Null ids stay; extra columns are ignored; an empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    keys = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(F.col(f"`{text_col}`")).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
     texts, spans = repeated_spans(docs, text_col, length, gram, shard_bytes, hot_runs)
     by_text = spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("s"))
 

@@ -54,8 +54,8 @@ def test_lines(spark, keep_first, broadcast):
     ids = [*range(len(ODD) - 2), None, 3]
     docs = table(spark, ODD, ids)
     out = line_dedup.dedup_lines(docs, min_docs=3, keep_first=keep_first, broadcast_bytes=broadcast)
-    assert out.columns[:5] == docs.columns
-    got = sorted(((r.doc_id, r["__lines"], r["__dropped"], r["__kept"]) for r in out.collect()), key=str)
+    assert out.schema["doc"].dataType.names == docs.columns
+    got = sorted(((r.doc.doc_id, r.n_lines, r.n_dropped, r.kept) for r in out.collect()), key=str)
     assert got == lines_by_hand(ODD, ids, 3, keep_first)
 
 
@@ -65,7 +65,7 @@ def test_lines_many_texts_and_full_filter(spark):
     docs = table(spark, texts).repartition(5)
     for bits in (line_dedup.SHARD_BITS, line_dedup.SHARD_BITS * 4):
         out = line_dedup.dedup_lines(docs, min_docs=10, max_bits=bits)
-        got = sorted(((r.doc_id, r["__lines"], r["__dropped"], r["__kept"]) for r in out.collect()), key=str)
+        got = sorted(((r.doc.doc_id, r.n_lines, r.n_dropped, r.kept) for r in out.collect()), key=str)
         assert got == lines_by_hand(texts, list(range(300)), 10, False)
 
 
@@ -93,21 +93,22 @@ def test_bloom_pair_never_misses():
 def test_quality_counts_by_hand(spark):
     texts = [*ODD, "one two three one two three", "a b c d a b c", "w " * 60 + ".", "Menu | Home"]
     for r in quality_rules.quality(table(spark, texts)).collect():
-        words = (r.text or "").encode().split()
+        text = r.doc.text or ""
+        words = text.encode().split()
         windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
         covered = {i + k for i in range(len(words) - 2) for k in range(3) if windows[tuple(words[i : i + 3])] > 1}
-        lines = [x for x in (r.text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-        got = (r["__n_words"], r["__word_chars"], r["__n_symbols"], r["__n_dup_lines"], r["__n_repeat_words"])
-        assert got == (len(words), sum(len(w.decode()) for w in words), sum(ch in "#*$%&|<>" for ch in r.text or ""), len(lines) - len(set(lines)), len(covered))
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        got = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+        assert got == (len(words), sum(len(w.decode()) for w in words), sum(ch in "#*$%&|<>" for ch in text), len(lines) - len(set(lines)), len(covered))
 
 
 def test_quality_verdicts(spark):
     prose = " ".join(f"Sentence{i} number{i} ends{i} here{i}." for i in range(20))
     junk = " ".join(f"word{i}###" for i in range(80))
     texts = [prose, junk, prose + "\nHome | Login | Menu\nAll rights reserved.", prose + "\n" + "\n".join(f"no stop in this line {i} at all and so on {i * 7}" for i in range(60)), None]
-    got = {r.doc_id: r for r in quality_rules.quality(table(spark, texts)).collect()}
-    assert [got[i]["__kept"] for i in range(5)] == [True, False, True, False, False]
-    assert got[2]["__clean"] == prose and got[4]["__clean"] is None
+    got = {r.doc.doc_id: r for r in quality_rules.quality(table(spark, texts)).collect()}
+    assert [got[i]["kept"] for i in range(5)] == [True, False, True, False, False]
+    assert got[2]["clean"] == prose and got[4]["clean"] is None
     assert quality_rules.quality(table(spark, [])).count() == 0
 
 

@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from panelspark.llm import components, decontaminate, jaccard_join, substring_dedup
+from panelspark.llm.common import stash
 from panelspark.llm.suffix_array import common_prefixes, suffix_array
 
 SCHEMA = "doc_id long, text string, class_id string, key string, id int"
@@ -152,7 +153,7 @@ def near_texts():
 @pytest.mark.parametrize("block", [1024, 7])
 def test_near_duplicates(spark, near_texts, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 10**6 if block > 100 else 0)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 10**6 if block > 100 else 0)
     ids = [*range(len(near_texts) - 3), None, 0, 5]
     got = jaccard_join.near_duplicates(table(spark, near_texts, ids)).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == classes_by_hand(near_texts, ids)
@@ -252,17 +253,17 @@ def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality_rules" and len(corpus_pipeline.STAGES) == 5
     before = {r.doc_id: r for r in docs.collect()}
-    kept = corpus_pipeline.quality_stage(spark, docs, sf)
-    assert kept.columns == docs.columns and kept.schema == docs.schema
+    kept = stash(corpus_pipeline.quality_stage(spark, docs, sf), "t")
+    assert kept.schema == docs.schema
     from panelspark.llm.quality_rules import judge
 
     want = {i: judge(r.text)[7] for i, r in before.items() if judge(r.text)[6]}
     got = {r.doc_id: r for r in kept.collect()}
     assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values() if r.text != before[r.doc_id].text)
-    lines = corpus_pipeline.line_stage(spark, kept, sf)
+    lines = stash(corpus_pipeline.line_stage(spark, kept, sf), "t")
     assert lines.count() == kept.count() and lines.columns == docs.columns
     texts = [(r.doc_id, r.text) for r in lines.collect()]
-    near = corpus_pipeline.near_duplicate_stage(spark, lines, sf)
+    near = stash(corpus_pipeline.near_duplicate_stage(spark, lines, sf), "t")
     classes = classes_by_hand([t for _, t in texts], [i for i, _ in texts])
     assert {r.doc_id for r in near.collect()} == {i for i, c, _ in classes if i == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -282,3 +283,25 @@ def test_pipeline_with_odd_rows(spark, sf):
     assert corpus_pipeline.quality_stage(spark, docs, sf).count() == 0
     assert corpus_pipeline.packing_stage(spark, docs, sf).count() == 3
     assert corpus_pipeline.packing_stage(spark, docs.limit(0), sf).count() == 0
+
+
+CLASHING = ("__kept", "__key", "__gone", "a.b", "doc", "kept", "KEY", "odd", "gone", "own", "digest", "known", "class", "n_lines", "words")
+
+
+def test_columns_of_any_name_pass_through(spark, sf):
+    from panelspark.llm import line_dedup, quality_rules
+
+    prose = " ".join(f"Sentence{i} number{i} ends{i} here{i}." for i in range(20))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(1, prose), (2, prose), (3, prose + " " + item), (4, None), (4, ""), (None, prose), (None, prose)]
+    docs = spark.createDataFrame([(i, t, *["v"] * len(CLASHING)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and all(tuple(r)[2:] == ("v",) * len(CLASHING) for r in out.collect())
+    assert corpus_pipeline.packing_stage(spark, docs, sf).count() == len(rows)
+    assert corpus_pipeline.decontamination_stage(spark, docs, sf).count() == len(rows) - 1
+    assert corpus_pipeline.near_duplicate_stage(spark, docs, sf).count() == 4
+    docs = docs.limit(5)
+    dotted = docs.withColumnsRenamed({"doc_id": "the.id", "text": "the.text"})
+    assert line_dedup.dedup_lines(dotted, "the.id", "the.text").count() == quality_rules.quality(dotted, "the.text").count() == 5
+    assert jaccard_join.near_duplicates(dotted, "the.id", "the.text").count() == 5
