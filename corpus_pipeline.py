@@ -19,21 +19,22 @@ from panelspark.llm.quality_rules import quality
 
 
 def _with_text(rows: DataFrame, columns: list[str], text: Column, changed: Column) -> DataFrame:
-    """`columns` of `rows`, with the new text (null stays null) and its length where it changed."""
-    new = F.when(F.col("text").isNotNull(), text)
-    put = {"text": new, "n_chars": F.when(changed, F.length(new).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in columns else {"text": new}
-    return rows.select(*[put[c].alias(c) if c in put else F.col(f"`{c}`") for c in columns])
+    """`columns` of `doc` in `rows`, with the new text (null stays null) and its length where it changed."""
+    own = {c: F.col("doc")[c] for c in columns}
+    new = F.when(own["text"].isNotNull(), text)
+    put = {"text": new, "n_chars": F.when(changed, F.length(new).cast("long")).otherwise(own["n_chars"])} if "n_chars" in columns else {"text": new}
+    return rows.select(*[put.get(c, own[c]).alias(c) for c in columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines that fail."""
-    kept = quality(docs).filter("__kept")
-    return _with_text(kept, docs.columns, F.col("__clean"), ~F.col("__clean").eqNullSafe(F.col("text")))
+    kept = quality(docs).filter("kept")
+    return _with_text(kept, docs.columns, F.col("clean"), ~F.col("clean").eqNullSafe(F.col("doc")["text"]))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that ten or more of them have."""
-    return _with_text(dedup_lines(docs), docs.columns, F.col("__kept"), F.col("__dropped") > 0)
+    return _with_text(dedup_lines(docs), docs.columns, F.col("kept"), F.col("n_dropped") > 0)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
