@@ -242,11 +242,39 @@ def test_leaks(spark):
     assert decontaminate.leaks(table(spark, texts), bench.limit(0)).count() == 0
 
 
-def test_fingerprint_blocks_cover_all_bits(spark):
+def test_grids_take_every_length():
+    grids = list(decontaminate.Grid.all())
+    assert [g.longest for g in grids[:4]] == [12, 64, 256, 1024] and all(g.longest < 1 << (g.width - 1) for g in grids)
+    for g, before in zip(grids[:6], [4, *[x.longest for x in grids]], strict=False):
+        for n in range(before + 1, min(g.longest, before + 500) + 1):
+            assert abs(g.words(n) - n) <= g.unit and g.words(n) % g.unit == 0
+
+
+@pytest.mark.parametrize("at", [0, 1, 2])
+def test_fingerprints_by_hand(spark, at):
+    """Majority votes, counted one by one."""
     from pyspark.sql import functions as F
 
-    row = spark.range(1).select(F.lit(-1).cast("long").alias("fp")).select(decontaminate._blocks("fp").alias("b")).first()
-    assert len(row.b) == decontaminate.RADIUS + 1 and sum(bin(x.value).count("1") for x in row.b) == 64
+    grid = list(decontaminate.Grid.all())[at]
+    grid = decontaminate.Grid(min(grid.unit, 4), grid.longest, grid.width, grid.radius)
+    rng = np.random.default_rng(at)
+    hashes = rng.integers(-(2**63), 2**63 - 1, 75, dtype=np.int64).tolist()
+    width = 7 * grid.unit
+    rows = spark.createDataFrame([(hashes,)], "w array<long>").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(70), F.lit(3))))
+    rows = rows.select("start", (F.size("w") - F.col("start")).alias("left"), *grid.unit_votes("w", "start", 7))
+    fp = grid.fingerprint(width, "left")
+    for r in rows.select("start", fp.alias("fp"), grid.keys(F.lit(width), fp).alias("b")).collect():
+        own = hashes[r.start : r.start + width]
+        want = 0
+        for group in range(grid.width):
+            for lane in range(grid.lanes):
+                votes = sum(h >> (grid.lanes * group + lane) & 1 for h in own)
+                want |= (votes > len(own) // 2) << (grid.width * lane + group)
+        assert r.fp == want
+        size = grid.bits // decontaminate.BLOCKS
+        assert sum((k & (1 << size) - 1) << size * i for i, k in enumerate(r.b)) == want and [k >> size for k in r.b] == [width * decontaminate.BLOCKS + i for i in range(decontaminate.BLOCKS)]
+    n = grid.radius // decontaminate.BLOCKS
+    assert len(set(grid.neighbours())) == len(grid.neighbours()) and max(bin(x).count("1") for x in grid.neighbours()) == n
 
 
 def test_pipeline_stages(spark, sf):
