@@ -68,10 +68,9 @@ def segments(c: Column) -> Column:
 
 
 def status_category(c: Column) -> Column:
-    """pending (or null), downloading, failed, completed or other."""
-    low = F.lower(c)
+    """pending (or null, or empty), downloading, failed, completed or other; statuses are as they are written."""
     return (
-        F.when(c.isNull() | (low == "pending"), "pending").when(low == "downloading", "downloading").when(low.startswith("failed"), "failed").when(low == "completed", "completed").otherwise("other")
+        F.when(c.isNull() | c.isin("", "pending"), "pending").when(c == "DOWNLOADING", "downloading").when(c.startswith("FAILED:"), "failed").when(c == "completed", "completed").otherwise("other")
     )
 
 
@@ -111,10 +110,9 @@ def duration_seconds(c: Column) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    """`HH:MM:SS`, or `D-HH:MM:SS` from a day on."""
+    """`D-HH:MM:SS`."""
     s = seconds.cast("long")
-    clock = F.format_string("%02d:%02d:%02d", (s / 3600).cast("long") % 24, (s / 60).cast("long") % 60, s % 60)
-    return F.when(s >= 86400, F.concat((s / 86400).cast("long").cast("string"), F.lit("-"), clock)).otherwise(clock)
+    return F.format_string("%d-%02d:%02d:%02d", (s / 86400).cast("long"), (s / 3600).cast("long") % 24, (s / 60).cast("long") % 60, s % 60)
 
 
 def elapsed(start: Column, end: Column) -> Column:

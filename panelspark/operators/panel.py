@@ -41,8 +41,12 @@ def combine(tables: list[DataFrame], index: list[str], policy: str = "progressiv
 
 
 def update_merge(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """`base` with the columns of `new` in place of its own of that name; never more rows."""
-    once = new.dropDuplicates(keys) if new.columns != keys else new
+    """`base` with the columns of `new` in place of its own of that name; never more rows.
+
+    Of several new rows of a key the least counts, column by column in order.
+    """
+    values = [c for c in new.columns if c not in keys]
+    once = new.groupBy(*keys).agg(F.min(F.struct(*values)).alias("__v")).select(*keys, *[F.col("__v")[c].alias(c) for c in values]) if values else new.distinct()
     kept = base.drop(*[c for c in new.columns if c not in keys])
     right = once.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in new.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
@@ -73,6 +77,19 @@ def select_available(df: DataFrame, wanted: list[str], prefix: str = "", keys: t
     return df.select(*[k for k in keys if k in df.columns], *[F.col(c).alias(prefix + c) for c in found]), missing
 
 
+def resolve_column(df: DataFrame, candidates: list[str], keys: tuple[str, ...] = ()) -> str | None:
+    """The column that the first candidate names, exactly or else in other case; else the only one beside `keys`; else none."""
+    found = [c for c in df.columns if c not in keys]
+    lower = {c.lower(): c for c in found}
+    for c in candidates:
+        if c in found:
+            return c
+    for c in candidates:
+        if c.lower() in lower:
+            return lower[c.lower()]
+    return found[0] if len(found) == 1 else None
+
+
 def explode_years(df: DataFrame, start: Column, end: Column, low: int | None = None, high: int | None = None, name: str = "year") -> DataFrame:
     """A row for each year of [start, end] within [low, high]; an open end is `high`; an empty interval has no row."""
     lo = F.greatest(start, F.lit(low)) if low is not None else start

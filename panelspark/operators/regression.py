@@ -14,20 +14,40 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.stats import with_means
 from panelspark.storage import stash
 
 INTERCEPT = "Intercept"
 
 
-def _col(name: str) -> Column:
-    return F.lit(1.0) if name == INTERCEPT else F.col(name).cast("double")
+def _col(name: str, centre: dict[str, float] | None = None) -> Column:
+    if name == INTERCEPT:
+        return F.lit(1.0)
+    mean = (centre or {}).get(name, 0.0)
+    return F.col(name).cast("double") - F.lit(mean) if mean else F.col(name).cast("double")
 
 
-def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> tuple[np.ndarray, float]:
-    """Cross products of the columns and the number of rows, in one aggregate."""
+def _means(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Means to centre columns by: sums of squares of what is left do not cancel, however large the values and many the rows."""
+    names = [c for c in dict.fromkeys(columns) if c != INTERCEPT]
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    return {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(names)}
+
+
+def _uncentre(names: list[str], beta: np.ndarray, vcov: np.ndarray, centre: dict[str, float], y: str) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and covariance of columns as they are, from those of centred ones: the intercept alone moves."""
+    turn = np.eye(len(names))
+    turn[0, 1:] = [-centre[c] for c in names[1:]]
+    out = turn @ beta
+    out[0] += centre[y]
+    return out, turn @ vcov @ turn.T
+
+
+def gram(df: DataFrame, columns: list[str], weight: str | None = None, centre: dict[str, float] | None = None) -> tuple[np.ndarray, float]:
+    """Cross products of the columns (less the means in `centre`) and the number of rows, in one aggregate."""
     w = F.col(weight) if weight else F.lit(1.0)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(*[F.sum(w * _col(columns[i]) * _col(columns[j])).alias(f"g{i}_{j}") for i, j in pairs], F.sum(w).alias("n")).first()
+    row = df.agg(*[F.sum(w * _col(columns[i], centre) * _col(columns[j], centre)).alias(f"g{i}_{j}") for i, j in pairs], F.sum(w).alias("n")).first()
     out = np.zeros((len(columns), len(columns)))
     for i, j in pairs:
         out[i, j] = out[j, i] = row[f"g{i}_{j}"] or 0.0
@@ -83,6 +103,10 @@ class Fit:
         t = np.divide(self.coef, self.se, out=np.full(len(self.coef), np.nan), where=self.se > 0)
         return [(n, float(b), float(s), float(x), t_pvalue(float(x), self.df)) for n, b, s, x in zip(self.names, self.coef, self.se, t, strict=True)]
 
+    def top(self, n: int) -> list[tuple[str, float, float, float, float]]:
+        """The `n` rows of the greatest coefficients by magnitude, without the intercept."""
+        return sorted((r for r in self.rows() if r[0] != INTERCEPT), key=lambda r: -abs(r[1]))[:n]
+
     def joint_f(self) -> float:
         """Wald F of all coefficients but the intercept."""
         keep = [i for i, n in enumerate(self.names) if n != INTERCEPT]
@@ -129,11 +153,15 @@ def _meat(df: DataFrame, se: str, cluster: list[str], regressors: list[Column],
 
 
 def ols(df: DataFrame, y: str, x: list[str], cluster: list[str] | None = None, se: str = "iid", intercept: bool = True, weight: str | None = None, ridge: float = 0.0, absorbed: int = 0) -> Fit:
-    """Least squares. `se`: iid, HC1, or by one or two cluster columns. `absorbed` counts fixed effects taken out before."""
+    """Least squares. `se`: iid, HC1, or by one or two cluster columns. `absorbed` counts fixed effects taken out before.
+
+    `weight` counts for as many rows in the sums; the robust errors weight each row's score.
+    """
     cluster = cluster or []
-    clean = df.dropna(subset=[y, *x, *cluster])
+    clean = df.dropna(subset=[*dict.fromkeys([y, *x, *cluster, *([weight] if weight else [])])])
     names = [INTERCEPT, *x] if intercept else list(x)
-    g, n = gram(clean, [*names, y], weight)
+    centre = _means(clean, [*x, y]) if intercept and not ridge else {c: 0.0 for c in [*x, y]}
+    g, n = gram(clean, [*names, y], weight, centre)
     k = len(names)
     xx, xy, yy = g[:k, :k] + ridge * np.eye(k), g[:k, k], g[k, k]
     beta = np.linalg.solve(xx, xy)
@@ -141,12 +169,16 @@ def ols(df: DataFrame, y: str, x: list[str], cluster: list[str] | None = None, s
     df_resid = n - k - absorbed
     bread = np.linalg.inv(xx)
     if cluster or se == "HC1":
-        resid = F.col(y).cast("double") - sum((F.lit(float(b)) * _col(c) for b, c in zip(beta, names, strict=True)), F.lit(0.0))
-        vcov = bread @ _meat(clean, se, cluster, [_col(c) for c in names], resid, n, k + absorbed) @ bread
+        regressors = [_col(c, centre) for c in names]
+        resid = _col(y, centre) - sum((F.lit(float(b)) * z for b, z in zip(beta, regressors, strict=True)), F.lit(0.0))
+        resid = resid * F.col(weight) if weight else resid
+        vcov = bread @ _meat(clean, se, cluster, regressors, resid, n, k + absorbed) @ bread
     else:
         vcov = bread * rss / df_resid
     mean = g[0, k] / n if intercept else 0.0
     tss = yy - n * mean * mean
+    if intercept:
+        beta, vcov = _uncentre(names, beta, vcov, centre, y)
     r2 = 1 - rss / tss if tss > 0 else float("nan")
     stats = {"rss": rss, "tss": tss, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - intercept) / df_resid, "rmse": math.sqrt(max(rss, 0) / df_resid)}
     q = k - int(intercept)
@@ -156,13 +188,17 @@ def ols(df: DataFrame, y: str, x: list[str], cluster: list[str] | None = None, s
     return Fit(names, beta, vcov, n, df_resid, {k: float(v) for k, v in stats.items()})
 
 
-def tsls(df: DataFrame, y: str, exog: list[str], endog: list[str], instruments: list[str], cluster: list[str] | None = None, weak: float = 10.0) -> Fit:
-    """Two-stage least squares from one Gram matrix; first stages with the F of the instruments and a flag where it is weak."""
+def tsls(df: DataFrame, y: str, exog: list[str], endog: list[str], instruments: list[str], cluster: list[str] | None = None, weak: float = 10.0, intercept: bool = True, absorbed: int = 0) -> Fit:
+    """Two-stage least squares from one Gram matrix; first stages with the F of the instruments and a flag where it is weak.
+
+    `absorbed` counts fixed effects taken out before; such data have no intercept.
+    """
     cluster = cluster or []
     clean = df.dropna(subset=[y, *exog, *endog, *instruments, *cluster])
-    w = [INTERCEPT, *exog]
+    w = [INTERCEPT, *exog] if intercept else list(exog)
     columns = [*w, *instruments, *endog, y]
-    g, n = gram(clean, columns)
+    centre = _means(clean, columns) if intercept else {c: 0.0 for c in columns}
+    g, n = gram(clean, columns, centre=centre)
     at = {c: i for i, c in enumerate(columns)}
     iz, ix, iy = [at[c] for c in [*w, *instruments]], [at[c] for c in [*w, *endog]], at[y]
     zz, zx, zy = g[np.ix_(iz, iz)], g[np.ix_(iz, ix)], g[iz, iy]
@@ -170,24 +206,31 @@ def tsls(df: DataFrame, y: str, exog: list[str], endog: list[str], instruments:
     bread = np.linalg.inv(zx.T @ pi)
     beta = bread @ (pi.T @ zy)
     k = len(ix)
+    df_resid = n - k - absorbed
     rss = float(g[iy, iy] - 2 * beta @ g[ix, iy] + beta @ g[np.ix_(ix, ix)] @ beta)
     if cluster:
-        fitted = [sum((F.lit(float(pi[r, c])) * _col(columns[z]) for r, z in enumerate(iz)), F.lit(0.0)) for c in range(k)]
-        resid = F.col(y).cast("double") - sum((F.lit(float(b)) * _col(columns[i]) for b, i in zip(beta, ix, strict=True)), F.lit(0.0))
-        vcov = bread @ _meat(clean, "cluster", cluster, fitted, resid, n, k) @ bread
+        fitted = [sum((F.lit(float(pi[r, c])) * _col(columns[z], centre) for r, z in enumerate(iz)), F.lit(0.0)) for c in range(k)]
+        resid = _col(y, centre) - sum((F.lit(float(b)) * _col(columns[i], centre) for b, i in zip(beta, ix, strict=True)), F.lit(0.0))
+        vcov = bread @ _meat(clean, "cluster", cluster, fitted, resid, n, k + absorbed) @ bread
     else:
-        vcov = bread * rss / (n - k)
-    fit = Fit([*w, *endog], beta, vcov, n, n - k, {"rss": rss, "rmse": math.sqrt(max(rss, 0) / (n - k))})
+        vcov = bread * rss / df_resid
+    names = [*w, *endog]
+    if intercept:
+        beta, vcov = _uncentre(names, beta, vcov, centre, y)
+    fit = Fit(names, beta, vcov, n, df_resid, {"rss": rss, "rmse": math.sqrt(max(rss, 0) / df_resid)})
     for name in endog:
         e = at[name]
         coef = np.linalg.solve(zz, g[iz, e])
         full = float(g[e, e] - coef @ g[iz, e])
         few = [at[c] for c in w]
-        part = np.linalg.solve(g[np.ix_(few, few)], g[few, e])
+        part = np.linalg.solve(g[np.ix_(few, few)], g[few, e]) if few else np.zeros(0)
         short = float(g[e, e] - part @ g[few, e])
-        d2 = n - len(iz)
+        d2 = n - len(iz) - absorbed
         f = ((short - full) / len(instruments)) / (full / d2)
-        fit.first_stage[name] = Fit([*w, *instruments], coef, np.linalg.inv(zz) * full / d2, n, d2, {"f": f, "f_pvalue": f_pvalue(f, len(instruments), d2), "weak": float(f < weak)})
+        first, spread = coef, np.linalg.inv(zz) * full / d2
+        if intercept:
+            first, spread = _uncentre([*w, *instruments], first, spread, centre, name)
+        fit.first_stage[name] = Fit([*w, *instruments], first, spread, n, d2, {"f": f, "f_pvalue": f_pvalue(f, len(instruments), d2), "weak": float(f < weak)})
     return fit
 
 
@@ -199,7 +242,9 @@ def prune_singletons(df: DataFrame, effects: list[str], iterative: bool = True)
     before = None
     while True:
         for e in effects:
-            df = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(e))).filter("__n > 1").drop("__n")
+            # Groups are counted by partial aggregates: none has to meet in one task.
+            alone = df.groupBy(F.col(e).alias("__alone")).agg(F.count(F.lit(1)).alias("__n")).filter("__n = 1").select("__alone")
+            df = df.join(alone, F.col(e).eqNullSafe(F.col("__alone")), "left_anti")
         if not iterative:
             return df
         df = stash(df, "pruned")
@@ -242,17 +287,23 @@ def demean(df: DataFrame, effects: list[str], values: list[str], tolerance: floa
     raise RuntimeError(f"demean: group means above {tolerance:g} after {max_rounds} rounds")
 
 
+def absorbed_by(df: DataFrame, effects: list[str]) -> int:
+    """Degrees of freedom that the effects take: their groups, one less for each effect after the first."""
+    groups = df.agg(*[F.count_distinct(e).alias(e) for e in effects]).first()
+    return sum(groups[e] for e in effects) - (len(effects) - 1)
+
+
 def fe_ols(df: DataFrame, y: str, x: list[str], effects: list[str], method: str = "demean", cluster: list[str] | None = None, **options) -> Fit:
     """OLS with fixed effects: `demean`, `mundlak` (group means of x as regressors) or `auto` (means for the effect with most groups, the others swept out)."""
     clean = df.dropna(subset=list(dict.fromkeys([y, *x, *effects, *(cluster or [])])))
     if method == "demean":
         swept = stash(demean(clean.select(*dict.fromkeys([*effects, *(cluster or [])]), *[F.col(c).cast("double").alias(c) for c in [y, *x]]), effects, [y, *x], **options), "swept")
-        groups = swept.agg(*[F.count_distinct(e).alias(e) for e in effects]).first()
-        absorbed = sum(groups[e] for e in effects) - (len(effects) - 1)
-        return ols(swept, y, x, cluster, intercept=False, absorbed=absorbed)
+        return ols(swept, y, x, cluster, intercept=False, absorbed=absorbed_by(swept, effects))
     by = effects if method == "mundlak" else effects[:1]
-    extra = {f"{v}_mean_{e}": F.avg(v).over(Window.partitionBy(e)) for e in by for v in x}
-    wide = clean.withColumns(extra)
+    extra = [f"{v}_mean_{e}" for e in by for v in x]
+    wide = clean
+    for e in by:
+        wide = with_means(wide, [e], {v: f"{v}_mean_{e}" for v in x})
     if method == "mundlak" or len(effects) == 1:
         return ols(wide, y, [*x, *extra], cluster)
     rest = demean(wide.withColumns({c: F.col(c).cast("double") for c in [y, *x, *extra]}), effects[1:], [y, *x, *extra], **options)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,10 +59,23 @@ def lags(df: DataFrame, by: list[str], order: list[str], values: list[str]) -> D
     return df.select("*", *[p.alias(f"{v}_lag") for v, p in prev.items()], *[(F.col(v) - p).alias(f"{v}_diff") for v, p in prev.items()])
 
 
+def with_means(df: DataFrame, by: list[str], names: dict[str, str], broadcast: bool = False) -> DataFrame:
+    """`df` and the group mean of each value (value -> new name).
+
+    Means come from partial aggregates and are joined back, so that no group has
+    to meet in one task; null keys are a group. `broadcast` is for callers that
+    know the groups to be few; else Spark goes by the means' size as it runs.
+    """
+    keys = {k: f"__key_{i}" for i, k in enumerate(by)}
+    means = df.groupBy(*[F.col(k).alias(n) for k, n in keys.items()]).agg(*[F.avg(v).alias(n) for v, n in names.items()])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in keys.items()])
+    return df.join(F.broadcast(means) if broadcast else means, same).drop(*keys.values())
+
+
 def within(df: DataFrame, by: list[str], values: list[str], suffix: str = "_within") -> DataFrame:
     """Values less their group means."""
-    w = Window.partitionBy(*by)
-    return df.select("*", *[(F.col(v) - F.avg(v).over(w)).alias(v + suffix) for v in values])
+    names = {v: f"__mean_{i}" for i, v in enumerate(values)}
+    return with_means(df, by, names).select(*df.columns, *[(F.col(v) - F.col(m)).alias(v + suffix) for v, m in names.items()])
 
 
 def twoway_demean(df: DataFrame, unit: str, time: str, values: list[str], suffix: str = "_twoway_demeaned") -> DataFrame:
@@ -72,8 +87,7 @@ def twoway_demean(df: DataFrame, unit: str, time: str, values: list[str], suffix
 
 def group_means(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """Group means beside the rows (Mundlak terms)."""
-    w = Window.partitionBy(*by)
-    return df.select("*", *[F.avg(v).over(w).alias(f"{v}_mean_{'_'.join(by)}") for v in values])
+    return with_means(df, by, {v: f"{v}_mean_{'_'.join(by)}" for v in values})
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, x_range: tuple[float, float, int], y_range: tuple[float, float, int]) -> DataFrame:

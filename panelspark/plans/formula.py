@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.operators.regression import Fit, fe_ols, ols, tsls
+from panelspark.operators.regression import Fit, absorbed_by, constant_columns, demean, fe_ols, ols, tsls
+from panelspark.storage import stash
 
 
 @dataclass
@@ -79,21 +80,23 @@ def model_frame(df: DataFrame, f: Formula) -> tuple[DataFrame, dict[str, str]]:
     return df.select(*[(term(t) if t in keys else term(t).cast("double")).alias(n) for t, n in names.items()]), names
 
 
-def fit(df: DataFrame, formula: str, where: str | None = None, fe_method: str = "demean", se: str = "iid", **options) -> Fit:
-    """Fits a formula over the rows that `where` keeps."""
+def fit(df: DataFrame, formula: str, where: str | None = None, fe_method: str = "demean", se: str = "iid", drop_constants: bool = True, **options) -> Fit:
+    """Fits a formula over the rows that `where` keeps; regressors that are constant there are left out."""
     f = parse(formula)
     rows = df.filter(where) if where else df
     frame, names = model_frame(rows, f)
     pick = lambda ts: [names[t] for t in ts]
     back = {n: t for t, n in names.items()}
+    if drop_constants and f.x:
+        gone = set(constant_columns(frame, pick(f.x)))
+        f.x = [t for t in f.x if names[t] not in gone]
     if f.endog:
+        absorbed = 0
         if f.effects:
-            from panelspark.operators.regression import demean
-
-            keys = pick(f.effects)
             values = [n for n in dict.fromkeys(pick([f.y, *f.x, *f.endog, *f.instruments]))]
-            frame = demean(frame.dropna(), keys, values, **options)
-        out = tsls(frame, names[f.y], pick(f.x), pick(f.endog), pick(f.instruments), pick(f.cluster))
+            frame = stash(demean(frame.dropna(), pick(f.effects), values, **options), "swept")
+            absorbed = absorbed_by(frame, pick(f.effects))
+        out = tsls(frame, names[f.y], pick(f.x), pick(f.endog), pick(f.instruments), pick(f.cluster), intercept=not f.effects, absorbed=absorbed)
     elif f.effects:
         out = fe_ols(frame, names[f.y], pick(f.x), pick(f.effects), fe_method, pick(f.cluster), **options)
     else:

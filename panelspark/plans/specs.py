@@ -118,3 +118,80 @@ def missing_models(models: DataFrame, results: DataFrame) -> DataFrame:
 def newest_results(files: DataFrame, by: list[str], stamp: str) -> DataFrame:
     """The newest file of each group; stamps sort as text."""
     return files.groupBy(*by).agg(F.max_by(F.struct(*[c for c in files.columns if c not in by]), stamp).alias("__r")).select(*by, "__r.*")
+
+
+FULL_SAMPLE = "full_sample"
+#: What the buckets of the development and income groupings are called in sheets.
+EXTENT_BUCKETS = {
+    "HDI": {"LOW": "LO", "> LOW": "ME_HI_VH", "GTLO": "ME_HI_VH", "MEDIUM": "ME", "HIGH": "HI", "V HIGH": "VH", "VERY HIGH": "VH", "V. HIGH": "VH"},
+    "WB": {"LOW": "LO", "> LOW": "LM_UM_HI", "GTLO": "LM_UM_HI", "LOWER MIDDLE": "LM", "LM": "LM", "UPPER MIDDLE": "UM", "UM": "UM", "HIGH": "HI"},
+}
+
+
+def _blank(label: Any) -> bool:
+    return label is None or label != label or str(label).strip() in ("", "nan")
+
+
+def spatial_extent(label: Any, temporal: str, buckets: dict[str, dict[str, str]] = EXTENT_BUCKETS) -> str:
+    """The subset that a sheet's label means: `World` or nothing is the full sample, `HDI > LOW` the bucket of the year before `temporal` (`YYYY-YYYY`) starts.
+
+    Names of subsets stay, with `GTLO` written out; so do labels of no grouping.
+    A bucket that its grouping does not have is an error.
+    """
+    if _blank(label):
+        return FULL_SAMPLE
+    raw = str(label).strip()
+    if m := re.fullmatch(r"(HDI|WB)_([A-Z_]+)_(\d{4})", raw):
+        return f"{m[1]}_{buckets[m[1]]['GTLO']}_{m[3]}" if m[2] == "GTLO" else raw
+    words = " ".join(re.sub(r"[\[\]_]", " ", raw).split())
+    if words.lower() == "world":
+        return FULL_SAMPLE
+    m = re.match(r"(HDI|WB)\s+(.+)", words, re.I)
+    if not m:
+        return raw
+    found = buckets[m[1].upper()].get(m[2].upper())
+    if found is None:
+        raise ValueError(f"no bucket {m[2]!r} in {m[1].upper()}")
+    return f"{m[1].upper()}_{found}_{int(temporal[:4]) - 1}"
+
+
+def model_spec(
+    model: dict[str, Any],
+    effects: dict[str, tuple[str, list[str]]],
+    clusters: dict[str, tuple[str, str | None]],
+    sources: dict[str, tuple[str, str]],
+    default_cluster: dict[str, str] | None = None,
+    **labels: Any,
+) -> dict[str, Any]:
+    """A row of a model sheet as what `formula.fit` takes: formula, cluster, where, source, and the path of its variant.
+
+    `effects` gives for a label its canonical name and its terms, `clusters` its
+    name and column, `sources` for a resolution its table and default years;
+    `default_cluster` is by resolution. `labels` (fixed_effects, clustering,
+    resolution, temporal_extent, spatial_extent) go before the row's own.
+    """
+    of = lambda name, own=None: labels[name] if labels.get(name) is not None else model.get(own or name)
+    pick = lambda table, label, what: table[label] if label in table else _no(what, label)
+    fe = "0" if _blank(of("fixed_effects")) else str(of("fixed_effects")).strip()
+    effect, terms = pick(effects, fe, "fixed effects")
+    resolution = str(of("resolution", "data_source")).strip()
+    source, years = pick(sources, resolution, "resolution")
+    temporal = years if _blank(of("temporal_extent")) else str(of("temporal_extent")).strip()
+    extent = spatial_extent(of("spatial_extent"), temporal)
+    by = (default_cluster or {}).get(resolution) if _blank(of("clustering")) else str(of("clustering")).strip()
+    cluster, column = pick(clusters, by, "clustering") if by is not None else ("", None)
+    text = f"{str(model['dependent']).strip()} ~ {str(model['independent']).strip()}"
+    text += f" | {' + '.join(terms)}" if terms else ""
+    instruments = str(model.get("instruments", "0")).strip()
+    text += f" | {instruments}" if instruments not in ("0", "nan", "", "None") else ""
+    own = "" if _blank(model.get("query")) else without_years(workbook_where(str(model["query"])))
+    name = str(model["model_name"]).strip()
+    return {
+        "model_name": name, "description": f"{model.get('section', 'Analysis')} - {model.get('subsection', name)}", "formula": text, "source": source, "cluster": column,
+        "where": conjunction(temporal_where(temporal), own), "fixed_effects": effect, "clustering": cluster, "resolution": resolution, "temporal_extent": temporal, "spatial_extent": extent,
+        "variant_path": [name, effect, resolution, temporal, extent, cluster],
+    }
+
+
+def _no(what: str, label: Any) -> Any:
+    raise ValueError(f"no {what} {label!r}")

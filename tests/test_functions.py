@@ -60,7 +60,8 @@ def test_text(spark):
     assert one(spark, text.written_number(s), s="(2,5)") == (-2.5,)
     assert one(spark, text.written_number(s), s="1.234,5") == (1234.5,)
     assert one(spark, text.written_number(s), s="NA") == (None,)
-    assert one(spark, text.status_category(s), s="FAILED: x") == ("failed",)
+    for status, want in (("FAILED: x", "failed"), ("FAILED", "other"), ("", "pending"), (None, "pending"), ("DOWNLOADING", "downloading"), ("downloading", "other")):
+        assert one(spark, text.status_category(s), s=status) == (want,)
     assert one(spark, text.source_type(s, [("dmsp", "DMSP"), ("viirs", "VIIRS")]), s="a/VIIRS/b") == ("VIIRS",)
     assert one(spark, text.latex_escape(s), s="a_b%") == ("a\\_b\\%",)
 
@@ -78,3 +79,4 @@ def test_dates(spark):
     assert one(spark, text.duration_seconds(F.col("s")), s="05:06") == (306,)
     assert one(spark, text.duration_seconds(F.col("s")), s="soon") == (None,)
     assert one(spark, text.duration_text(F.lit(93784))) == ("1-02:03:04",)
+    assert one(spark, text.duration_text(F.lit(59))) == ("0-00:00:59",)

@@ -241,3 +241,69 @@ def test_slow_panel_is_swept_to_the_end(spark):
     with pytest.raises(RuntimeError, match="20 rounds"):
         regression.fe_ols(df, "y", ["x"], ["unit", "year"], max_rounds=20)
     assert abs(regression.fe_ols(df, "y", ["x"], ["unit", "year"], check_every=10).coef[0] - want) < 1e-6
+
+
+def test_spatial_extent_labels():
+    at = lambda x: specs.spatial_extent(x, "1992-2013")
+    assert at(None) == at("") == at("nan") == at("World") == at("[world]") == at(float("nan")) == "full_sample"
+    assert at("HDI > LOW") == "HDI_ME_HI_VH_1991" and at("wb_upper_middle") == "WB_UM_1991" and at("HDI [V. High]") == "HDI_VH_1991"
+    assert at("HDI_GTLO_1995") == "HDI_ME_HI_VH_1995" and at("WB_LM_1995") == "WB_LM_1995" and at("AF") == "AF"
+    with pytest.raises(ValueError):
+        at("HDI odd")
+
+
+def test_model_specs_give_fits(spark):
+    effects = {"0": ("NO", []), "country & year": ("CY", ["country", "year"])}
+    clusters = {"adm1": ("ADM1", "adm1"), "country": ("Country", "country")}
+    sources = {"1km": ("one.parquet", "1992-2013"), "50km": ("fifty.parquet", "1990-2020")}
+    model = {"model_name": " m1 ", "dependent": "y", "independent": "x + log(z + 1)", "fixed_effects": "0", "data_source": "1km", "instruments": "0", "query": "(a == 1) & (year >= 1995)"}
+    got = specs.model_spec(model, effects, clusters, sources, {"50km": "country"})
+    assert got["formula"] == "y ~ x + log(z + 1)" and got["cluster"] is None and got["source"] == "one.parquet"
+    assert got["where"] == "((year >= 1992) AND (year <= 2013)) AND ((a = 1))" and got["variant_path"] == ["m1", "NO", "1km", "1992-2013", "full_sample", ""]
+    got = specs.model_spec({**model, "instruments": "x ~ w"}, effects, clusters, sources, {"50km": "country"}, resolution="50km", fixed_effects="country & year", spatial_extent="HDI LOW", temporal_extent="2000-2005")
+    assert got["formula"] == "y ~ x + log(z + 1) | country + year | x ~ w" and got["cluster"] == "country" and got["spatial_extent"] == "HDI_LO_1999"
+    with pytest.raises(ValueError):
+        specs.model_spec({**model, "fixed_effects": "odd"}, effects, clusters, sources)
+
+
+def test_columns_by_name(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "year int, PM25 int, gwrpm25 int")
+    assert panel.resolve_column(df, ["gwrpm25", "pm25"]) == "gwrpm25" and panel.resolve_column(df, ["pm25"]) == "PM25"
+    assert panel.resolve_column(df, ["no"]) is None and panel.resolve_column(df.select("year", "PM25"), ["no"], ("year",)) == "PM25"
+
+
+def test_means_come_back_to_null_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 5.0)], "g int, v double")
+    assert rows(stats.group_means(df, ["g"], ["v"]).select("v", "v_mean_g")) == [(1.0, 2.0), (3.0, 2.0), (5.0, 5.0)]
+    assert rows(stats.within(df, ["g"], ["v"]).select("v_within")) == [(-1.0,), (0.0,), (1.0,)]
+
+
+def test_large_means_do_not_cancel(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=500)
+    y = 2 * x + rng.normal(size=500) * 1e-3
+    plain = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    far = plain.select((F.col("x") + 1e8).alias("x"), (F.col("y") + 1e8).alias("y"))
+    a, b = regression.ols(plain, "y", ["x"], se="HC1"), regression.ols(far, "y", ["x"], se="HC1")
+    assert abs(a.coef[1] - b.coef[1]) < 1e-5 and abs(a.stats["rss"] / b.stats["rss"] - 1) < 1e-3 and abs(a.se[1] / b.se[1] - 1) < 1e-3
+    assert abs(a.coef[0] + 1e8 - 1e8 * a.coef[1] - b.coef[0]) / 1e8 < 1e-5 and a.top(1)[0][0] == "x"
+
+
+def test_long_chains_of_singletons(spark):
+    chain = spark.createDataFrame([(i, t) for i in range(4) for t in (i, i + 1)], "unit int, year int")
+    assert regression.prune_singletons(chain, ["unit", "year"]).count() == 0
+    assert 0 < regression.prune_singletons(chain, ["unit", "year"], iterative=False).count() < 8
+
+
+def test_unfinished_sweeps_are_an_error(spark):
+    df = spark.createDataFrame([(i, t, float(i * t % 5)) for i in range(4) for t in range(4) if (i + t) % 3], "unit int, year int, x double")
+    with pytest.raises(RuntimeError):
+        regression.demean(df, ["unit", "year"], ["x"], max_rounds=1)
+    out = regression.demean(df, ["unit", "year"], ["x"])
+    for e in ("unit", "year"):
+        assert max(abs(r[1]) for r in out.groupBy(e).agg(F.avg("x")).collect()) < 1e-7
+
+
+def test_constant_regressors_are_left_out(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i + 1 + (i % 3), 7.0) for i in range(20)], "x double, y double, c double")
+    assert formula.fit(df, "y ~ x + c").names == ["Intercept", "x"]
