@@ -26,17 +26,27 @@ PATHS_A_HOST = 5
 SALTS = 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark picture q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements of running text: inside them only a clear advert or comment mark counts.
+TEXT_TAGS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd figcaption".split())
 CONTAINERS = frozenset("html body div section article main td center".split())
 PRUNED_TAGS = frozenset("head nav header footer aside form script style noscript template iframe object svg canvas select button textarea dialog menu fieldset audio video map".split())
 PRUNED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Parts of class or id names that mark something other than the article.
+#: Words of a class or id name that mark something other than the article. The name
+#: counts if all its words are of these or of STRUCTURE_WORDS: `search-box` is a search,
+#: `search-results-study` is not.
 PRUNED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner sidebar side rail widget widgets menu menus submenu nav navbar navigation topnav subnav "
-    "breadcrumb breadcrumbs masthead footer foot colophon disqus respond replies reply cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay "
-    "lightbox newsletter subscribe subscription signup signin login register share sharing sharebar social related recommended recommendations pagination pager paging toolbar topbar legal "
-    "disclaimer copyright hidden skip search searchbox header".split()
+    "breadcrumb breadcrumbs masthead footer foot colophon disqus respond replies reply comment comments commentlist commentform cookie cookies consent gdpr notice notices notification notifications "
+    "alert alerts popup modal overlay lightbox newsletter subscribe subscription signup signin login register share sharing sharebar social related recommended recommendations pagination pager paging "
+    "toolbar topbar legal disclaimer copyright hidden skip search searchbox header".split()
 )
+STRUCTURE_WORDS = frozenset(
+    "area article articles bar block body bottom box button buttons cell col column container content form global group icon icons inner item items label left link links list main module more new news "
+    "outer page panel post posts primary right row secondary section site slot stories story text thread title top unit user wrap wrapper".split()
+)
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo".split())
+COMMENT_WORDS = frozenset("comment comments commentlist commentform disqus replies".split())
 HEADER_OK = frozenset("article post entry story".split())
 CONTENT_WORDS = frozenset("article content post entry story main body text page blog".split())
 #: A new one of these ends an open one of the same family.
@@ -89,12 +99,19 @@ def _is_pruned(tag: str, own: dict[str, str], parent: Node | None) -> bool:
         return False
     if own.get("role", "").lower() in PRUNED_ROLES or "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
         return True
-    words = {w.lower() for w in _words.findall(own.get("class", "") + " " + own.get("id", ""))}
+    words: set[str] = set()
+    hits: set[str] = set()
+    for name in (own.get("class", "") + " " + own.get("id", "")).split():
+        parts = {w.lower() for w in _words.findall(name)}
+        words |= parts
+        if parts <= PRUNED_WORDS | STRUCTURE_WORDS:
+            hits |= parts & PRUNED_WORDS
+    if tag in INLINE:
+        return bool(hits & ADVERT_WORDS)
+    if tag in TEXT_TAGS:
+        return bool(hits & (ADVERT_WORDS | COMMENT_WORDS))
     if tag in ("main", "article"):
-        return any(w.startswith("comment") for w in words) or bool(words & {"ad", "ads", "related", "reply"})
-    if any(w.startswith("comment") for w in words):
-        return True
-    hits = words & PRUNED_WORDS
+        return bool(hits & (COMMENT_WORDS | {"ad", "ads", "related", "reply"}))
     return bool(hits) and not (hits == {"header"} and (words & HEADER_OK or (inside is not None and inside.tag == "article")))
 
 
