@@ -4,7 +4,7 @@ A text is brought to a canonical form (case, punctuation, white space, copyright
 lines and equivalent spellings are gone), hashed, and joined with the digests of
 known licence texts. Two things count as entire texts: a whole document, and a
 whole line of it (a licence notice). All of it is DataFrame functions; the table
-of known digests has a few dozen rows, so both joins broadcast it.
+of known digests has some hundred rows, so both look-ups carry it to the rows.
 """
 
 from __future__ import annotations
@@ -35,9 +35,8 @@ SPELLINGS = (
 )
 #: A line that names a copyright holder or reserves rights says nothing about the licence.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright[^\p{L}\n]|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|©)[^\n]*$|^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
-#: Each known text holds one of these; others need no canonical form.
-NOTICE_MARK = r"(?i)licen[sc]|gpl|public domain|creative|cc0|(^|[^a-z])cc([^a-z]|$)"
-TEXT_MARK = NOTICE_MARK + "|software"
+#: Each known text below holds one of these; where all do, rows and lines without one need no canonical form.
+MARK = r"(?i)licen[sc]|gpl|public domain|creative|cc0|software|(^|[^a-z])cc([^a-z]|$)"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -94,6 +93,30 @@ NOTICES = tuple((k, f"{lead} {name}.") for k, name in _NAMES for lead in ("Relea
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: SHA-256 of the canonical form of long standard texts; where there are
+#: two of a licence, the second ends at "END OF TERMS AND CONDITIONS".
+DIGESTS = (
+    ("Apache-2.0", "ce3afb3b3d6c185d5f823c6ce533a688c32d81d2f922c91ab77785128cba87aa"),
+    ("Apache-2.0", "7091b73f21a707f0ce59def7022052ea6ea456fc4ceeaa765b996107a3f4d4b1"),
+    ("Artistic-1.0-Perl", "f9f3ee8e3210392adfceee30bedc10031df16e1887e5909bf0b984aee599f69a"),
+    ("CC0-1.0", "56496162e7349930272f3ed697a8056f846b08d4d4491896cb5c14b8a05206a5"),
+    ("GFDL-1.2", "7839cc4390a6b9965083ce9bc24e322e3e0b1f16662e29e3c43e1447891a651e"),
+    ("GFDL-1.3", "b9031c213f88960bb5805fb3e1cf452c30e66e6db015723f20d19da737d52674"),
+    ("GPL-1.0", "85cce7440aaac060a44fb059e73242d6c9900827362d13a95a854b1776976632"),
+    ("GPL-1.0", "14e6777013b7abfb5fd879f3c610386f1cec7ccb08b045e3f50a8f9683312081"),
+    ("GPL-2.0", "17c25bd50c0b2e17a4e66340002e41662cd681fadf46836b95d7d5f6485aa297"),
+    ("GPL-2.0", "2c95ecc0613b08bf0ce834708064308e62b7be435fcc19cecfe5ecbd345d157f"),
+    ("GPL-3.0", "d2fb1fe0247cd6a0ff38b0e30add8617ad0c6b57637b07ff54ba7c9909bbee01"),
+    ("GPL-3.0", "b3b83cc493632f1b9db1b9ec54364c422874b70d5074b85a6341401bb3189c06"),
+    ("LGPL-2.0", "d039d388a3550191ccef2d72a8d2a3f6b1029bc4d3897bc37dcc56994e9a2347"),
+    ("LGPL-2.0", "be1ed67e43c855405a027597f453350954329024ae30a3bb6339e230c7d839b2"),
+    ("LGPL-2.1", "51a9e292e78fb85d08d0c3fee3f51a7913f8ac70efeff5a2c0e01d52be6635e5"),
+    ("LGPL-2.1", "3e287b3edcef8aa8b32e8ffeebbe4834f9e3cd8bb060b9c3ee9eb850ef902441"),
+    ("LGPL-3.0", "7ef00c0f04342b412618efeb142f653376848227b4ea96525e424f34ac7ef75d"),
+    ("MPL-1.1", "c22ea3f1ee1c9c849b95884f9bf85623cb49a7c62b9ea39c579a002140a85a35"),
+    ("MPL-2.0", "21d6b82754af30258a89866dda20e6c5f9135846b93cb6bbd9a981389406577f"),
+)
+
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one spelling, letters and digits with single spaces (null: null)."""
@@ -104,13 +127,14 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
-def known_digests(spark: SparkSession, texts=TEXTS + NOTICES) -> DataFrame:
-    """`license_digest` and `license_id` of known (id, text) pairs; a digest stands once."""
-    rows = spark.createDataFrame(list(texts), "license_id string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
+def known_digests(spark: SparkSession, texts=TEXTS + NOTICES, digests=DIGESTS) -> DataFrame:
+    """`license_digest` and `license_id` of known (id, text) and (id, canonical digest) pairs; a digest stands once."""
+    rows = spark.createDataFrame(list(texts), "license_id string, text string").select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("license_digest"), "license_id")
+    rows = rows.union(spark.createDataFrame([(d, i) for i, d in digests], "license_digest string, license_id string"))
+    return rows.groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, texts=TEXTS + NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, texts=TEXTS + NOTICES, digests=DIGESTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of `docs`: `id_col`, `license_id` and `n_notices`.
 
     `license_id` is the known licence whose canonical text is the whole document;
@@ -118,18 +142,20 @@ def scan(docs: DataFrame, texts=TEXTS + NOTICES, id_col: str = "doc_id", text_co
     null. `n_notices` (long) counts lines that are a known text by themselves. A
     null or empty text, or one of punctuation and copyright lines alone, has no
     licence and no notices. Rows are independent: repeated rows and null ids stay,
-    extra columns are ignored, an empty table gives no rows. Every text in `texts`
-    must hold TEXT_MARK and, to count as a notice, NOTICE_MARK.
+    extra columns are ignored, an empty table gives no rows. Where a text lacks
+    MARK, or other `digests` are given, every row and line takes its canonical form.
     """
-    known = known_digests(docs.sparkSession, texts)
-    pairs = known.collect()  # as many as `texts`
+    known = known_digests(docs.sparkSession, texts, digests)
+    pairs = known.collect()  # as many as `texts` and `digests`
     by_digest = F.create_map(*[F.lit(x) for r in pairs for x in (r.license_digest, r.license_id)])
     digest = lambda x: F.sha2(canonical(x).cast("binary"), 256)
+    marked = set(digests) <= set(DIGESTS) and all(re.search(MARK, t) for _, t in texts)
+    has_mark = lambda x: x.rlike(MARK) if marked else x.isNotNull()
     text = F.col(f"`{text_col}`").cast("string")
-    lines = F.filter(F.split(F.coalesce(F.when(text.rlike(NOTICE_MARK), text), F.lit("")), "\n"), lambda x: x.rlike(NOTICE_MARK))
+    lines = F.filter(F.split(F.coalesce(F.when(has_mark(text), text), F.lit("")), "\n"), has_mark)
     rows = docs.select(
         F.col(f"`{id_col}`").alias("__id"),
-        F.when(text.rlike(TEXT_MARK), digest(text)).alias("license_digest"),
+        F.when(has_mark(text), digest(text)).alias("license_digest"),
         F.filter(F.transform(lines, lambda x: F.element_at(by_digest, digest(x))), lambda x: x.isNotNull()).alias("__found"),
     )
     rows = rows.join(F.broadcast(known.withColumnRenamed("license_id", "__text")), "license_digest", "left")
@@ -153,9 +179,10 @@ def _sql(column: str) -> str:
 
 
 SQL = f"""
-WITH known AS (SELECT {_sql("t")} AS k, min(id) AS id FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in TEXTS + NOTICES)}) v(id, t) GROUP BY 1),
+WITH known AS (SELECT {_sql("t")} AS k, min(id) AS id FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in TEXTS + NOTICES)}) v(id, t) GROUP BY 1
+  UNION ALL VALUES {", ".join(f"({_quoted(d)}, {_quoted(i)})" for i, d in DIGESTS)}),
 d AS (SELECT doc_id, {_sql("text")} AS k FROM documents),
-l AS (SELECT doc_id, {_sql("l")} AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, {_quoted(NOTICE_MARK)})),
+l AS (SELECT doc_id, {_sql("l")} AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, {_quoted(MARK)})),
 n AS (SELECT doc_id, min(id) AS id, count(*) AS n FROM l JOIN known USING (k) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(known.id, n.id) AS license_id, coalesce(n.n, 0)::BIGINT AS n_notices
 FROM d LEFT JOIN known USING (k) LEFT JOIN n ON n.doc_id = d.doc_id

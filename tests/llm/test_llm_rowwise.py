@@ -252,12 +252,23 @@ def test_licences(spark):
     assert license_scan.scan(table(spark, [])).count() == 0
 
 
-def test_known_texts_hold_the_marks():
+def test_licences_by_digest_or_without_mark(spark):
+    import os
     import re
 
-    assert all(re.search(license_scan.TEXT_MARK, t) or re.search(license_scan.NOTICE_MARK, t) for _, t in license_scan.TEXTS + license_scan.NOTICES)
-    assert all(re.search(license_scan.NOTICE_MARK, t) for _, t in license_scan.NOTICES)
-    assert all(re.search(license_scan.TEXT_MARK, t) for _, t in license_scan.TEXTS)
+    assert all(re.search(license_scan.MARK, t) for _, t in license_scan.TEXTS + license_scan.NOTICES)
+    own = (("Own", "Do as you like.\nNo one minds."), ("Own", "Do as you please."))
+    long = " ".join(f"word{i}" for i in range(200_000))
+    texts = ["DO AS YOU LIKE\n\nno one -- minds", "x\ndo as you please!\ndo as you please", long, long, "Do as you"]
+    rows = license_scan.scan(table(spark, texts, [0, 1, 2, 2, None]), own, ()).collect()
+    assert Counter((r.doc_id, r.license_id, r.n_notices) for r in rows) == Counter([(0, "Own", 0), (1, "Own", 2), (2, None, 0), (2, None, 0), (None, None, 0)])
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = [n for n in names if os.path.exists(f"{folder}/{n}")]
+    texts = [open(f"{folder}/{n}", encoding="utf-8").read() for n in found]
+    texts += [t.upper().replace("\n", "\n  ") + "\n" for t in texts]
+    got = {r.doc_id: r.license_id for r in license_scan.scan(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [names[n] for n in found] * 2
 
 
 # --- pages --------------------------------------------------------------------
@@ -274,6 +285,25 @@ def test_page_text():
     assert html_extract.text_of(html_extract.parse("<p>a<div>b</p>c"), []) == "a b c"
 
 
+def test_page_names_and_inline_elements():
+    """Names prune only where all their words say so, text elements only as adverts or comments; pictures and break chances are no blocks."""
+    inside = {
+        '<p class="legal">The court ruled.</p>': "The court ruled.",
+        '<section class="search-results-study">We asked.</section>': "We asked.",
+        '<div class="commentary">It holds.</div>': "It holds.",
+        "super<wbr>cali price<img src=x>less <ruby>漢<rt>kan</rt></ruby>": "supercali priceless 漢kan",
+        '<span class="hljs-comment">// no</span>': "// no",
+        '<p class="advert">Buy</p><span class="ad">now</span><p class="comment">Nice</p>': "",
+        '<div class="ad-slot">Buy</div><div class="cookie-banner">We use</div><section id="user-comments">Hm</section><ul class="share-buttons"><li>Share</ul>': "",
+        '<div class="legal">Imprint</div><div class="related-posts">More</div><div class="searchBox">Find</div>': "",
+    }
+    for part, want in inside.items():
+        found = html_extract.parse(f"<body><article><p>Start of it.</p>{part}<p>End of it.</p></article></body>")
+        assert html_extract.text_of(found, []) == " ".join(x for x in ("Start of it.", want, "End of it.") if x)
+    found = html_extract.parse("<article>" + "<p>One of many words.</p>" * 50_000 + "</article>")  # very long
+    assert html_extract.text_of(found, []) == " ".join(["One of many words."] * 50_000)
+
+
 def test_pages_vote_by_host(spark, sf):
     odd = "<body><main><p>short</p></main><div class='teaser'><p>%s</p></div></body>" % ("a longer teaser text here " * 5)
     same = "<body><main><p>%s</p></main></body>" % ("the article of this page goes on " * 9)
