@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.storage import discard, stash
 
-__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "discard", "few", "free_names", "partitions", "read_table", "stash", "text_key"]
+__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "discard", "few", "free_names", "partitions", "read_table", "sliced", "stash", "text_key"]
 
 #: The six ASCII white-space code points of the `[\x20\x09-\x0D]` class.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Rows of ids or keys (8 to 16 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 2_000_000
+#: Texts that a Python worker takes from an Arrow batch at once.
+BATCH_ROWS = 500
 
 
 def partitions(spark: SparkSession) -> int:
@@ -34,6 +39,13 @@ def few(rows: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= bound else rows
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `rows` at most, so that a worker holds few texts at once beside their Arrow form."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """The wanted names, with as many underscores before them as it takes to clash with none of `columns` in any case."""
     taken = {c.lower() for c in columns}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import BROADCAST_ROWS, discard, few, free_names, partitions, stash
+from panelspark.llm.common import BROADCAST_ROWS, discard, few, free_names, partitions, sliced, stash
 from panelspark.llm.components import components
 
 WORDS = 5
@@ -136,7 +136,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """A row for each row of `docs`: `doc_id`, `digest` of the shingle set (null: no words), `n` shingles, `sig`, `bands`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             digests, sizes, sigs, bands = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingles(text)

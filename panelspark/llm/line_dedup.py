@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import ASCII_SPACE, partitions, stash
+from panelspark.llm.common import ASCII_SPACE, partitions, sliced, stash
 
 _STRIP = ASCII_SPACE.encode()
 SHARD_BITS = 1 << 18
@@ -146,7 +146,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = seen.value
-        for batch in batches:
+        for batch in sliced(batches):
             keys: list[bytes] = []
             ids: list[int | None] = []
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -178,7 +178,7 @@ def _cleaner(table: dict | None, id_name: str, text_name: str, keep_first: bool)
         return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             docs = batch.column(0)
             texts = docs.field(text_name).cast(pa.binary()).to_pylist()
             ids = docs.field(id_name).to_pylist()

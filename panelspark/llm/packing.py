@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import partitions, stash
+from panelspark.llm.common import partitions, sliced, stash
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 #: Below it every letter's lower case is one letter.
 _PLAIN = "\u0130"
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = known.ids(text or "") + end

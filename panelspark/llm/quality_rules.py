@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import ASCII_SPACE
+from panelspark.llm.common import ASCII_SPACE, sliced
 
 SYMBOLS = "#*$%&|<>"
 #: A sentence ends somewhere: closing quotes and brackets may follow the mark.
@@ -97,7 +97,7 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     types = [pa.int64()] * len(COUNTS) + [pa.bool_()] * len(FLAGS) + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [judge(x) for x in batch.column(0).field(text_col).to_pylist()]
             made = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(made, types, strict=True))], ["doc", *names])
