@@ -8,10 +8,10 @@
    substring and the length of its shortest; the substrings between are those
    on the way along suffix links with the same end positions.
 2. Spark unfolds states into substrings and sums counts over all shards. Depth
-   grows in three passes (words; pairs; longer ones): what a pass cannot find
-   often enough is a break in the automata of the next, since a phrase is no more
-   frequent than any part of it. Frequent words and pairs travel as a Bloom filter
-   of bounded size; beyond its capacity more rows shuffle and counts stay exact.
+   grows in four passes (words; pairs; three words; longer ones): what a pass cannot
+   find often enough is a break in the automata of the next, since a phrase is no
+   more frequent than any part of it. What is frequent travels as a Bloom filter of
+   bounded size; beyond its capacity more rows shuffle and counts stay exact.
 3. A phrase is subsumed by a longer one along the links of the summed counts:
    those to the phrases without the first and without the last word. Longer
    detours need no look, since counts fall at every step.
@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import islice
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import few, read_table, sliced, stash
 
-#: Words of a shard at least before it becomes an automaton, and bytes of a text that are taken at once.
-SHARD_WORDS, CHUNK = 1_000_000, 2_000_000
+#: Words of a shard at least before it becomes an automaton, bytes of a text that are taken at once, and words held as strings.
+SHARD_WORDS, CHUNK, AT_ONCE = 4_000_000, 1_000_000, 200_000
 #: Bits of a filter at most (16 MB), and bits for each phrase in it below that.
 MAX_BITS, BITS_EACH = 1 << 27, 32
 #: Phrases up to which their counts are broadcast to look up the parts of cuts.
@@ -63,14 +63,18 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return has(hashes & mask) & has((hashes >> np.uint64(32)) & mask)
 
 
-def automaton(words: np.ndarray, joined: np.ndarray, fresh: np.ndarray, lo: int, hi: int, n_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def automaton(words: np.ndarray, seen: np.ndarray | None, fresh: np.ndarray, lo: int, hi: int, n_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """States of the suffix automaton of depth `hi`: for each length of their longest substring (`lo` or more) that
     length, an end position of each state, its shortest substring's length (`lo` or more) and its endpos count.
 
-    `words` are numbers below n_words, -1 at breaks; `joined[i]` says whether words i-1 and i may stand in one
-    substring; only ends that are `fresh` count.
+    `words` are numbers below n_words, -1 at breaks; `seen[i]` says whether the lo - 1 words that end at i may stand
+    in a substring; only ends that are `fresh` count.
     """
-    valid = words >= 0
+    # Two words are joined if one of the seen substrings holds both.
+    joined = np.ones(len(words), bool)
+    if seen is not None and lo > 2:
+        joined = np.logical_or.reduce([np.append(seen[back:], np.zeros(back, bool)) for back in range(lo - 2)])
+    valid = (words >= 0) & (seen if seen is not None and lo == 2 else True)
     ends = np.flatnonzero(valid & fresh)
     state = np.full(len(words), -1, np.int64)
     state[ends] = words[ends]
@@ -84,6 +88,8 @@ def automaton(words: np.ndarray, joined: np.ndarray, fresh: np.ndarray, lo: int,
         if k < hi:
             longer = np.zeros(len(words), bool)
             longer[1:] = valid[1:] & valid[:-1] & (joined[1:] if k == 1 else True)
+            if seen is not None and k + 1 == lo - 1:
+                longer &= seen
             at = np.flatnonzero(longer & fresh)
             keys, first_up, inverse, size_up = np.unique(state[at] * n_words + words[at - k], return_index=True, return_inverse=True, return_counts=True)
             link = keys // n_words
@@ -99,65 +105,84 @@ def automaton(words: np.ndarray, joined: np.ndarray, fresh: np.ndarray, lo: int,
             valid, size, first, shortest = longer, size_up, at[first_up], shortest_up
 
 
-def _states(lang: str, tokens: list[bytes], stale: list[tuple[int, int]], lo: int, hi: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """The states of a shard as rows (lang, phrase, shortest, n); with lo = 1 also the number of words, as phrase ""."""
-    coded = pa.array(tokens, pa.binary()).dictionary_encode()
-    ids, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    fresh = np.ones(len(ids), bool)
-    for a, b in stale:
-        fresh[a:b] = False
-    n_words, seed = len(names), xxhash.xxh64_intdigest(lang.encode(), _SEED)
-    listed = names.to_pylist()
-    if b"" in listed:
-        keep = ids != listed.index(b"")
-        ids, fresh = ids[keep], fresh[keep]
-    number = np.arange(n_words)
-    if b"\n" in listed:
-        number[listed.index(b"\n")] = -1
-    joined = np.ones(len(ids), bool)
-    if bitmap is not None:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in listed), np.uint64, n_words)
-        if lo == 2:
-            number[~_passes(bitmap, hashes)] = -1
-        else:
-            own = hashes[ids]
-            turned = (own << np.uint64(1)) | (own >> np.uint64(63))
-            joined[1:] = _passes(bitmap, turned[:-1] ^ own[1:])
-    words = number[ids]
-
-    def batch(phrases: pa.Array, shortest: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()), "phrase": phrases.view(pa.string()), "shortest": pa.array(shortest, pa.int32()), "n": pa.array(n, pa.int64())})
-
-    if lo == 1:
-        yield batch(pa.array([b""], pa.binary()), np.ones(1, np.int64), np.array([int(((words >= 0) & fresh).sum())]))
-    for k, ends, shortest, n in automaton(words, joined, fresh, lo, hi, n_words):
-        for part in range(0, len(ends), 100_000):
-            rows = slice(part, part + 100_000)
-            columns = [names.take(pa.array(words[ends[rows] - back])) for back in range(k - 1, -1, -1)]
-            yield batch(columns[0] if k == 1 else pc.binary_join_element_wise(*columns, b" "), shortest[rows], n[rows])
+class _Shard:
+    """Words of one language, as numbers in the order in which the shard met them."""
+
+    def __init__(self, lang: str):
+        self.lang, self.numbers, self.size = lang, {}, 0
+        self.parts: list[np.ndarray] = []
+        self.stale = 0
+
+    def add(self, tokens: list[bytes]) -> None:
+        """Takes tokens; empty ones go, breaks become -1."""
+        coded = pa.array(tokens, pa.binary()).dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        number = np.array([-1 if w == b"\n" else -2 if not w else self.numbers.setdefault(w, len(self.numbers)) for w in own], np.int32)
+        ids = number[coded.indices.to_numpy()]
+        self.parts.append(ids[ids > -2])
+        self.size += len(self.parts[-1])
+
+    def tail(self, n: int) -> list[bytes]:
+        """The last `n` words or breaks."""
+        names = list(self.numbers)
+        last = np.concatenate(self.parts)[-n:] if n else []
+        return [b"\n" if i < 0 else names[i] for i in last]
+
+    def states(self, lo: int, hi: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """The automaton's states as rows (lang, phrase, shortest, n); with lo = 1 also the number of words, as phrase ""."""
+        ids, names = np.concatenate(self.parts).astype(np.int64), pa.array(self.numbers, pa.binary())
+        fresh = np.arange(len(ids)) >= self.stale
+        seen = None
+        if bitmap is not None:
+            seed = xxhash.xxh64_intdigest(self.lang.encode(), _SEED)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in [*self.numbers, b"\n"]), np.uint64, len(names) + 1)
+            own, h = hashes[ids], hashes[ids]
+            for k in range(1, lo - 1):
+                h[1:] = ((h[:-1] << np.uint64(1)) | (h[:-1] >> np.uint64(63))) ^ own[1:]
+            seen = _passes(bitmap, h)
+
+        def batch(phrases: pa.Array, shortest: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"lang": pa.array([self.lang] * len(n), pa.string()), "phrase": phrases.view(pa.string()), "shortest": pa.array(shortest, pa.int32()), "n": pa.array(n, pa.int64())})
+
+        if lo == 1:
+            yield batch(pa.array([b""], pa.binary()), np.ones(1, np.int64), np.array([int(((ids >= 0) & fresh).sum())]))
+        for k, ends, shortest, n in automaton(ids, seen, fresh, lo, hi, len(names)):
+            for part in range(0, len(ends), 100_000):
+                rows = slice(part, part + 100_000)
+                columns = [names.take(pa.array(ids[ends[rows] - back])) for back in range(k - 1, -1, -1)]
+                yield batch(columns[0] if k == 1 else pc.binary_join_element_wise(*columns, b" "), shortest[rows], n[rows])
 
 
 def _sharded(lo: int, hi: int, bitmap: Callable[[], np.ndarray | None], shard_words: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: dict[str, list[bytes]] = defaultdict(list)
-        stale: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        shards: dict[str, _Shard] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, own in tokens.items():
-                yield from _states(lang, own, stale[lang], lo, hi, bitmap())
-            tokens.clear()
-            stale.clear()
+            for shard in shards.values():
+                yield from shard.states(lo, hi, bitmap())
+            shards.clear()
 
         for batch in sliced(batches, 50):
+            waiting: dict[str, list[bytes]] = defaultdict(list)
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 for words in chunks(text or b"", chunk):
-                    tokens[lang] += words
-                    if sum(map(len, tokens.values())) >= shard_words:
+                    waiting[lang] += words
+                    if len(waiting[lang]) < min(shard_words, AT_ONCE):
+                        continue
+                    for other in list(waiting):
+                        shards.setdefault(other, _Shard(other)).add(waiting.pop(other))
+                    if sum(x.size for x in shards.values()) >= shard_words:
                         # A text that goes on keeps the words that its next substrings start with; those are counted.
-                        tail = list(islice(filter(None, reversed(tokens[lang])), hi - 1))[::-1] if words[-1] != b"\n" else []
+                        tail = shards[lang].tail(hi - 1) if words[-1] != b"\n" else []
                         yield from flush()
-                        tokens[lang] += tail
-                        stale[lang].append((0, len(tail)))
+                        if tail:
+                            again = shards.setdefault(lang, _Shard(lang))
+                            again.add(tail)
+                            again.stale = again.size
+            for lang, words in waiting.items():
+                shards.setdefault(lang, _Shard(lang)).add(words)
+            if sum(x.size for x in shards.values()) >= shard_words:
+                yield from flush()
         yield from flush()
 
     return run
@@ -175,7 +200,7 @@ def phrase_counts(docs: DataFrame, lo: int, hi: int, bitmap: np.ndarray | None =
 
 
 def phrase_filter(phrases: DataFrame, words: int) -> np.ndarray | None:
-    """A Bloom filter of phrases of one or two words, as 64-bit words; none if there are no phrases.
+    """A Bloom filter of phrases of so many words, as 64-bit words; none if there are no phrases.
 
     Bits are set by an aggregate; at most MAX_BITS / 64 words come to the driver.
     """
@@ -184,7 +209,7 @@ def phrase_filter(phrases: DataFrame, words: int) -> np.ndarray | None:
         return None
     bits = min(MAX_BITS, max(1 << 12, 1 << (n * BITS_EACH - 1).bit_length()))
     part = [F.xxhash64("lang", F.split("phrase", " ", -1)[i]) for i in range(words)]
-    h = part[0] if words == 1 else F.shiftleft(part[0], 1).bitwiseOR(F.shiftrightunsigned(part[0], 63)).bitwiseXOR(part[1])
+    h = reduce(lambda a, b: F.shiftleft(a, 1).bitwiseOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(b), part)
     at = phrases.select(F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at"))
     rows = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("b")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
@@ -230,7 +255,7 @@ def collocations(
     words = stash(counted(1, 1, None).filter((F.col("n") >= min_count) | (F.col("phrase") == "")), "phrases")
     totals = words.filter(F.col("phrase") == "").select(F.col("lang").alias("of"), F.col("n").alias("words"))
     known = [words.filter(F.col("phrase") != "")]
-    for lo, hi in [(2, 2), (3, max_words)]:
+    for lo, hi in [(2, 2), (3, min(3, max_words)), (4, max_words)]:
         bitmap = phrase_filter(known[-1], lo - 1) if lo <= max_words and hi >= lo else None
         if bitmap is None:
             break
