@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, phrase_mining, quality_rules, substring_dedup
+from panelspark.llm import chat_format, decontaminate, hard_negatives, html_extract, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, phrase_mining, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": substring_dedup.op1_suffix_array_dedup,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_phrase_collocations": phrase_mining.op11_phrase_collocations,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_nearest_neighbours": nearest.op13_nearest_neighbours,
 }
 
 ORACLES: dict[str, str] = {
@@ -29,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
     "op11_phrase_collocations": phrase_mining.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
