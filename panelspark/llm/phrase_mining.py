@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import few, read_table, sliced, stash
 
-#: Words of a shard at least before it becomes an automaton, bytes of a text that are taken at once, and words held as strings.
-SHARD_WORDS, CHUNK, AT_ONCE = 4_000_000, 1_000_000, 200_000
+#: Words of a shard at least before it becomes an automaton, bytes of a text and of a shard that are taken at once.
+SHARD_WORDS, CHUNK, AT_ONCE = 4_000_000, 1_000_000, 8_000_000
 #: Bits of a filter at most (16 MB), and bits for each phrase in it below that.
 MAX_BITS, BITS_EACH = 1 << 27, 32
 #: Phrases up to which their counts are broadcast to look up the parts of cuts.
@@ -44,14 +44,14 @@ _BREAK = re.compile(rb"[ \n]")
 _SEED = 42
 
 
-def chunks(text: bytes, size: int = CHUNK) -> Iterator[list[bytes]]:
-    """The words of a text in order, b"\\n" where pieces end (and at the end), in chunks of about `size` bytes; empty strings may stand between."""
+def chunks(text: bytes, size: int = CHUNK) -> Iterator[tuple[bytes, bool]]:
+    """A text folded, its words between spaces and b"\n" where pieces end (and at the end), in chunks of about `size` bytes; and whether it is at its end."""
     text = text.translate(_FOLD)
     at = 0
     while len(text) - at > size and (cut := _BREAK.search(text, at + size)):
-        yield text[at : cut.start()].replace(b"\n", b" \n ").split(b" ")
+        yield text[at : cut.start()].replace(b"\n", b" \n "), False
         at = cut.start()
-    yield [*text[at:].replace(b"\n", b" \n ").split(b" "), b"\n"]
+    yield text[at:].replace(b"\n", b" \n ") + b" \n", True
 
 
 def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -113,20 +113,20 @@ class _Shard:
         self.parts: list[np.ndarray] = []
         self.stale = 0
 
-    def add(self, tokens: list[bytes]) -> None:
-        """Takes tokens; empty ones go, breaks become -1."""
-        coded = pa.array(tokens, pa.binary()).dictionary_encode()
+    def add(self, folded: bytes) -> None:
+        """Takes words; breaks become -1."""
+        coded = pc.split_pattern(pa.array([folded], pa.large_binary()), b" ").flatten().dictionary_encode()
         own = coded.dictionary.to_pylist()
         number = np.array([-1 if w == b"\n" else -2 if not w else self.numbers.setdefault(w, len(self.numbers)) for w in own], np.int32)
         ids = number[coded.indices.to_numpy()]
         self.parts.append(ids[ids > -2])
         self.size += len(self.parts[-1])
 
-    def tail(self, n: int) -> list[bytes]:
+    def tail(self, n: int) -> bytes:
         """The last `n` words or breaks."""
         names = list(self.numbers)
         last = np.concatenate(self.parts)[-n:] if n else []
-        return [b"\n" if i < 0 else names[i] for i in last]
+        return b" ".join(b"\n" if i < 0 else names[i] for i in last)
 
     def states(self, lo: int, hi: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         """The automaton's states as rows (lang, phrase, shortest, n); with lo = 1 also the number of words, as phrase ""."""
@@ -156,33 +156,37 @@ class _Shard:
 def _sharded(lo: int, hi: int, bitmap: Callable[[], np.ndarray | None], shard_words: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[str, _Shard] = {}
+        held = 0
+
+        def taken(waiting: dict[str, list[bytes]]) -> None:
+            for lang, own in waiting.items():
+                shards.setdefault(lang, _Shard(lang)).add(b" ".join(own))
+            waiting.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
             for shard in shards.values():
                 yield from shard.states(lo, hi, bitmap())
             shards.clear()
 
+        waiting: dict[str, list[bytes]] = defaultdict(list)
         for batch in sliced(batches, 50):
-            waiting: dict[str, list[bytes]] = defaultdict(list)
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                for words in chunks(text or b"", chunk):
-                    waiting[lang] += words
-                    if len(waiting[lang]) < min(shard_words, AT_ONCE):
+                for folded, ended in chunks(text or b"", chunk):
+                    waiting[lang].append(folded)
+                    held += len(folded)
+                    if held < min(shard_words, AT_ONCE):
                         continue
-                    for other in list(waiting):
-                        shards.setdefault(other, _Shard(other)).add(waiting.pop(other))
+                    taken(waiting)
+                    held = 0
                     if sum(x.size for x in shards.values()) >= shard_words:
                         # A text that goes on keeps the words that its next substrings start with; those are counted.
-                        tail = shards[lang].tail(hi - 1) if words[-1] != b"\n" else []
+                        tail = b"" if ended else shards[lang].tail(hi - 1)
                         yield from flush()
                         if tail:
                             again = shards.setdefault(lang, _Shard(lang))
                             again.add(tail)
                             again.stale = again.size
-            for lang, words in waiting.items():
-                shards.setdefault(lang, _Shard(lang)).add(words)
-            if sum(x.size for x in shards.values()) >= shard_words:
-                yield from flush()
+        taken(waiting)
         yield from flush()
 
     return run
