@@ -11,11 +11,12 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.absorb import absorbed_by, by_size, demean
 from panelspark.operators.stats import with_means
-from panelspark.storage import stash
+from panelspark.storage import discard, stash
 
 INTERCEPT = "Intercept"
 
@@ -239,7 +240,7 @@ def prune_singletons(df: DataFrame, effects: list[str], iterative: bool = True)
 
     Each round takes a row at least, so the rounds end by themselves.
     """
-    before = None
+    before, start = None, df
     while True:
         for e in effects:
             # Groups are counted by partial aggregates: none has to meet in one task.
@@ -247,67 +248,54 @@ def prune_singletons(df: DataFrame, effects: list[str], iterative: bool = True)
             df = df.join(alone, F.col(e).eqNullSafe(F.col("__alone")), "left_anti")
         if not iterative:
             return df
-        df = stash(df, "pruned")
+        pruned = stash(df, "pruned")
+        discard(start)
+        df = start = pruned
         n = df.count()
         if n == before:
             return df
         before = n
 
 
-def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
+def constant_columns(df: DataFrame, columns: list[str], effects: list[str] | None = None) -> list[str]:
+    """Columns with one value, or with one value in each group of one of the effects."""
+    found: set[str] = set()
     row = df.agg(*[(F.min(c).eqNullSafe(F.max(c))).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c]]
-
-
-def demean(df: DataFrame, effects: list[str], values: list[str], tolerance: float = 1e-8, max_rounds: int = 10_000, check_every: int = 5) -> DataFrame:
-    """Values with all fixed effects swept out by alternating projections.
-
-    Sweeping ends when no group mean is above `tolerance` (or 1e-13 of the largest
-    value, what a double holds); a RuntimeError says that `max_rounds` did not do.
-
-    Effects with fewer groups come last in a sweep. Each round is one window an
-    effect; lineage ends in the shared folder every `check_every` rounds, where the
-    largest group mean left decides whether to go on.
+    found |= {c for c in columns if row[c]}
+    for e in effects or []:
+        if rest := [c for c in columns if c not in found]:
+            own = df.groupBy(e).agg(*[(F.min(c).eqNullSafe(F.max(c))).alias(f"__c{i}") for i, c in enumerate(rest)])
+            row = own.agg(*[F.bool_and(f"__c{i}").alias(f"__c{i}") for i in range(len(rest))]).first()
+            found |= {c for i, c in enumerate(rest) if row[f"__c{i}"]}
+    return [c for c in columns if c in found]
+
+
+def fe_ols(df: DataFrame, y: str, x: list[str], effects: list[str], method: str = "demean", cluster: list[str] | None = None, means: list[str] | None = None, **options) -> Fit:
+    """OLS with fixed effects.
+
+    `demean` takes all effects out; `mundlak` has the group means of x beside x instead;
+    `mixed` has means for the effects in `means` and takes the others out of those too;
+    `auto` is `mixed` with means for the effect with most groups. The estimates of `auto`
+    on a balanced panel are those of `demean`, but what the means leave of that effect stays
+    in the residual: cluster by it, iid errors are too large or too small.
     """
-    sizes = df.agg(*[F.approx_count_distinct(e).alias(e) for e in effects]).first()
-    order = sorted(effects, key=lambda e: -sizes[e])
-    largest = df.agg(F.max(F.greatest(*[F.abs(F.col(v)) for v in values], F.lit(0.0)))).first()[0] or 0.0
-    tolerance = max(tolerance, 1e-13 * largest)
-    for round_ in range(1, max_rounds + 1):
-        for e in order:
-            w = Window.partitionBy(e)
-            df = df.withColumns({v: F.col(v) - F.avg(v).over(w) for v in values})
-        if len(order) == 1:
-            return df
-        if round_ % check_every == 0 or round_ == max_rounds:
-            df = stash(df, "demeaned")
-            left = [df.groupBy(e).agg(*[F.avg(v).alias(v) for v in values]).agg(F.max(F.greatest(*[F.abs(F.col(v)) for v in values], F.lit(0.0)))).first()[0] or 0.0 for e in order]
-            if max(left) <= tolerance:
-                return df
-    raise RuntimeError(f"demean: group means above {tolerance:g} after {max_rounds} rounds")
-
-
-def absorbed_by(df: DataFrame, effects: list[str]) -> int:
-    """Degrees of freedom that the effects take: their groups, one less for each effect after the first."""
-    groups = df.agg(*[F.count_distinct(e).alias(e) for e in effects]).first()
-    return sum(groups[e] for e in effects) - (len(effects) - 1)
-
-
-def fe_ols(df: DataFrame, y: str, x: list[str], effects: list[str], method: str = "demean", cluster: list[str] | None = None, **options) -> Fit:
-    """OLS with fixed effects: `demean`, `mundlak` (group means of x as regressors) or `auto` (means for the effect with most groups, the others swept out)."""
     clean = df.dropna(subset=list(dict.fromkeys([y, *x, *effects, *(cluster or [])])))
-    if method == "demean":
-        swept = stash(demean(clean.select(*dict.fromkeys([*effects, *(cluster or [])]), *[F.col(c).cast("double").alias(c) for c in [y, *x]]), effects, [y, *x], **options), "swept")
-        return ols(swept, y, x, cluster, intercept=False, absorbed=absorbed_by(swept, effects))
-    by = effects if method == "mundlak" else effects[:1]
+    if method not in ("demean", "mundlak", "mixed", "auto"):
+        raise ValueError(f"no method {method}")
+    if method == "auto":
+        means = by_size(clean, effects)[:1]
+    by = {"demean": [], "mundlak": effects}.get(method, means or [])
+    if not set(by) <= set(effects):
+        raise ValueError("means are for effects of the model")
+    wide = clean.select(*dict.fromkeys([*effects, *(cluster or [])]), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([y, *x]) if c not in (*effects, *(cluster or []))])
     extra = [f"{v}_mean_{e}" for e in by for v in x]
-    wide = clean
     for e in by:
         wide = with_means(wide, [e], {v: f"{v}_mean_{e}" for v in x})
-    if method == "mundlak" or len(effects) == 1:
+    swept = [e for e in effects if e not in by]
+    if not swept:
         return ols(wide, y, [*x, *extra], cluster)
-    rest = demean(wide.withColumns({c: F.col(c).cast("double") for c in [y, *x, *extra]}), effects[1:], [y, *x, *extra], **options)
-    return ols(rest, y, [*x, *extra], cluster)
+    left = stash(demean(stash(wide, "wide") if by else wide, swept, [y, *x, *extra], **options), "swept")
+    return ols(left, y, [*x, *extra], cluster, intercept=False, absorbed=absorbed_by(left, swept))
 
 
 def cluster_bootstrap(df: DataFrame, y: str, x: list[str], cluster: str, draws: int, seed: int = 0) -> np.ndarray:

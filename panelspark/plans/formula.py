@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.operators.regression import Fit, absorbed_by, constant_columns, demean, fe_ols, ols, tsls
+from panelspark.operators.absorb import absorbed_by, demean
+from panelspark.operators.regression import Fit, constant_columns, fe_ols, ols, prune_singletons, tsls
 from panelspark.storage import stash
 
 
@@ -80,21 +81,32 @@ def model_frame(df: DataFrame, f: Formula) -> tuple[DataFrame, dict[str, str]]:
     return df.select(*[(term(t) if t in keys else term(t).cast("double")).alias(n) for t, n in names.items()]), names
 
 
-def fit(df: DataFrame, formula: str, where: str | None = None, fe_method: str = "demean", se: str = "iid", drop_constants: bool = True, **options) -> Fit:
-    """Fits a formula over the rows that `where` keeps; regressors that are constant there are left out."""
+def fit(df: DataFrame, formula: str, where: str | None = None, fe_method: str = "demean", se: str = "iid", drop_constants: bool = False, singletons: str | None = "iterative", **options) -> Fit:
+    """Fits a formula over the complete rows that `where` keeps.
+
+    With effects, rows that are alone in a group go first: `singletons` "iterative" until none is
+    left, "one_pass" once, None not at all. `drop_constants` leaves out regressors that are constant
+    on the rows that are left (within all effects' groups, where there are effects); without it
+    such a regressor is an error. `se` is iid, HC1, or by the formula's clusters.
+    """
     f = parse(formula)
-    rows = df.filter(where) if where else df
-    frame, names = model_frame(rows, f)
+    frame, names = model_frame(df.filter(where) if where else df, f)
+    frame = frame.dropna()
     pick = lambda ts: [names[t] for t in ts]
     back = {n: t for t, n in names.items()}
-    if drop_constants and f.x:
-        gone = set(constant_columns(frame, pick(f.x)))
+    if singletons not in ("iterative", "one_pass", None):
+        raise ValueError(f"no way {singletons} to prune singletons")
+    if f.effects and singletons:
+        frame = prune_singletons(frame, pick(f.effects), singletons == "iterative")
+    if f.x and (gone := set(constant_columns(frame, pick(f.x), pick(f.effects)))):
+        if not drop_constants:
+            raise ValueError(f"constant regressors: {', '.join(back[n] for n in sorted(gone))}")
         f.x = [t for t in f.x if names[t] not in gone]
     if f.endog:
         absorbed = 0
         if f.effects:
             values = [n for n in dict.fromkeys(pick([f.y, *f.x, *f.endog, *f.instruments]))]
-            frame = stash(demean(frame.dropna(), pick(f.effects), values, **options), "swept")
+            frame = stash(demean(frame, pick(f.effects), values, **options), "swept")
             absorbed = absorbed_by(frame, pick(f.effects))
         out = tsls(frame, names[f.y], pick(f.x), pick(f.endog), pick(f.instruments), pick(f.cluster), intercept=not f.effects, absorbed=absorbed)
     elif f.effects:

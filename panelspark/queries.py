@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import grid, text, values
-from panelspark.operators import catalog, panel, regression, spatial, stats
+from panelspark.operators import absorb, catalog, panel, regression, spatial, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -669,7 +669,16 @@ def q_singletons(spark, d):
     return regression.prune_singletons(_panel(spark, d), ["unit", "year"], iterative=False).select("unit", "year", "x")
 
 
-@query()
+def _pruned(rounds: int) -> str:
+    """CTEs a0, b1, a1, ...: rows without lone units, then without lone years, again and again; past the fixed point nothing changes."""
+    parts = [f"a0 AS ({_PANEL})"]
+    for i in range(rounds):
+        parts.append(f"b{i + 1} AS MATERIALIZED (SELECT unit, year, x, y FROM a{i} QUALIFY count(*) OVER (PARTITION BY unit) > 1)")
+        parts.append(f"a{i + 1} AS MATERIALIZED (SELECT unit, year, x, y FROM b{i + 1} QUALIFY count(*) OVER (PARTITION BY year) > 1)")
+    return ", ".join(parts)
+
+
+@query(f"WITH {_pruned(8)} SELECT unit, year, x FROM a8")
 def q_singletons_iterative(spark, d):
     """The fixed point of what `q_singletons` does once."""
     return regression.prune_singletons(_panel(spark, d), ["unit", "year"]).select("unit", "year", "x")
@@ -696,10 +705,48 @@ def q_twfe_balanced(spark, d):
     return spark.createDataFrame([(f.n, float(f.coef[0]))], "n double, slope double").select("n", _r("slope"))
 
 
-@query()
+def _swept(rounds: int, source: str = _PANEL) -> str:
+    """CTEs f (unit, year, y, x less their unit and year effects): each round gives the years what the units leave, and starts anew from there."""
+    parts = [f"p AS MATERIALIZED (SELECT unit, year, y::DOUBLE AS y, x::DOUBLE AS x FROM ({source}))", "t0 AS (SELECT DISTINCT year, 0.0::DOUBLE AS ty, 0.0::DOUBLE AS tx FROM p)"]
+    for i in range(rounds):
+        parts.append(f"u{i} AS MATERIALIZED (SELECT unit, avg(y - ty) AS uy, avg(x - tx) AS ux FROM p JOIN t{i} USING (year) GROUP BY unit)")
+        parts.append(f"t{i + 1} AS MATERIALIZED (SELECT year, avg(y - uy) AS ty, avg(x - ux) AS tx FROM p JOIN u{i} USING (unit) GROUP BY year)")
+    k = rounds - 1
+    return ", ".join([*parts, f"f AS MATERIALIZED (SELECT unit, year, y - uy - ty AS y, x - ux - tx AS x FROM p JOIN u{k} USING (unit) JOIN t{rounds} USING (year))"])
+
+
+_SLOPE = "SELECT sum(x * y) / sum(x * x) AS b FROM f"
+
+
+@query(
+    f"""WITH {_swept(40)}, s AS ({_SLOPE}), g AS (SELECT sum(x * (y - b * x)) AS c FROM f, s GROUP BY unit),
+    n AS (SELECT count(*) AS n, count(DISTINCT unit) + count(DISTINCT year) - 1 AS a FROM f)
+    SELECT 'x' AS name, round(b, 2) AS estimate, round(sqrt((SELECT sum(c * c) * count(*) / (count(*) - 1) FROM g) * (n - 1) / (n - 1 - a)) / (SELECT sum(x * x) FROM f), 2) AS std_error FROM s, n"""
+)
 def q_fe_iter(spark, d):
     f = regression.fe_ols(_panel(spark, d), "y", ["x"], ["unit", "year"], cluster=["unit"])
-    return regression.fit_frame(spark, f)
+    return regression.fit_frame(spark, f).select("name", _r("estimate", 2), _r("std_error", 2))
+
+
+@query(f"WITH {_swept(40)} SELECT unit, year, round(y, 3) + 0.0 AS y, round(x, 6) + 0.0 AS x FROM f")
+def q_demean_unbalanced(spark, d):
+    """Unit and year effects out of every row of an unbalanced panel."""
+    out = absorb.demean(_panel(spark, d), ["unit", "year"], ["y", "x"])
+    return out.select("unit", "year", (F.round("y", 3) + 0.0).alias("y"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query(
+    f"""WITH m AS (SELECT unit, year, y, x::DOUBLE AS x, avg(x) OVER (PARTITION BY unit) AS z FROM ({_PANEL})),
+    w AS (SELECT y - avg(y) OVER t AS y, x - avg(x) OVER t AS x, z - avg(z) OVER t AS z FROM m WINDOW t AS (PARTITION BY year)),
+    s AS (SELECT sum(x * y) AS xy, sum(z * y) AS zy, sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz, sum(y * y) AS yy FROM w),
+    b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM s),
+    n AS (SELECT count(*) - 2 - count(DISTINCT year) AS df FROM m)
+    SELECT df::DOUBLE AS df, round(bx, 2) AS slope, round(sqrt((yy - bx * xy - bz * zy) / df * zz / (xx * zz - xz * xz)), 2) AS std_error FROM b, n"""
+)
+def q_auto_effects(spark, d):
+    """Means of x by unit, the effect with most groups, beside x; years taken out."""
+    f = regression.fe_ols(_panel(spark, d), "y", ["x"], ["year", "unit"], method="auto")
+    return spark.createDataFrame([(float(f.df), float(f.coef[0]), float(f.se[0]))], "df double, slope double, std_error double").select("df", _r("slope", 2), _r("std_error", 2))
 
 
 @query(f"""WITH p AS ({_PANEL}), m AS (SELECT y, x::DOUBLE AS x, avg(x) OVER (PARTITION BY unit) AS z FROM p),

@@ -51,6 +51,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Cells (rows by columns) up to which `settled` keeps a table in the driver.
+SMALL_CELLS = 1_000_000
+
+
+def settled(df: DataFrame, label: str, rows: int) -> DataFrame:
+    """`df`, of `rows` rows at most, computed once: a local table if that is few, else `stash`ed. For steps of an iteration."""
+    if rows * len(df.columns) <= SMALL_CELLS:
+        return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+    return stash(df, label)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stashed tables that no plan still to run reads; other tables are left alone."""
     for table in tables:
