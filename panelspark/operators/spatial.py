@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.quantiles import join_keys, quantiles
 from panelspark.operators.stats import aggregate_of, modal
 from panelspark.storage import stash
 
 
 def winsorize(df: DataFrame, by: list[str], values: list[str], q: float) -> DataFrame:
     """Values clipped to the exact q and 1 - q quantiles of their group (linear, missing values left out)."""
-    bounds = df.groupBy(*by).agg(*[F.percentile(v, F.array(F.lit(q), F.lit(1 - q))).alias(f"__{v}") for v in values])
-    joined = df.join(bounds, by)
+    bounds = quantiles(df, by, values, [q, 1 - q]).withColumnsRenamed({v: f"__{v}" for v in values})
+    joined = join_keys(df, bounds, by)
     clipped = [F.when(F.col(v).isNotNull(), F.least(F.greatest(F.col(v), F.col(f"__{v}")[0]), F.col(f"__{v}")[1])).alias(v) for v in values]
     return joined.select(*[c for c in df.columns if c not in values], *clipped)
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.quantiles import join_keys, quantiles, with_quantiles
+
 #: Names people use for the same aggregate.
 ALIASES = {"avg": "mean", "average": "mean", "med": "median"}
 
@@ -33,16 +35,21 @@ def aggregate_of(name: str, c: Column, order: Column | None = None, ddof: int =
 def zonal(df: DataFrame, by: list[str], value: str, names: list[str], order: str | None = None, ddof: int = 1) -> DataFrame:
     """Aggregates of a value by zone, missing values left out. Partial sums meet per zone, so raw rows do not move."""
     c = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-    return df.groupBy(*by).agg(*[aggregate_of(n, c, F.col(order) if order else None, ddof).alias(f"{value}_{ALIASES.get(n, n)}") for n in names])
+    names = [ALIASES.get(n, n) for n in names]
+    out = df.groupBy(*by).agg(*[aggregate_of(n, c, F.col(order) if order else None, ddof).alias(f"{value}_{n}") for n in names if n != "median"] or [F.lit(0).alias("__none")])
+    if "median" in names:
+        out = with_quantiles(out, df, by, c, {f"{value}_median": 0.5})
+    return out.select(*by, *[f"{value}_{n}" for n in names])
 
 
 def annual_stats(df: DataFrame, by: list[str], value: str, hot: float, cold: float) -> DataFrame:
     """Mean, median, deviation (population), extremes, and how many values there are, above `hot` and below `cold`."""
     v = F.col(value)
-    return df.groupBy(*by).agg(
-        F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"), F.max(v).alias("max"), F.min(v).alias("min"),
+    out = df.groupBy(*by).agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("max"), F.min(v).alias("min"),
         F.count_if(v > hot).alias("n_hot"), F.count_if(v < cold).alias("n_cold"), F.count(v).alias("n_valid"),
     )
+    return with_quantiles(out, df, by, v, {"median": 0.5}).select(*by, "mean", "median", "std", "max", "min", "n_hot", "n_cold", "n_valid")
 
 
 def rolling_extrema(df: DataFrame, by: list[str], unit: str, order: str, value: str) -> DataFrame:
@@ -142,25 +149,27 @@ def changepoint(df: DataFrame, by: list[str], order: str, value: str, min_side:
 
 def outlier_flags(df: DataFrame, by: list[str], value: str, q: float = 0.01, iqr: float = 1.5) -> DataFrame:
     """Whether a value lies beyond its group's outer quantiles, or beyond median -/+ iqr quartile distances."""
-    cut = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(x) for x in (q, 0.25, 0.5, 0.75, 1 - q)])).alias("p"))
-    joined = df.join(cut, by)
-    p, v = F.col("p"), F.col(value)
+    cut = quantiles(df, by, [value], [q, 0.25, 0.5, 0.75, 1 - q]).withColumnRenamed(value, "__p")
+    joined = join_keys(df, cut, by)
+    p, v = F.col("__p"), F.col(value)
     far = iqr * (p[3] - p[1])
     return joined.select(*df.columns, ((v < p[0]) | (v > p[4])).alias("beyond_quantile"), ((v < p[2] - far) | (v > p[2] + far)).alias("beyond_iqr"))
 
 
 def summary(df: DataFrame, by: list[str], value: str, success: Column) -> DataFrame:
     v = F.col(value)
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.75).alias("p75"),
+    out = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"),
         F.min(v).alias("min"), F.max(v).alias("max"), F.count_if(success).alias("n_success"), F.count_if(~success).alias("n_failed"),
     )
+    return with_quantiles(out, df, by, v, {"median": 0.5, "p25": 0.25, "p75": 0.75}).select(*by, "n", "total", "mean", "median", "p25", "p75", "min", "max", "n_success", "n_failed")
 
 
 def cluster_sizes(df: DataFrame, cluster: str, few: int = 50, uneven: float = 10.0) -> DataFrame:
     """How many clusters there are and how even they are, with warnings."""
     n = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
-    out = n.agg(F.count(F.lit(1)).alias("n_clusters"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.avg("n").alias("mean_size"), F.percentile("n", 0.5).alias("median_size"))
+    out = n.agg(F.count(F.lit(1)).alias("n_clusters"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.avg("n").alias("mean_size"))
+    out = with_quantiles(out, n, [], "n", {"median_size": 0.5})
     return out.select("*", (F.col("n_clusters") < few).alias("few_clusters"), (F.col("max_size") > uneven * F.col("mean_size")).alias("uneven"))
 
 
