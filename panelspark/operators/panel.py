@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.ranks import placed
+
 
 def _equal(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
@@ -121,7 +123,8 @@ def last_known(df: DataFrame, key: list[str], year: str, values: list[str], cuts
 
 def encode_labels(df: DataFrame, column: str, name: str = "code") -> DataFrame:
     """Adds the rank (1..N) of a label among the sorted distinct ones; null: 0. Only the distinct labels are ranked."""
-    codes = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("__l")).distinct().withColumn(name, F.row_number().over(Window.orderBy("__l")))
+    labels = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("__l")).distinct()
+    codes = placed(labels, ["__l"], "__p").select("__l", (F.col("__p") + 1).cast("int").alias(name))
     return df.join(codes, F.col(column) == F.col("__l"), "left").drop("__l").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
@@ -149,7 +152,7 @@ def keep_where_any(df: DataFrame, keys: list[str], mask: DataFrame, flag: str, v
 def factorize(df: DataFrame, column: str, order: str, name: str = "code") -> DataFrame:
     """Adds 0, 1, ... for a label by where it first appears; null: -1. Only the distinct labels are ranked."""
     first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__l")).agg(F.min(order).alias("__o"))
-    codes = first.select("__l", (F.row_number().over(Window.orderBy("__o", "__l")) - 1).alias(name))
+    codes = placed(first, ["__o", "__l"], "__p").select("__l", F.col("__p").cast("int").alias(name))
     return df.join(codes, F.col(column) == F.col("__l"), "left").drop("__l").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 

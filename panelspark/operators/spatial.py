@@ -15,24 +15,36 @@ from panelspark.operators.stats import aggregate_of, modal
 from panelspark.storage import stash
 
 
-def winsorize(df: DataFrame, by: list[str], values: list[str], q: float) -> DataFrame:
-    """Values clipped to the exact q and 1 - q quantiles of their group (linear, missing values left out)."""
-    bounds = quantiles(df, by, values, [q, 1 - q]).withColumnsRenamed({v: f"__{v}" for v in values})
+def winsorize(df: DataFrame, by: list[str], values: list[str], q: float, pool: DataFrame | None = None) -> DataFrame:
+    """Values clipped to the exact q and 1 - q quantiles of their group (linear, missing values left out).
+
+    `pool` has the rows that the quantiles are taken over, where these are not `df` itself: with
+    the cells around a tile, say.
+    """
+    bounds = quantiles(df if pool is None else pool, by, values, [q, 1 - q]).withColumnsRenamed({v: f"__{v}" for v in values})
     joined = join_keys(df, bounds, by)
     clipped = [F.when(F.col(v).isNotNull(), F.least(F.greatest(F.col(v), F.col(f"__{v}")[0]), F.col(f"__{v}")[1])).alias(v) for v in values]
     return joined.select(*[c for c in df.columns if c not in values], *clipped)
 
 
 def with_halo(df: DataFrame, row: str, col: str, tile: int, pad: int) -> DataFrame:
-    """Every cell in its tile and in those whose padding holds it (four at most): `ix` and `iy` are added."""
+    """Every cell in its own tile and in those whose padding holds it: `ix` and `iy` are added.
+
+    Only cells within `pad` of a border are sent to a neighbour (or to several, where `pad` is wider than a tile).
+    """
 
     def tiles(c: str) -> Column:
-        lo, hi = F.floor((F.col(c) - pad) / tile), F.floor((F.col(c) + pad) / tile)
-        return F.array_distinct(F.array(F.greatest(lo, F.lit(0)), F.floor(F.col(c) / tile), hi))
+        return F.sequence(F.greatest(F.floor((F.col(c) - pad) / tile), F.lit(0)), F.floor((F.col(c) + pad) / tile))
 
     return df.withColumn("ix", F.explode(tiles(row))).withColumn("iy", F.explode(tiles(col)))
 
 
+def winsorize_tiles(df: DataFrame, row: str, col: str, tile: int, values: list[str], q: float, pad: int = 0) -> DataFrame:
+    """Values clipped to the quantiles of their tile and of `pad` cells around it; cells stay where they are, once."""
+    own = df.withColumns({"ix": F.floor(F.col(row) / tile), "iy": F.floor(F.col(col) / tile)})
+    return winsorize(own, ["ix", "iy"], values, q, with_halo(df, row, col, tile, pad) if pad else None).drop("ix", "iy")
+
+
 def resample(df: DataFrame, row: str, col: str, factor: int, values: list[str], how: str = "mode", by: tuple[str, ...] = ()) -> DataFrame:
     """Cells of a grid `factor` times coarser: mode (ties: the least), average, sum, nearest, or any other aggregate."""
     keys = [*by, "row", "col"]

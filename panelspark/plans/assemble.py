@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.grid import GridSpec, cell_at, derived_cell
 from panelspark.operators.panel import combine, fill, order_columns, update_merge
-from panelspark.operators.spatial import resample, winsorize
+from panelspark.operators.spatial import resample, winsorize_tiles
 
 
 @dataclass
@@ -33,16 +33,16 @@ class Assembly:
     index: list[str] = field(default_factory=lambda: ["pixel_id", "year"])
     derived: dict[str, int] = field(default_factory=dict)  # name -> factor
     policy: str = "progressive"
+    pad: int = 0  # cells of the panel around a tile that count for what is computed by tile
 
 
 def prepare(source: Source, plan: Assembly) -> DataFrame:
-    """One source on the panel's grid: clipped by tile, masked by land, resampled, prefixed, keyed."""
+    """One source on the panel's grid: clipped by tile (with its padding), masked by land, resampled, prefixed, keyed."""
     time = [c for c in ("year",) if c in source.table.columns]
     df = source.table.select("row", "col", *time, *source.values)
     tile = plan.grid.tile * source.factor
     if source.winsor:
-        tiled = df.withColumns({"ix": F.floor(F.col("row") / tile), "iy": F.floor(F.col("col") / tile)})
-        df = winsorize(tiled, ["ix", "iy"], source.values, source.winsor).drop("ix", "iy")
+        df = winsorize_tiles(df, "row", "col", tile, source.values, source.winsor, plan.pad * source.factor)
     if plan.land is not None:
         keep = plan.land.filter("land").select("row", "col")
         df = df.join(keep, ["row", "col"], "left_semi").dropna(how="all", subset=source.values)

@@ -193,6 +193,17 @@ def _daily(spark, d):
     return e.select(F.col("user_id").alias("pixel"), "ts", F.to_date("ts").alias("day"), v.alias("lst"), "event_id")
 
 
+@query(
+    """WITH c AS (SELECT l_orderkey % 48 AS r, l_partkey % 48 AS c, l_orderkey AS k, l_linenumber AS ln, l_extendedprice AS v FROM lineitem),
+    b AS (SELECT x, y, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM c, range(3) AS i(x), range(3) AS j(y) WHERE r BETWEEN 16 * x - 3 AND 16 * x + 18 AND c BETWEEN 16 * y - 3 AND 16 * y + 18 GROUP BY ALL)
+    SELECT k, ln, round(least(greatest(v, lo), hi), 4) AS v FROM c JOIN b ON b.x = r // 16 AND b.y = c.c // 16"""
+)
+def q_winsorize_halo(spark, d):
+    """Clipped to the quantiles of a tile of 16 x 16 cells and of the 3 cells around it."""
+    li = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 48).alias("r"), (F.col("l_partkey") % 48).alias("c"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), F.col("l_extendedprice").alias("v"))
+    return spatial.winsorize_tiles(li, "r", "c", 16, ["v"], 0.05, pad=3).select("k", "ln", _r("v"))
+
+
 @query(
     f"""SELECT pixel, year(day)::INTEGER AS year, round(avg(lst), 4) AS mean, round(median(lst), 4) AS median, round(stddev_pop(lst), 4) AS std, round(max(lst), 4) AS max, round(min(lst), 4) AS min,
     count_if(lst > 30315)::BIGINT AS n_hot, count_if(lst < 27315)::BIGINT AS n_cold, count(lst) AS n_valid FROM {_DAILY} GROUP BY ALL"""
