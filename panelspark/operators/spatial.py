@@ -1,8 +1,7 @@
-"""Tiles, resampling and geometry as DataFrame operations.
+"""Tiles, resampling and distances as DataFrame operations.
 
-Polygons are rows (id, ring ARRAY<STRUCT<x, y>>, ordinal). Range conditions are
-turned into equi-joins on square buckets, with the exact test after the join, so
-no nested-loop join is planned.
+Range conditions are turned into equi-joins on square buckets, with the exact test
+after the join, so no nested-loop join is planned.
 """
 
 from __future__ import annotations
@@ -10,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.polygons import inside, point_in_polygon
 from panelspark.operators.quantiles import join_keys, quantiles
 from panelspark.operators.stats import aggregate_of, modal
 from panelspark.storage import stash
 
+__all__ = ["buffer_counts", "clusters", "inside", "neighbours", "point_in_polygon", "resample", "spread_cells", "winsorize", "winsorize_tiles", "with_halo"]
+
 
 def winsorize(df: DataFrame, by: list[str], values: list[str], q: float, pool: DataFrame | None = None) -> DataFrame:
     """Values clipped to the exact q and 1 - q quantiles of their group (linear, missing values left out).
@@ -59,44 +61,6 @@ def resample(df: DataFrame, row: str, col: str, factor: int, values: list[str],
     return coarse.groupBy(*keys).agg(*[aggregate_of(name, F.col(v), ddof=0).alias(v) for v in values])
 
 
-def inside(x: Column, y: Column, ring: Column, boundary: bool = False) -> Column:
-    """Whether a point lies in a ring (even-odd rule); points on an edge count as `boundary` says."""
-    n = F.size(ring)
-
-    def edge(i: Column) -> tuple[Column, Column]:
-        return F.element_at(ring, i), F.element_at(ring, F.when(i == 1, n).otherwise(i - 1))
-
-    def crossed(i: Column) -> Column:
-        a, b = edge(i)
-        spans = (a["y"] > y) != (b["y"] > y)
-        return (spans & (x < F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"])).cast("int")
-
-    def touched(i: Column) -> Column:
-        a, b = edge(i)
-        cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
-        return (cross == 0) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
-
-    places = F.sequence(F.lit(1), n)
-    odd = F.aggregate(F.transform(places, crossed), F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0))) % 2 == 1
-    on_edge = F.exists(places, touched)
-    return F.when(n >= 3, (odd | on_edge) if boundary else (odd & ~on_edge)).otherwise(False)
-
-
-def point_in_polygon(points: DataFrame, polygons: DataFrame, x: str, y: str, bucket: float, overlap: str = "all", boundary: bool = False, key: list[str] | None = None) -> DataFrame:
-    """Points with the `id` of each polygon they lie in (inner join).
-
-    `overlap` "last" keeps, for a point (columns `key`) in several, the one of the greatest ordinal.
-    """
-    box = polygons.select("id", "ring", "ordinal", *[f(F.col("ring")[c]).alias(f"{n}{c}") for c in ("x", "y") for f, n in ((F.array_min, "min"), (F.array_max, "max"))])
-    cells = box.withColumn("__bx", F.explode(F.sequence(F.floor(F.col("minx") / bucket), F.floor(F.col("maxx") / bucket)))).withColumn("__by", F.explode(F.sequence(F.floor(F.col("miny") / bucket), F.floor(F.col("maxy") / bucket))))
-    placed = points.withColumn("__bx", F.floor(F.col(x) / bucket)).withColumn("__by", F.floor(F.col(y) / bucket))
-    hit = placed.join(cells, ["__bx", "__by"]).filter(F.col(x).between(F.col("minx"), F.col("maxx")) & F.col(y).between(F.col("miny"), F.col("maxy"))).filter(inside(F.col(x), F.col(y), F.col("ring"), boundary))
-    if overlap == "last":
-        last = hit.groupBy(*(key or [x, y])).agg(F.max_by("id", "ordinal").alias("id"))
-        return points.join(last, key or [x, y])
-    return hit.select(*points.columns, "id")
-
-
 def neighbours(left: DataFrame, right: DataFrame, xy: tuple[str, str], other: tuple[str, str], radius: float) -> DataFrame:
     """Pairs within a planar distance: the right side goes to the 3 x 3 buckets around it, then an equi-join and the exact test."""
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import grid, text, values
-from panelspark.operators import absorb, catalog, panel, regression, spatial, stats
+from panelspark.operators import absorb, catalog, panel, polygons, regression, spatial, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -562,6 +563,68 @@ def q_buffer_count_all(spark, d):
     return spatial.buffer_counts(_points(spark, d), sites, ("x", "y"), ("sx", "sy"), 5.0, "k").select("k", "n_sites")
 
 
+#: Corners of a supplier's area, from its place (x0, y0) and two numbers of its own (u, w).
+_CORNERS = [("0.0", "0.0"), ("3.3 + u", "0.7"), ("1.9", "1.6"), ("4.1", "3.9 + w"), ("-1.6", "2.4")]
+
+
+def _areas(spark, d):
+    s = F.col("s_suppkey")
+    base = _t(spark, d, "supplier").select(s.alias("id"), (s % 5).alias("year"), (s * 53 % 100 + F.lit(0.137)).alias("x0"), (s * 29 % 62 + F.lit(0.211)).alias("y0"), (s % 4).cast("double").alias("u"), (s % 3).cast("double").alias("w"))
+    number = lambda c: F.expr(re.sub(r"(\d+\.\d+)", r"\1D", c))
+    ring = F.array(*[F.struct((F.col("x0") + number(x)).alias("x"), (F.col("y0") + number(y)).alias("y")) for x, y in _CORNERS])
+    return base.select("id", "year", ring.alias("ring"), F.col("id").alias("ordinal"))
+
+
+_AREAS = f"""base AS (SELECT s_suppkey AS id, s_suppkey % 5 AS year, (s_suppkey * 53 % 100) + 0.137::DOUBLE AS x0, (s_suppkey * 29 % 62) + 0.211::DOUBLE AS y0, (s_suppkey % 4)::DOUBLE AS u, (s_suppkey % 3)::DOUBLE AS w FROM supplier),
+    corners AS ({" UNION ALL ".join(f"SELECT id, year, {i} AS i, x0 + ({x})::DOUBLE AS x, y0 + ({y})::DOUBLE AS y FROM base" for i, (x, y) in enumerate(_CORNERS))}),
+    edges AS (SELECT a.id, a.year, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM corners a JOIN corners b ON b.id = a.id AND b.i = (a.i + {len(_CORNERS) - 1}) % {len(_CORNERS)}),
+    boxes AS (SELECT id, floor(min(x))::BIGINT AS x0, floor(max(x))::BIGINT AS x1, floor(min(y))::BIGINT AS y0, floor(max(y))::BIGINT AS y1 FROM corners GROUP BY id),
+    cells AS (SELECT id, col, unnest(range(y0, y1 + 1)) AS row FROM (SELECT *, unnest(range(x0, x1 + 1)) AS col FROM boxes)),
+    centres AS (SELECT c.id, row, col FROM cells c JOIN edges e USING (id) GROUP BY c.id, row, col
+      HAVING sum(CASE WHEN (ay > row + 0.5) <> (by_ > row + 0.5) AND col + 0.5 < (bx - ax) * (row + 0.5 - ay) / nullif(by_ - ay, 0) + ax THEN 1 ELSE 0 END) % 2 = 1)"""
+
+
+def _clip(low: str, high: str, a: str, b: str) -> tuple[str, str]:
+    """The part of a segment's way from a (0) to b (1) in which a coordinate is between low and high, as SQL."""
+    at = lambda v: f"({v} - {a}) / nullif({b} - {a}, 0)"
+    flat = f"CASE WHEN {a} BETWEEN {low} AND {high} THEN"
+    return f"coalesce(least({at(low)}, {at(high)}), {flat} 0 ELSE 2 END)", f"coalesce(greatest({at(low)}, {at(high)}), {flat} 1 ELSE -1 END)"
+
+
+def _through(x0: str, x1: str, y0: str, y1: str) -> str:
+    """Whether an edge (ax, ay, bx, by_) has a point in a box, as SQL."""
+    (s, t), (u, v) = _clip(x0, x1, "ax", "bx"), _clip(y0, y1, "ay", "by_")
+    return f"greatest({s}, {u}, 0) <= least({t}, {v}, 1)"
+
+
+@query(f"WITH {_AREAS} SELECT row, col, id FROM centres")
+def q_rasterize_centres(spark, d):
+    """Cells whose centre lies in a supplier's area."""
+    return polygons.rasterize(_areas(spark, d), 1.0).select("row", "col", "id")
+
+
+@query(f"WITH {_AREAS}, touched AS (SELECT DISTINCT c.id, row, col FROM cells c JOIN edges e USING (id) WHERE {_through('col', 'col + 1', 'row', 'row + 1')}) SELECT row, col, max(id) AS id FROM (FROM touched UNION SELECT id, row, col FROM centres) GROUP BY row, col")
+def q_rasterize_touched(spark, d):
+    """Cells that a supplier's area touches, the later supplier first."""
+    return polygons.rasterize(_areas(spark, d), 1.0, all_touched=True, overlap="last")
+
+
+@query(
+    f"""WITH {_AREAS}, tiles AS (SELECT a.range AS ix, b.range AS iy, c.range AS year FROM range(10) a, range(15) b, range(5) c),
+    met AS (SELECT ix, iy, year, id FROM tiles JOIN edges e USING (year) WHERE {_through('7.0 * iy', '7.0 * iy + 7', '7.0 * ix', '7.0 * ix + 7')}),
+    held AS (SELECT ix, iy, year, id FROM tiles JOIN edges e USING (year) GROUP BY ALL
+      HAVING sum(CASE WHEN (ay > 7.0 * ix) <> (by_ > 7.0 * ix) AND 7.0 * iy < (bx - ax) * (7.0 * ix - ay) / nullif(by_ - ay, 0) + ax THEN 1 ELSE 0 END) % 2 = 1)
+    FROM met UNION FROM held"""
+)
+def q_tile_features(spark, d):
+    """The suppliers' areas of a year that each tile of 7 x 7 meets."""
+    years = spark.range(5).select(F.col("id").alias("year"))
+    tiles = grid.GridSpec(0, 0, 1, 1, 70, 105, tile=7).tiles(spark).crossJoin(F.broadcast(years))
+    met = polygons.intersecting(polygons.tile_polygons(tiles, 7.0, ["year"]), _areas(spark, d), 5.0, on=["year"])
+    # A supplier has one year, so that the pair tells it.
+    return met.join(_areas(spark, d).select(F.col("id").alias("right_id"), "year"), "right_id").select(F.col("left_id.ix").cast("long").alias("ix"), F.col("left_id.iy").cast("long").alias("iy"), "year", F.col("right_id").alias("id"))
+
+
 @query(
     """WITH RECURSIVE p AS (SELECT s_suppkey AS k, (s_suppkey * 53 % 997)::DOUBLE AS x, (s_suppkey * 29 % 641)::DOUBLE AS y FROM supplier),
     e AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600),
