@@ -2,42 +2,90 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelspark.operators.regression import INTERCEPT, Fit, gram
+from panelspark.sources import files
 
 
 class OnlineOLS:
-    """Recursive least squares: each micro-batch adds its Gram matrix, older ones fade by `forget`.
+    """Recursive least squares over micro-batches; older ones fade by `forget`.
 
-    A batch that comes again after a failure is not added twice.
+    The state is a count, means and centred cross products, k(k+1)/2 numbers whatever
+    the stream holds. With `path`, each batch commits the state after it as a file of
+    its own in the shared folder, and a new object goes on from the last one. A batch
+    that comes again, in this process or after a restart, counts once: its state is
+    there already, or is made anew from that of the batch before.
     """
 
-    def __init__(self, y: str, x: list[str], ridge: float = 0.0, forget: float = 1.0):
-        self.y, self.names, self.ridge, self.forget = y, [INTERCEPT, *x], ridge, forget
-        k = len(self.names) + 1
-        self.g, self.n, self.last = np.zeros((k, k)), 0.0, -1
+    def __init__(self, y: str, x: list[str], ridge: float = 0.0, forget: float = 1.0, path: str | None = None, keep: int = 5):
+        self.y, self.x, self.ridge, self.forget, self.path, self.keep = y, list(x), ridge, forget, path, keep
+        k = len(self.x) + 1
+        self.cross, self.mean, self.n, self.last = np.zeros((k, k)), np.zeros(k), 0.0, -1
+        self.restored = path is None
+
+    @property
+    def names(self) -> list[str]:
+        return [INTERCEPT, *self.x]
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
+        self._restore(batch.sparkSession)
         if batch_id <= self.last:
             return
-        g, n = gram(batch.dropna(subset=[self.y, *self.names[1:]]), [*self.names, self.y])
-        self.g, self.n, self.last = self.forget * self.g + g, self.forget * self.n + n, batch_id
+        columns = [*self.x, self.y]
+        clean = batch.dropna(subset=columns)
+        # Sums about the mean so far, or the batch's own where there is none: no large numbers cancel.
+        about = self.mean if self.n else np.array([v or 0.0 for v in clean.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()])
+        g, n = gram(clean.select(*[F.col(c).cast("double").alias(c) for c in columns], F.lit(1.0).alias(INTERCEPT)), [*columns, INTERCEPT], centre=dict(zip(columns, map(float, about), strict=True)))
+        k, total = len(columns), self.forget * self.n + n
+        if total > 0:
+            shift = g[:k, k] / total
+            self.cross = self.forget * self.cross + g[:k, :k] - total * np.outer(shift, shift)
+            self.mean, self.n = about + shift, total
+        self.last = batch_id
+        self._commit(batch.sparkSession)
+
+    def _restore(self, spark: SparkSession) -> None:
+        if self.restored:
+            return
+        found = files.versions(spark, self.path)
+        if found:
+            state = json.loads(files.read_text(spark, f"{self.path}/{found[-1]}"))
+            if state["columns"] != [*self.x, self.y]:
+                raise ValueError("the state is of another model")
+            self.cross, self.mean, self.n, self.last = np.array(state["cross"]), np.array(state["mean"]), state["n"], state["batch"]
+        self.restored = True
+
+    def _commit(self, spark: SparkSession) -> None:
+        if self.path is None:
+            return
+        state = {"columns": [*self.x, self.y], "batch": self.last, "n": self.n, "mean": self.mean.tolist(), "cross": self.cross.tolist()}
+        files.commit_text(spark, self.path, self.last, json.dumps(state))
+        for old in files.versions(spark, self.path)[: -self.keep]:
+            files.remove(spark, f"{self.path}/{old}")
 
     def fit(self) -> Fit:
-        k = len(self.names)
-        xx, xy = self.g[:k, :k] + self.ridge * np.eye(k), self.g[:k, k]
-        beta = np.linalg.solve(xx, xy)
-        rss = float(self.g[k, k] - 2 * beta @ xy + beta @ self.g[:k, :k] @ beta)
-        df = self.n - k
-        return Fit(self.names, beta, np.linalg.inv(xx) * rss / max(df, 1), self.n, df, {"rss": rss})
+        k = len(self.x)
+        xx, xy = self.cross[:k, :k] + self.ridge * np.eye(k), self.cross[:k, k]
+        slopes = np.linalg.solve(xx, xy)
+        rss = float(self.cross[k, k] - 2 * slopes @ xy + slopes @ self.cross[:k, :k] @ slopes)
+        df = self.n - k - 1
+        bread = np.linalg.inv(xx)
+        mean = self.mean[:k]
+        inverse = np.block([[np.array([[1 / self.n + mean @ bread @ mean]]), -(mean @ bread)[None, :]], [-(bread @ mean)[:, None], bread]])
+        beta = np.concatenate([[self.mean[k] - slopes @ mean], slopes])
+        return Fit(self.names, beta, inverse * rss / max(df, 1), self.n, df, {"rss": rss})
 
     def start(self, stream: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
+        """Runs over a stream. Without a `path` of its own the state goes beside the stream's checkpoint, whose batch numbers it follows."""
+        if self.path is None:
+            self.path, self.restored = f"{checkpoint}/model", False
         writer = stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer).start()
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from panelspark.operators import regression
+from panelspark.sources import files
 from panelspark.streaming import online
 
 
@@ -18,6 +19,49 @@ def test_online_equals_batch(spark, sf, tmp_path):
     assert model.n == before
 
 
+def test_online_state_survives_a_restart(spark, sf, tmp_path):
+    path, state = f"file://{tmp_path}/in", f"file://{tmp_path}/model"
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_extendedprice") + 1e9).alias("y"), (F.col("l_quantity") + 1e7).alias("x"))
+    parts = [p.cache() for p in li.randomSplit([1.0] * 4, seed=1)]
+    new = lambda: online.OnlineOLS("y", ["x"], path=state)
+
+    def start(model):
+        stream = spark.readStream.schema(li.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        model.start(stream, f"file://{tmp_path}/check").awaitTermination()
+        return model
+
+    for p in parts[:2]:
+        p.coalesce(1).write.mode("append").parquet(path)
+    first = start(new())
+    assert first.last == 1 and first.n == parts[0].count() + parts[1].count()
+    # A process that dies within a batch: the state is committed, the stream's own log does not say so.
+    dead = new()
+    dead.add(parts[2], 2)
+    again = new()
+    again.add(parts[2], 2)  # comes again after the restart
+    assert again.n == dead.n and again.last == 2
+    # One that dies before its commit leaves nothing.
+    lost = new()
+    lost._commit = lambda spark: (_ for _ in ()).throw(RuntimeError("killed"))
+    try:
+        lost.add(parts[3], 3)
+    except RuntimeError:
+        pass
+    for p in parts[2:]:
+        p.coalesce(1).write.mode("append").parquet(path)
+    last = start(new())
+    want = regression.ols(spark.read.parquet(path), "y", ["x"])
+    got = last.fit()
+    assert last.last == 3 and last.n == want.n and abs(got.coef[1] - want.coef[1]) < 1e-6
+    assert abs(got.se[1] / want.se[1] - 1) < 1e-6 and abs(got.coef[0] / want.coef[0] - 1) < 1e-9
+    assert len(files.names(spark, state)) == 4
+    try:
+        online.OnlineOLS("y", ["z"], path=state).add(parts[0], 9)
+        raise AssertionError("another model's state")
+    except ValueError:
+        pass
+
+
 def test_windows_on_a_stream(spark, sf, tmp_path):
     ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     path = f"file://{tmp_path}/ev"
