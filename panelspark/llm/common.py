@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from panelspark.storage import discard, stash
 
-__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "discard", "few", "free_names", "partitions", "read_table", "sliced", "stash", "text_key"]
+__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "discard", "few", "free_names", "packed", "partitions", "read_table", "sliced", "stash", "text_key"]
 
 #: The six ASCII white-space code points of the `[\x20\x09-\x0D]` class.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Rows of ids or keys (8 to 16 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 2_000_000
+#: Rows of ids, keys and counts in a file of an intermediate table.
+ROWS_A_FILE = 250_000
 #: Texts that a Python worker takes from an Arrow batch at once.
 BATCH_ROWS = 500
 
@@ -39,6 +41,15 @@ def few(rows: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= bound else rows
 
 
+def packed(rows: DataFrame, most: int) -> DataFrame:
+    """A table of a few short columns, of `most` rows at most, in as few files as that asks for.
+
+    Each file that a task writes has a price of its own (on a local file system without native
+    calls even a process that the executor forks to set its permissions), and steps of an iteration write many.
+    """
+    return rows.coalesce(max(1, -(-most // ROWS_A_FILE)))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of `rows` at most, so that a worker holds few texts at once beside their Arrow form."""
     for batch in batches:

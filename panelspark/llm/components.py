@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import discard, stash
+from panelspark.llm.common import discard, packed, stash
 
 #: Parts that a node's neighbours are dealt to, so that the centre of a star is no task's alone.
 SALTS = 32
@@ -41,8 +41,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each step relinks a node's neighbours to the least of them: aggregates and
     joins whose rows never outnumber the edges. The rounds grow with the log of
     the longest path. Self-loops are allowed; an empty edge table gives no rows.
+    `edges` is counted first, which is cheap for a stashed table.
     """
-    edges = stash(edges.select("u", "v").distinct(), "edges")
+    most = 2 * edges.count()
+    edges = stash(packed(edges.select("u", "v").distinct(), most), "edges")
     nodes = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
     now = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     for _ in range(max_rounds):
@@ -51,13 +53,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Large-star: every larger neighbour of u links to the least node around u.
         large = _with_least(_both(now)).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small-star: u and its smaller neighbours link to the least of them.
-        down = stash(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") != F.col("v")).distinct(), "edges")
+        down = stash(packed(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") != F.col("v")).distinct(), most), "edges")
         near = _with_least(down)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
-        before, now = now, stash(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        before, now = now, stash(packed(small.filter(F.col("u") != F.col("v")).distinct(), most), "edges")
         discard(down, before)
     else:
         raise RuntimeError("components did not settle")
-    out = stash(nodes.join(now.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
+    out = stash(packed(nodes.join(now.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root")), most), "roots")
     discard(edges, now)
     return out

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import BROADCAST_ROWS, discard, few, free_names, partitions, sliced, stash
+from panelspark.llm.common import BROADCAST_ROWS, discard, few, free_names, packed, partitions, sliced, stash
 from panelspark.llm.components import components
 
 WORDS = 5
@@ -201,10 +201,10 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Edges (`u`, `v`) of forests over the pairs that share a bucket and survive pruning; `sets` has id, sig and bands."""
+    """Edges (`u`, `v`) of forests over the pairs that share a bucket and survive pruning; `sets` (stashed: it is counted) has id, sig and bands."""
     rows = sets.select("id", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-    sizes = stash(sizes.select("bucket", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("nb")), "buckets")
+    sizes = stash(packed(sizes.select("bucket", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("nb")), BANDS * sets.count() // 2), "buckets")
     many = rows.join(sizes.select("bucket"), "bucket", "left_semi").join(sets.select("id", "sig"), "id")
     dealt = _blocks(many, "bucket", sizes).select("bucket", "lo", "hi", "side", "id", "sig")
     width = partitions(sets.sparkSession)
@@ -313,15 +313,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = candidates(sets)
     found = components(pairs).withColumnRenamed("root", "comp")
     discard(pairs)
-    want = stash(found.join(sets.select("id", "first_id", "copies", "n", "sig"), "id").select("comp", "id", "first_id", "copies", "n", "sig"), "want")
+    most = sets.count()
+    want = stash(packed(found.join(sets.select("id", "first_id", "copies", "n", "sig"), "id").select("comp", "id", "first_id", "copies", "n", "sig"), most), "want")
     sizes = want.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    sizes = stash(sizes, "sizes")
+    sizes = stash(packed(sizes, most), "sizes")
     shingled = _with_shingles(docs, want.drop("n"), id_col, text_col)
     linked = stash(verify(shingled, sizes), "links")
     discard(want, sizes, shingled)
     classes = components(linked.select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    labels = stash(sets.select("id", "first_id", "copies").join(classes, "id", "left").join(links, "id", "left").select("id", "first_id", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "labels")
+    labels = sets.select("id", "first_id", "copies").join(classes, "id", "left").join(links, "id", "left").select("id", "first_id", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    labels = stash(packed(labels, most), "labels")
     discard(sets, linked, classes)
     least = labels.groupBy("root").agg(F.min("first_id").alias("class_id"))
     labels = labels.join(least, "root").select(F.col("id").alias("digest"), F.col("root").alias("class_key"), "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
