@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.functions.text import file_date, status_category
+from panelspark.operators.batching import batches
+
+__all__ = [
+    "SCHEMA", "add", "batches", "build", "by_year", "migrate", "modern_status", "next_jobs", "pending", "preferred", "stamp_census", "sync_advice", "totals", "update_status",
+]
 
 SCHEMA = T.StructType(
     [
@@ -97,25 +102,6 @@ def next_jobs(jobs: DataFrame, limit: int = 1) -> DataFrame:
     return waiting.join(F.broadcast(busy)).filter("__busy = 0").drop("__busy")
 
 
-def batches(rows: DataFrame, order: str, size: str, max_size: int, max_rows: int, group: str) -> DataFrame:
-    """Adds `batch`: rows in order, a new batch where the next row would break a bound. Groups are independent."""
-    import pandas as pd
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
-
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        out, batch, used, n = [], 0, 0, 0
-        for x in frame[size].fillna(0):
-            if n and (used + x > max_size or n >= max_rows):
-                batch, used, n = batch + 1, 0, 0
-            used, n = used + x, n + 1
-            out.append(batch)
-        return frame.assign(batch=pd.Series(out, index=frame.index, dtype="int32"))
-
-    return rows.groupBy(group).applyInPandas(cut, schema)
-
-
 def stamp_census(catalog: DataFrame, column: str = "timestamp") -> DataFrame:
     """How many stamps are missing, statuses of the old kind, dates, or anything else."""
     c = F.lower(F.trim(column))

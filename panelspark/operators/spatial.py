@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.density import density_clusters
 from panelspark.operators.polygons import inside, point_in_polygon
 from panelspark.operators.quantiles import join_keys, quantiles
 from panelspark.operators.stats import aggregate_of, modal
-from panelspark.storage import stash
-
 __all__ = ["buffer_counts", "clusters", "inside", "neighbours", "point_in_polygon", "resample", "spread_cells", "winsorize", "winsorize_tiles", "with_halo"]
 
 
@@ -76,24 +75,9 @@ def buffer_counts(cells: DataFrame, sites: DataFrame, xy: tuple[str, str], other
     return cells.join(n, key, "left").fillna(0, ["n_sites"])
 
 
-def clusters(points: DataFrame, key: str, x: str, y: str, eps: float, max_rounds: int = 100) -> DataFrame:
-    """`key` and `cluster` (its least key) of points linked by steps of at most `eps` (density clustering with one point enough).
-
-    Labels fall to the least of a point's neighbourhood and jump to their label's
-    label, until nothing moves; each round is cut off in the shared folder.
-    """
-    left = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"))
-    right = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"))
-    edges = stash(neighbours(left, right, ("ax", "ay"), ("bx", "by"), eps).select("a", "b"), "edges")
-    label = stash(edges.groupBy("a").agg(F.min("b").alias("l")), "labels")
-    for _ in range(max_rounds):
-        near = edges.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
-        jumped = near.join(label.select(F.col("a").alias("l"), F.col("l").alias("ll")), "l").select("a", F.least("l", "ll").alias("new"))
-        step = stash(jumped.join(label, "a").select("a", F.least("new", "l").alias("l"), (F.col("new") < F.col("l")).alias("moved")), "labels")
-        label = step.drop("moved")
-        if step.filter("moved").isEmpty():
-            return label.select(F.col("a").alias(key), F.col("l").alias("cluster"))
-    raise RuntimeError("clusters did not settle")
+def clusters(points: DataFrame, key: str, x: str, y: str, eps: float) -> DataFrame:
+    """`key` and `cluster` (its least key) of points linked by steps of at most `eps` (density clustering with one point enough)."""
+    return density_clusters(points, key, x, y, eps).drop("kind")
 
 
 def spread_cells(df: DataFrame, by: list[str], order: str) -> DataFrame:

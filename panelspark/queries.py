@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import grid, text, values
-from panelspark.operators import absorb, catalog, panel, polygons, regression, spatial, stats
+from panelspark.operators import absorb, catalog, density, panel, polygons, regression, spatial, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -637,6 +637,49 @@ def q_dbscan(spark, d):
     return spatial.clusters(pts, "k", "x", "y", 40.0)
 
 
+@query(
+    """WITH RECURSIVE p AS (SELECT o_orderkey AS k, (o_orderkey * 37 % 997)::DOUBLE AS x, (o_orderkey * 91 % 1009)::DOUBLE AS y, o_orderpriority AS kind FROM orders WHERE o_orderkey % 10 < 3 OR o_orderkey * 37 % 997 < 40),
+    e AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON abs(a.x - b.x) <= 9 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 81),
+    c AS (SELECT a AS k FROM e GROUP BY a HAVING count(*) >= 4), l AS (SELECT a, b FROM e WHERE a IN (FROM c) AND b IN (FROM c)),
+    r AS (SELECT k AS a, k AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b WHERE l.b > r.a),
+    m AS (SELECT b AS k, min(a) AS cluster FROM r GROUP BY b),
+    z AS (SELECT k, cluster, 'core' AS kind FROM m UNION ALL SELECT p.k, min(m.cluster), CASE WHEN min(m.cluster) IS NULL THEN 'noise' ELSE 'border' END FROM p LEFT JOIN e ON e.a = p.k LEFT JOIN m ON m.k = e.b WHERE p.k NOT IN (FROM c) GROUP BY p.k)
+    SELECT k, cluster, kind FROM z"""
+)
+def q_density_clusters(spark, d):
+    """Core, border and noise points; a strip of the plane is dense."""
+    k = F.col("o_orderkey")
+    pts = _t(spark, d, "orders").filter((k % 10 < 3) | (k * 37 % 997 < 40)).select(k.alias("k"), (k * 37 % 997).cast("double").alias("x"), (k * 91 % 1009).cast("double").alias("y"))
+    return density.density_clusters(pts, "k", "x", "y", 9.0, min_samples=4).select("k", "cluster", "kind")
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT s_suppkey AS k, (s_suppkey * 53 % 997)::DOUBLE AS x, (s_suppkey * 29 % 641)::DOUBLE AS y, s_nationkey % 3 AS kind FROM supplier),
+    e AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS k, min(b) AS cluster FROM r GROUP BY a)
+    SELECT cluster, round(avg(x), 4) AS cx, round(avg(y), 4) AS cy, count(*) AS n, count_if(kind = 0)::BIGINT AS n_0, count_if(kind = 1)::BIGINT AS n_1, count_if(kind = 2)::BIGINT AS n_2 FROM p JOIN c USING (k) GROUP BY cluster"""
+)
+def q_cluster_summary(spark, d):
+    """Clusters of suppliers with their centroids and how many of each kind they have."""
+    s = F.col("s_suppkey")
+    pts = _t(spark, d, "supplier").select(s.alias("k"), (s * 53 % 997).cast("double").alias("x"), (s * 29 % 641).cast("double").alias("y"), (F.col("s_nationkey") % 3).cast("string").alias("kind"))
+    joined = pts.join(spatial.clusters(pts, "k", "x", "y", 40.0), "k")
+    return density.cluster_summary(joined, "x", "y", "kind", ["0", "1", "2"]).select("cluster", _r("cx"), _r("cy"), "n", "n_0", "n_1", "n_2")
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT o_orderpriority AS g, o_orderkey AS k, floor(o_totalprice)::BIGINT AS s, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS i FROM orders),
+    r AS (SELECT g, k, i, s AS used, 1 AS n, 0 AS batch FROM o WHERE i = 1 UNION ALL
+      SELECT o.g, o.k, o.i, CASE WHEN r.used + o.s > 1500000 OR r.n >= 12 THEN o.s ELSE r.used + o.s END, CASE WHEN r.used + o.s > 1500000 OR r.n >= 12 THEN 1 ELSE r.n + 1 END,
+        r.batch + CASE WHEN r.used + o.s > 1500000 OR r.n >= 12 THEN 1 ELSE 0 END FROM r JOIN o ON o.g = r.g AND o.i = r.i + 1)
+    SELECT g, k, batch::INTEGER AS batch FROM r"""
+)
+def q_greedy_batches(spark, d):
+    """Orders of a priority in batches of 12, or of 1.5 million in value."""
+    o = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("k"), F.floor("o_totalprice").alias("s"))
+    return catalog.batches(o, "k", "s", 1_500_000, 12, "g").select("g", "k", "batch")
+
+
 # --- regression ---------------------------------------------------------------
 
 
