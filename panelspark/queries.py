@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import grid, text, values
-from panelspark.operators import absorb, catalog, density, panel, polygons, regression, spatial, stats
+from panelspark.operators import absorb, catalog, density, panel, polygons, regression, spatial, stats, warp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -609,6 +609,22 @@ def q_rasterize_touched(spark, d):
     return polygons.rasterize(_areas(spark, d), 1.0, all_touched=True, overlap="last")
 
 
+_COARSE = "(SELECT year, r, c, avg(q) AS v FROM (SELECT year(l_shipdate)::INTEGER AS year, l_orderkey % 40 AS r, l_partkey % 50 AS c, l_quantity AS q FROM lineitem) GROUP BY ALL HAVING count(*) < 9)"
+
+
+@query(
+    f"""WITH s AS {_COARSE}, t AS (SELECT i // 70 AS row, i % 70 AS col, 0.3::DOUBLE + (i // 70) * 0.65::DOUBLE AS y, 1.1::DOUBLE + (i % 70) * 0.71::DOUBLE AS x FROM range(4200) k(i)),
+    n AS (SELECT row, col, floor(y)::BIGINT + a AS r, floor(x)::BIGINT + b AS c, (1 - abs(y - floor(y) - a)) * (1 - abs(x - floor(x) - b)) AS w FROM t, range(2) p(a), range(2) q(b))
+    SELECT year, row, col, round(sum(w * v) / sum(w), 8) AS v FROM n JOIN s USING (r, c) GROUP BY year, row, col HAVING sum(w) > 1e-9"""
+)
+def q_warp_bilinear(spark, d):
+    """A grid of 40 x 50 cells with holes on one of 60 x 70, each year."""
+    li = _t(spark, d, "lineitem").select(F.year("l_shipdate").alias("year"), (F.col("l_orderkey") % 40).alias("row"), (F.col("l_partkey") % 50).alias("col"), F.col("l_quantity").alias("q"))
+    means = li.groupBy("year", "row", "col").agg(F.avg("q").alias("v"), F.count(F.lit(1)).alias("n")).filter("n < 9")
+    out = warp.warp(means, grid.GridSpec(0, 0, 1, 1, 40, 50), grid.GridSpec(0.3, 1.1, 0.65, 0.71, 60, 70), ["v"], by=("year",))
+    return out.select("year", "row", "col", _r("v", 8))
+
+
 @query(
     f"""WITH {_AREAS}, tiles AS (SELECT a.range AS ix, b.range AS iy, c.range AS year FROM range(10) a, range(15) b, range(5) c),
     met AS (SELECT ix, iy, year, id FROM tiles JOIN edges e USING (year) WHERE {_through('7.0 * iy', '7.0 * iy + 7', '7.0 * ix', '7.0 * ix + 7')}),

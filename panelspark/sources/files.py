@@ -74,3 +74,9 @@ def commit_text(spark: SparkSession, path: str, version: int, text: str) -> bool
             return False
         raise
     return True
+
+
+def age(spark: SparkSession, path: str, now: float) -> float:
+    """Seconds since a file or folder was changed."""
+    fs, target = _fs(spark, path)
+    return now - fs.getFileStatus(target).getModificationTime() / 1000
