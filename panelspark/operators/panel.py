@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from panelspark.operators.ranks import placed
 
 
-def _equal(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def full_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join in which null keys match null keys; an equi sort-merge join all the same."""
-    merged = [F.coalesce(left[k], right[k]).alias(k) for k in keys]
-    own = [left[c] for c in left.columns if c not in keys] + [right[c] for c in right.columns if c not in keys]
-    return left.join(right, _equal(left, right, keys), "full").select(*merged, *own)
+    # Names of its own for the right side: both may come from one table.
+    values = [c for c in right.columns if c not in keys]
+    other = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"__v{i}") for i, c in enumerate(values)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    merged = [F.coalesce(F.col(k), F.col(f"__k{i}")).alias(k) for i, k in enumerate(keys)]
+    return left.join(other, same, "full").select(*merged, *[F.col(c) for c in left.columns if c not in keys], *[F.col(f"__v{i}").alias(c) for i, c in enumerate(values)])
 
 
 def combine(tables: list[DataFrame], index: list[str], policy: str = "progressive") -> DataFrame:
@@ -37,18 +36,34 @@ def combine(tables: list[DataFrame], index: list[str], policy: str = "progressiv
         keys = [k for k in index if k in left.columns and k in right.columns]
         if not keys:
             raise ValueError("two tables without a common index column")
-        return full_join(left.alias("l"), right.alias("r"), keys)
+        return full_join(left, right, keys)
 
     return reduce(step, tables)
 
 
-def update_merge(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def seeded(seed: DataFrame, tables: list[DataFrame], index: list[str], missing: float | None = 0.0) -> DataFrame:
+    """A row for each (id, year) of `seed` and of the tables, all of which have the whole `index`: full outer joins from the seed on.
+
+    Missing values become `missing` (None: stay), and rows come by index columns first, then table by table.
+    """
+    lacking = [t.columns for t in tables if not set(index) <= set(t.columns)]
+    if lacking:
+        raise ValueError(f"a table without {index}: {lacking[0]}")
+    out = combine([seed.select(*index).distinct(), *tables], index)
+    values = [c for c in out.columns if c not in index]
+    out = out.select(*index, *values)
+    return out if missing is None or not values else out.fillna(missing, values)
+
+
+def update_merge(base: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
     """`base` with the columns of `new` in place of its own of that name; never more rows.
 
-    Of several new rows of a key the least counts, column by column in order.
+    Of several new rows of a key the least counts, column by column in order (by its JSON, where a
+    column has no order), or that of the least `order`.
     """
     values = [c for c in new.columns if c not in keys]
-    once = new.groupBy(*keys).agg(F.min(F.struct(*values)).alias("__v")).select(*keys, *[F.col("__v")[c].alias(c) for c in values]) if values else new.distinct()
+    least = F.min_by(F.struct(*values), order if order is not None else F.to_json(F.struct(*values))) if order is not None or any("map<" in new.schema[c].dataType.simpleString() for c in values) else F.min(F.struct(*values))
+    once = new.groupBy(*keys).agg(least.alias("__v")).select(*keys, *[F.col("__v")[c].alias(c) for c in values]) if values else new.distinct()
     kept = base.drop(*[c for c in new.columns if c not in keys])
     right = once.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in new.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])

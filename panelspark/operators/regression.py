@@ -306,7 +306,8 @@ def cluster_bootstrap(df: DataFrame, y: str, x: list[str], cluster: str, draws:
     k = len(names)
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
     cols = [*names, y]
-    own = clean.groupBy(cluster).agg(*[F.sum(_col(cols[i]) * _col(cols[j])).alias(f"g{i}_{j}") for i, j in pairs])
+    centre = _means(clean, [*x, y])
+    own = clean.groupBy(cluster).agg(*[F.sum(_col(cols[i], centre) * _col(cols[j], centre)).alias(f"g{i}_{j}") for i, j in pairs])
     drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = F.pmod(F.xxhash64(cluster, "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     weight = sum((F.when(u >= float(c), 1.0).otherwise(0.0) for c in cuts), F.lit(0.0))
@@ -316,7 +317,8 @@ def cluster_bootstrap(df: DataFrame, y: str, x: list[str], cluster: str, draws:
         g = np.zeros((k + 1, k + 1))
         for i, j in pairs:
             g[i, j] = g[j, i] = r[f"g{i}_{j}"]
-        out.append(np.linalg.lstsq(g[:k, :k], g[:k, k], rcond=None)[0])
+        beta = np.linalg.lstsq(g[:k, :k], g[:k, k], rcond=None)[0]
+        out.append(_uncentre(names, beta, np.zeros((k, k)), centre, y)[0])
     return np.array(out)
 
 

@@ -53,15 +53,19 @@ def prepare(source: Source, plan: Assembly) -> DataFrame:
     return named
 
 
-def assemble(plan: Assembly) -> DataFrame:
-    """The panel: a null-safe full join of all sources, filled, with coarser keys, in a fixed column order."""
-    panel = combine([prepare(s, plan) for s in plan.sources], plan.index, plan.policy)
-    for s in plan.sources:
+def assemble(plan: Assembly, only: list[str] | None = None) -> DataFrame:
+    """The panel: a null-safe full join of all sources (or those named in `only`, in the plan's order), filled, with coarser keys, in a fixed column order."""
+    sources = [s for s in plan.sources if only is None or s.name in only]
+    missing = set(only or []) - {s.name for s in sources}
+    if missing or not sources:
+        raise ValueError(f"no source {', '.join(sorted(missing)) or 'at all'}")
+    panel = combine([prepare(s, plan) for s in sources], plan.index, plan.policy)
+    for s in sources:
         if s.fill is not None:
             panel = fill(panel, s.fill if isinstance(s.fill, dict) else {v: s.fill for v in s.values}, f"{s.name}_")
     for name, factor in plan.derived.items():
         panel = panel.withColumn(name, derived_cell(F.col("pixel_id"), plan.grid.tile, factor))
-    return order_columns(panel, plan.index, list(plan.derived), [f"{s.name}_" for s in plan.sources])
+    return order_columns(panel, plan.index, list(plan.derived), [f"{s.name}_" for s in sources])
 
 
 def update(panel: DataFrame, plan: Assembly, name: str) -> DataFrame:

@@ -563,6 +563,34 @@ def q_buffer_count_all(spark, d):
     return spatial.buffer_counts(_points(spark, d), sites, ("x", "y"), ("sx", "sy"), 5.0, "k").select("k", "n_sites")
 
 
+@query(
+    f"""WITH p AS (SELECT o_orderkey AS k, (o_orderkey * 37 % 101)::DOUBLE AS x, (o_orderkey * 91 % 67)::DOUBLE AS y FROM orders)
+    SELECT k, id FROM p, (VALUES {_EDGES}) e(id, i, ax, ay, bx, by_) GROUP BY k, id
+    HAVING sum(CASE WHEN (ay > y) <> (by_ > y) AND x < (bx - ax) * (y - ay) / nullif(by_ - ay, 0) + ax THEN 1 ELSE 0 END) % 2 = 1
+      OR bool_or((bx - ax) * (y - ay) = (by_ - ay) * (x - ax) AND x BETWEEN least(ax, bx) AND greatest(ax, bx) AND y BETWEEN least(ay, by_) AND greatest(ay, by_))"""
+)
+def q_pip_boundary(spark, d):
+    """Points of a whole-numbered grid in polygons of whole-numbered corners: those on an edge count."""
+    k = F.col("o_orderkey")
+    pts = _t(spark, d, "orders").select(k.alias("k"), (k * 37 % 101).cast("double").alias("x"), (k * 91 % 67).cast("double").alias("y"))
+    return spatial.point_in_polygon(pts, _polygons(spark), "x", "y", 10.0, boundary=True).select("k", "id")
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT c_nationkey AS id, y.range AS year FROM customer, range(1993, 1997) y), a AS (SELECT c_nationkey AS id, year(o_orderdate) AS year, count(*)::DOUBLE AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+    b AS (SELECT c_nationkey AS id, 1990 + c_custkey % 9 AS year, sum(c_custkey)::DOUBLE AS keys FROM customer WHERE c_nationkey < 9 GROUP BY ALL)
+    SELECT id, year::BIGINT AS year, coalesce(n, 0) AS n, coalesce(keys, 0) AS keys FROM s FULL JOIN a USING (id, year) FULL JOIN b USING (id, year)"""
+)
+def q_seeded_frame(spark, d):
+    """Nations and years as a seed; counts of orders and sums of keys join it, and bring rows of their own."""
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("id"))
+    seed = c.select("id").distinct().withColumn("year", F.explode(F.sequence(F.lit(1993), F.lit(1996)))).withColumn("year", F.col("year").cast("long"))
+    orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.year("o_orderdate").cast("long").alias("year"))
+    a = orders.join(c, "key").groupBy("id", "year").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    b = c.filter("id < 9").groupBy("id", (F.lit(1990) + F.col("key") % 9).cast("long").alias("year")).agg(F.sum("key").cast("double").alias("keys"))
+    return panel.seeded(seed, [a, b], ["id", "year"])
+
+
 #: Corners of a supplier's area, from its place (x0, y0) and two numbers of its own (u, w).
 _CORNERS = [("0.0", "0.0"), ("3.3 + u", "0.7"), ("1.9", "1.6"), ("4.1", "3.9 + w"), ("-1.6", "2.4")]
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.values import unpack
+from panelspark.operators.panel import resolve_column
 
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
@@ -19,6 +20,14 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, wh
     return df.select(*columns) if columns else df
 
 
+def resolve(df: DataFrame, candidates: list[str], keys: tuple[str, ...] = ()) -> str:
+    """The column that the candidates name (see `resolve_column`); none is an error."""
+    found = resolve_column(df, candidates, keys)
+    if found is None:
+        raise ValueError(f"none of {candidates} among {df.columns}")
+    return found
+
+
 def csv(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     df = spark.read.csv(path, header=True, inferSchema=True, sep=sep, encoding=encoding)
     return df.select(*columns) if columns else df
