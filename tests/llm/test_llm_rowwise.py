@@ -5,7 +5,9 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -385,3 +387,49 @@ def test_chats_quote_passages(spark):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_chats_by_sql(spark):
+    """One-word, nested, wrapped and repeated quotes, sibling branches and a null conversation, against the SQL."""
+    rng = random.Random(7)
+    lines = ["Yes.", "Is it?", "The cat is on the mat, yes sir.", "Why?", "I agree with this plan", "plan", "So be it", "yes sir"]
+    rows = []
+    for conv in (1, 2, None, -(2**63)):
+        said: list[str] = []
+        for turn in range(14):
+            parts = []
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                body = rng.choice([*said, *lines]) if said else rng.choice(lines)
+                quoted = [x for x in body.split("\n") if x][: rng.randint(1, 3)]
+                if rng.random() < 0.3:
+                    quoted = " ".join(quoted).replace(", ", ",\n").split("\n")
+                parts += [rng.choice(["> ", ">", ">> ", " > > "]) + q for q in quoted]
+                parts.append(rng.choice(["", "Ann wrote:", rng.choice(lines)]))
+            own = [rng.choice(lines) for _ in range(rng.randint(1, 3))]
+            rows.append((conv, turn, "user", "\n".join([*parts, *own])))
+            said.append("\n".join(own))
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    # Null does not join in SQL, and stands for itself in the other conversations' place.
+    table = pa.table({"conv_id": pa.array([-1 if r[0] is None else r[0] for r in rows], pa.int64()), "turn": pa.array([r[1] for r in rows], pa.int64()), "role": [r[2] for r in rows], "text": [r[3] for r in rows]})
+    con = duckdb.connect()
+    con.register("conversations", table)
+    rel = con.sql(chat_format.SQL)
+    want = sorted(rel.fetchall(), key=str)
+    names = [c for c in rel.columns]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted((tuple(-1 if c == "conv_id" and r[c] is None else r[c] for c in names) for r in got.collect()), key=str) == want
+    assert sum(r[names.index("n_linked")] for r in want) > 20
+
+
+def test_chats_in_any_shape(spark):
+    """A long chain of replies, and many replies to one message, in reply order."""
+    chain = [(1, 0, "u", "start of it 0")] + [(1, t, "u", f"> start of it {t - 1}\nstart of it {t}") for t in range(1, 40)]
+    star = [(2, 0, "u", "The question")] + [(2, t, "u", f"> The question\nanswer {t}" if t % 2 else f"> answer {t - 1}\ncomment {t}") for t in range(1, 30)]
+    got = chat_format.format_chats(spark.createDataFrame(chain + star, "conv_id long, turn long, role string, text string")).collect()
+    assert [r.turn for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.position)] == list(range(40))
+    assert {r.thread for r in got if r.conv_id == 1} == {0}
+    order = [r.turn for r in sorted((r for r in got if r.conv_id == 2), key=lambda r: r.position)]
+    assert order == list(range(30))
+    nested = [(3, 0, "u", "Root one"), (3, 1, "u", "> Root one\nFirst answer"), (3, 2, "u", "> Root one\nSecond answer"), (3, 3, "u", "> First answer\nBack to the first"), (3, 4, "u", "Other root")]
+    got = chat_format.format_chats(spark.createDataFrame(nested, "conv_id long, turn long, role string, text string")).collect()
+    assert [r.turn for r in sorted(got, key=lambda r: r.position)] == [0, 1, 3, 2, 4]
