@@ -267,7 +267,8 @@ b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w
 ds AS (SELECT doc_id, unnest(range(greatest(1, len(w) - {WORDS - 1}))) AS pos, unnest(list_transform(range(greatest(1, len(w) - {WORDS - 1})), lambda i: array_to_string(w[i + 1 : i + {WORDS}], ' '))) AS sh FROM d WHERE len(w) > 0),
 bs AS (SELECT item_id, greatest(1, len(w) - {WORDS - 1}) AS size, unnest(list_transform(range(greatest(1, len(w) - {WORDS - 1})), lambda i: array_to_string(w[i + 1 : i + {WORDS}], ' '))) AS sh FROM b WHERE len(w) > 0),
 bc AS (SELECT item_id, size, sh, count(*) AS n FROM bs GROUP BY ALL),
-starts AS (SELECT DISTINCT doc_id, item_id, size, pos AS start FROM ds JOIN bc USING (sh)),
+met AS (SELECT doc_id, item_id, size FROM (SELECT DISTINCT doc_id, item_id, size, sh, n FROM ds JOIN bc USING (sh)) GROUP BY ALL HAVING sum(n) >= {SIMILARITY} * size),
+starts AS (SELECT DISTINCT doc_id, item_id, size, pos AS start FROM met JOIN ds USING (doc_id)),
 win AS (SELECT doc_id, item_id, s.size, start, ds.sh, count(*) AS m FROM starts s JOIN ds USING (doc_id) WHERE ds.pos >= start AND ds.pos < start + s.size GROUP BY ALL),
 sim AS (SELECT win.doc_id, win.item_id, win.start, sum(least(m, coalesce(n, 0))) AS shared, sum(m) AS tot, any_value(win.size) AS size
         FROM win LEFT JOIN bc ON bc.item_id = win.item_id AND bc.sh = win.sh GROUP BY ALL)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.llm.common import stash
 
@@ -277,7 +278,7 @@ def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Data
             best = [best_container(parse(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.path if b else None for b in best], pa.string())], ["host", "path"])
 
-    votes = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string")).mapInArrow(run, "host string, path string")
+    votes = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html")).mapInArrow(run, "host string, path string")
     return votes.filter(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -305,17 +306,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ignored; an empty table gives no rows.
     """
     votes = stash(vote(pages, url_col, html_col), "votes")
-    rows = pages.select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), F.col(f"`{html_col}`").cast("string").alias("__html"), host_of(F.col(f"`{url_col}`")).alias("host"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{url_col}`").alias("__url"), F.col(f"`{html_col}`").cast("string").alias("__html"), host_of(F.col(f"`{url_col}`")).alias("host"))
     few = votes.count() <= broadcast_hosts * PATHS_A_HOST
     ranks: dict[str, dict[str, tuple]] = {}
     for r in votes.collect() if few else ():
         ranks.setdefault(r.host, {})[r.path] = (-r.n, len(r.path), r.path)
     shared = pages.sparkSession.sparkContext.broadcast(ranks)
     if few:
-        rows = rows.select(id_col, url_col, "__html", "host")
+        rows = rows.select("__id", "__url", "__html", "host")
     else:
         rows = rows.withColumn("key", F.md5(F.coalesce("__html", F.lit("")).cast("binary")))
-        rows = rows.join(_ranked_paths(rows, votes), ["host", "key"], "left").select(id_col, url_col, "__html", "paths")
+        rows = rows.join(_ranked_paths(rows, votes), ["host", "key"], "left").select("__id", "__url", "__html", "paths")
 
     def text(source: str | None, by) -> str:
         found = parse(source)
@@ -329,8 +330,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [text(x, by) for x, by in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    return rows.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long")
+    schema = T.StructType([*[T.StructField(c, pages.schema[c].dataType) for c in (id_col, url_col)], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return rows.mapInArrow(run, schema)
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

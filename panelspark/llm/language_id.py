@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PROFILE_SIZE = 400
 #: Languages beyond this many would make the broadcast profiles large.
@@ -86,7 +87,9 @@ def learn_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "la
     rows = train.filter(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     summed = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return summed.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < profile_size).select("lang", "gram", "rank")
+    # A limit on row_number() itself lets each task drop all but its first profile_size n-grams of a language before they meet.
+    first = summed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= profile_size)
+    return first.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", profile_size: int = PROFILE_SIZE) -> DataFrame:
@@ -127,8 +130,8 @@ def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_c
             made = [one(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [id_col, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(f"`{text_col}`").cast("string")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

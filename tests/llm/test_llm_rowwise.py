@@ -433,3 +433,25 @@ def test_chats_in_any_shape(spark):
     nested = [(3, 0, "u", "Root one"), (3, 1, "u", "> Root one\nFirst answer"), (3, 2, "u", "> Root one\nSecond answer"), (3, 3, "u", "> First answer\nBack to the first"), (3, 4, "u", "Other root")]
     got = chat_format.format_chats(spark.createDataFrame(nested, "conv_id long, turn long, role string, text string")).collect()
     assert [r.turn for r in sorted(got, key=lambda r: r.position)] == [0, 1, 3, 2, 4]
+
+
+def test_odd_column_names(spark):
+    """Names with dots, and those that the operators use themselves."""
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en", "x"), (2, "der hund und die katze", "de", "y"), (3, None, "de", "z"), (4, "der der der", None, "z")], "`the.id` long, `a.text` string, `rank` string, gram string")
+    profiles = language_id.learn_profiles(docs, "a.text", "rank")
+    got = language_id.predict(docs.unionAll(docs.limit(1)), profiles, "the.id", "a.text").collect()
+    assert sorted((r["the.id"], r.lang_pred) for r in got) == [(1, "en"), (1, "en"), (2, "de"), (3, "und"), (4, "de")]
+    assert language_id.predict(docs.limit(0), profiles, "the.id", "a.text").collect() == []
+    longest = spark.createDataFrame([(9, "der hund und die katze " * 40_000)], "`the.id` long, `a.text` string")
+    assert language_id.predict(longest, profiles, "the.id", "a.text").first().lang_pred == "de"
+    html = "<html><body><article><p>One text of some length, which stands here.</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "http://a.b/c", html, "n"), (2, None, None, "m")], "`p.id` long, host string, `the.html` string, path string")
+    for hosts in (1000, 0):
+        out = html_extract.extract(pages, "p.id", "host", "the.html", broadcast_hosts=hosts)
+        assert out.columns == ["p.id", "host", "text", "n_chars"]
+        assert sorted((r["p.id"], r["host"], r.text) for r in out.collect()) == [(1, "http://a.b/c", "One text of some length, which stands here."), (2, None, "")]
+
+
+def test_profiles_are_cut_before_they_meet(spark):
+    docs = spark.createDataFrame([("a b c", "x")], "text string, lang string")
+    assert "WindowGroupLimit" in language_id.learn_profiles(docs)._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,9 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -339,3 +341,26 @@ def test_columns_of_any_name_pass_through(spark, sf):
     dotted = docs.withColumnsRenamed({"doc_id": "the.id", "text": "the.text"})
     assert line_dedup.dedup_lines(dotted, "the.id", "the.text").count() == quality_rules.quality(dotted, "the.text").count() == 5
     assert jaccard_join.near_duplicates(dotted, "the.id", "the.text").count() == 5
+
+
+def test_leaks_of_edited_copies_by_sql(spark):
+    """Copies with words changed, put in and taken out, at any place of a text: items, starts and similarities as the SQL has them over all windows."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    items = [[word() for _ in range(rng.choice([8, 20, 33, 60, 110]))] for _ in range(25)]
+    texts = []
+    for i in range(120):
+        own = list(items[i % 25])
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.choice([0, 1])] = [word()] if rng.random() < 0.7 else []
+        texts.append(" ".join([*(word() for _ in range(rng.randint(0, 40))), *own, *(word() for _ in range(rng.randint(0, 40)))]))
+    bench = [(i, " ".join(x)) for i, x in enumerate(items)]
+    got = decontaminate.leaks(table(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).select("doc_id", "item_id", "start", "similarity")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    con.register("benchmark", pa.table({"item_id": [b[0] for b in bench], "text": [b[1] for b in bench]}))
+    rel = con.sql(decontaminate.SQL)
+    at = [rel.columns.index(c) for c in ("doc_id", "item_id", "start", "similarity")]
+    want = sorted(tuple(r[i] for i in at) for r in rel.fetchall())
+    assert sorted((r.doc_id, r.item_id, r.start, round(r.similarity, 6)) for r in got.collect()) == want and len(want) > 40
