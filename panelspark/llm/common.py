@@ -17,7 +17,7 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Rows of ids or keys (8 to 16 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 2_000_000
 #: Rows of ids, keys and counts in a file of an intermediate table.
-ROWS_A_FILE = 250_000
+ROWS_A_FILE = 50_000
 #: Texts that a Python worker takes from an Arrow batch at once.
 BATCH_ROWS = 500
 
