@@ -1004,3 +1004,6 @@ def q_align_grids(spark, d):
 def q_missing_shares(spark, d):
     li = _t(spark, d, "lineitem").select(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount")).alias("v"))
     return stats.missing_shares(li, ["v"])
+
+
+import panelspark.queries_more  # noqa: E402, F401
