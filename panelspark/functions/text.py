@@ -27,9 +27,13 @@ def tile_file(name: Column) -> dict[str, Column]:
     return {"year": pick(F.substring(date, 2, 4)), "day": pick(F.substring(date, 6, 3)), "h": pick(F.substring(cell, 2, 2)), "v": pick(F.substring(cell, 5, 2))}
 
 
-def bounded_year(c: Column, low: int, high: int) -> Column:
-    """The first four-digit number from `low` to `high`."""
-    return F.get(F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"(\d{4})"), 1), lambda x: x.cast("int")), lambda y: y.between(low, high)), F.lit(0))
+def bounded_year(c: Column, low: int, high: int, delimited: bool = False) -> Column:
+    """The first four-digit number from `low` to `high`; with `delimited` first one that stands between delimiters or ends, if there is one."""
+
+    def first(pattern: str) -> Column:
+        return F.get(F.filter(F.transform(F.regexp_extract_all(c, F.lit(pattern), 1), lambda x: x.cast("int")), lambda y: y.between(low, high)), F.lit(0))
+
+    return F.coalesce(first(r"(?<![^_./\\-])(\d{4})(?![^_./\\-])"), first(r"(\d{4})")) if delimited else first(r"(\d{4})")
 
 
 def has_year(c: Column) -> Column:

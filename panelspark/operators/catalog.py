@@ -10,7 +10,7 @@ from panelspark.functions.text import file_date, status_category
 from panelspark.operators.batching import batches
 
 __all__ = [
-    "SCHEMA", "add", "batches", "build", "by_year", "migrate", "modern_status", "next_jobs", "pending", "preferred", "stamp_census", "sync_advice", "totals", "update_status",
+    "SCHEMA", "add", "batches", "build", "by_year", "full_directories", "migrate", "modern_status", "next_jobs", "pending", "pick", "preferred", "presence_advice", "stamp_census", "sync_advice", "totals", "update_status",
 ]
 
 SCHEMA = T.StructType(
@@ -85,6 +85,25 @@ def preferred(files: DataFrame, by: list[str], extension: str, order: list[str])
     return files.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
 
 
+def pick(rows: DataFrame, column: str, wanted: object | None, order: str) -> DataFrame:
+    """One row: the first with the wanted value, else the first, by `order`. A top-1, not a sort."""
+    first = F.coalesce(F.col(column) == F.lit(wanted), F.lit(False)) if wanted is not None else F.lit(False)
+    return rows.orderBy(F.desc(first), order).limit(1)
+
+
+def full_directories(files: DataFrame, path: str, least: int, ending: str = "") -> DataFrame:
+    """`directory` and `n_files` of directories with `least` files or more whose names have the ending."""
+    own = files.filter(F.endswith(F.lower(path), F.lit(ending.lower()))) if ending else files
+    counts = own.groupBy(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("directory")).agg(F.count(F.lit(1)).alias("n_files"))
+    return counts.filter(F.col("n_files") >= least)
+
+
+def presence_advice(pairs: DataFrame) -> DataFrame:
+    """`advice` for (local_exists, remote_exists): only whether there is an index counts."""
+    a, b = F.coalesce("local_exists", F.lit(False)), F.coalesce("remote_exists", F.lit(False))
+    return pairs.withColumn("advice", F.when(a & b, "compare").when(a, "push").when(b, "pull").otherwise("none"))
+
+
 def sync_advice(pairs: DataFrame) -> DataFrame:
     """`advice` for (local_files, remote_files, local_time, remote_time): more files win, then the later time."""
     lf, rf, lt, rt = (F.col(c) for c in ("local_files", "remote_files", "local_time", "remote_time"))

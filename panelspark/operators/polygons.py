@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.panel import explode_years
+
 #: Share of a bucket by which an edge's way is widened, for what floating point rounds off.
 _SLACK = 1e-9
 
@@ -121,6 +123,13 @@ def rasterize(polygons: DataFrame, step: float, all_touched: bool = False, overl
     return found.select("row", "col", "id")
 
 
+def rasterize_panel(polygons: DataFrame, spells: DataFrame, step: float, years: tuple[int, int], all_touched: bool = False) -> DataFrame:
+    """`row`, `col`, `year` and `n`: how many spells (id, start, end; an open end is the last year) a cell's polygons have in each year of the range. Cells without one have no row."""
+    cells = rasterize(polygons, step, all_touched)
+    active = explode_years(spells.select("id", "start", "end"), F.col("start"), F.col("end"), *years).groupBy("id", "year").agg(F.count(F.lit(1)).alias("n"))
+    return cells.join(active, "id").groupBy("row", "col", "year").agg(F.sum("n").alias("n"))
+
+
 def _meet(a: str, b: str) -> Column:
     """Whether two segments have a point in common (ends included)."""
 

@@ -99,6 +99,19 @@ def memory_text(text: str, share: float) -> str:
     return f"{max(1, int(float(m[1]) * share))}{m[2].upper()}B"
 
 
+def memory_gb(text: str) -> float:
+    """`112GB`, `1.5 TB` and the like in gigabytes; a number without a unit is none."""
+    m = re.fullmatch(r"\s*([\d.]+)\s*([KMGT])i?B\s*", text, re.I)
+    if not m:
+        raise ValueError(f"no memory size: {text}")
+    return float(m[1]) * 1024.0 ** ("KMGT".index(m[2].upper()) - 2)
+
+
+def partition_for(memory: str, explicit: str | None = None, names: tuple[str, str] = ("scicore", "bigmem"), bound: float = 256.0) -> str:
+    """The queue for a job: the one asked for, else the large one from `bound` gigabytes on."""
+    return explicit or names[memory_gb(memory) >= bound]
+
+
 def model_order(rows: DataFrame, column: str = "order") -> DataFrame:
     """Rows whose order is a number, in that order."""
     number = F.col(column).cast("string").try_cast("double")

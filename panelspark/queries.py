@@ -653,6 +653,28 @@ def q_warp_bilinear(spark, d):
     return out.select("year", "row", "col", _r("v", 8))
 
 
+@query(
+    f"""WITH {_AREAS}, spells AS (SELECT l_suppkey AS id, year(l_shipdate) AS a, CASE WHEN l_linenumber % 3 > 0 THEN year(l_shipdate) + l_linenumber END AS b FROM lineitem WHERE l_quantity > 45),
+    active AS (SELECT id, y.range::INTEGER AS year, count(*) AS n FROM spells JOIN range(1994, 1999) y ON a <= y.range AND (b IS NULL OR b >= y.range) GROUP BY ALL)
+    SELECT row, col, year, sum(n)::BIGINT AS n FROM centres JOIN active USING (id) GROUP BY ALL"""
+)
+def q_indicator_grid(spark, d):
+    """How many spells the suppliers over a cell have in each year."""
+    li = _t(spark, d, "lineitem").filter("l_quantity > 45")
+    spells = li.select(F.col("l_suppkey").alias("id"), F.year("l_shipdate").alias("start"), F.when(F.col("l_linenumber") % 3 > 0, F.year("l_shipdate") + F.col("l_linenumber")).alias("end"))
+    return polygons.rasterize_panel(_areas(spark, d), spells, 1.0, (1994, 1998)).select("row", "col", "year", "n")
+
+
+@query(
+    """WITH p AS (SELECT c_nationkey AS g, quantile_cont(c_acctbal, [0.001, 0.25, 0.5, 0.75, 0.999]) AS p FROM customer GROUP BY 1)
+    SELECT c_custkey AS k, (v < p[1] OR v > p[5]) AS beyond_quantile, (v < p[3] - 0.8 * (p[4] - p[2]) OR v > p[3] + 0.8 * (p[4] - p[2])) AS beyond_iqr FROM (SELECT c_custkey, c_nationkey AS g, c_acctbal AS v FROM customer) JOIN p USING (g)"""
+)
+def q_outlier_tails(spark, d):
+    """Beyond the outer thousandths, or far from the median."""
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("v"))
+    return stats.outlier_flags(c, ["g"], "v", q=0.001, iqr=0.8).select("k", "beyond_quantile", "beyond_iqr")
+
+
 @query(
     f"""WITH {_AREAS}, tiles AS (SELECT a.range AS ix, b.range AS iy, c.range AS year FROM range(10) a, range(15) b, range(5) c),
     met AS (SELECT ix, iy, year, id FROM tiles JOIN edges e USING (year) WHERE {_through('7.0 * iy', '7.0 * iy + 7', '7.0 * ix', '7.0 * ix + 7')}),

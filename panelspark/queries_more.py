@@ -71,6 +71,21 @@ def q_append_new(spark, d):
     return panel.new_rows(o.filter("k % 3 > 0"), batch, "k")
 
 
+@query("SELECT 'd/' || o_custkey % 40 AS directory, count(*) AS n_files FROM orders WHERE o_orderkey % 4 = 2 GROUP BY 1 HAVING count(*) >= 80")
+def q_full_directories(spark, d):
+    """Directories with eighty files of a kind or more."""
+    k = F.col("o_orderkey")
+    o = _t(spark, d, "orders").select(F.concat(F.lit("d/"), (F.col("o_custkey") % 40).cast("string"), F.lit("/"), k.cast("string"), F.when(k % 4 == 2, ".HDF").otherwise(".nc")).alias("path"))
+    return catalog.full_directories(o, "path", 80, ".hdf")
+
+
+@query("SELECT c_custkey AS k, c_acctbal AS v FROM customer ORDER BY coalesce(c_nationkey = 7, false) DESC, c_custkey LIMIT 1")
+def q_preferred_row(spark, d):
+    """The first customer of a wanted nation, or else the first."""
+    c = _t(spark, d, "customer")
+    return catalog.pick(c, "c_nationkey", 7, "c_custkey").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+
+
 # --- texts and dates --------------------------------------------------------------
 
 

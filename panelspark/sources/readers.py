@@ -89,6 +89,22 @@ def dataset(df: DataFrame, columns: list[str], keys: list[str], time: str | None
     return df.select(*[k for k in [*keys, "year"] if k in df.columns], *values)
 
 
+def variable_info(metadata: DataFrame, dataset: str | None = None, variable: str | None = None) -> dict[str, dict[str, Any]]:
+    """What a metadata table (dataset, variable, ...) says, by `dataset.variable`, for a dataset, a variable or both; nothing found is an error."""
+    rows = metadata
+    for column, wanted in (("dataset", dataset), ("variable", variable)):
+        rows = rows if wanted is None else rows.filter(F.col(column) == wanted)
+    found = {f"{r.dataset}.{r.variable}": {k: v for k, v in r.asDict().items() if k not in ("dataset", "variable")} for r in rows.collect()}
+    if not found:
+        raise KeyError(f"no metadata of {dataset or 'any dataset'}, {variable or 'any variable'}")
+    return found
+
+
+def packing_of(metadata: DataFrame, dataset: str) -> dict[str, tuple[float, float, int | None]]:
+    """Scale, offset and fill of each variable of a dataset, as `dataset(packing=...)` takes them."""
+    return {k.split(".", 1)[1]: (float(v.get("scale") or 1.0), float(v.get("offset") or 0.0), v.get("fill")) for k, v in variable_info(metadata, dataset).items()}
+
+
 def _expand(value: Any) -> Any:
     if isinstance(value, dict):
         return {k: _expand(v) for k, v in value.items()}

@@ -35,8 +35,25 @@ def tile_counts(spark: SparkSession, path: str, by: tuple[str, ...] = ("ix", "iy
     return spark.read.parquet(path).groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def valid_tiles(spark: SparkSession, path: str, by: tuple[str, ...] = ("ix", "iy")) -> DataFrame:
+    """`by`, `n_rows`, `n_files`, `n_unread` and `valid` of each tile: valid if it has rows and every file of it can be read.
+
+    Files are listed without being opened; a file that gives no row, since it is broken or has none, counts as unread.
+    Files of no bytes are not listed: a tile of nothing else has no row here.
+    """
+    schema = spark.read.option("ignoreCorruptFiles", "true").parquet(path).schema
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+    read = rows.groupBy(*by, F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    parts = [F.regexp_extract("path", rf"/{k}=([^/]+)/", 1).cast(rows.schema[k].dataType).alias(k) for k in by]
+    there = files.select(*parts, F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    seen = read.select(*by, F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), "n")
+    tiles = there.join(seen, [*by, "name"], "left").groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("n").isNull()).alias("n_unread"))
+    return tiles.withColumn("valid", (F.col("n_rows") > 0) & (F.col("n_unread") == 0))
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """Rewrites a table that may be read by `df`: staged beside it, then renamed."""
+    """Rewrites a table that may be read by `df`: staged beside it, then renamed. Between two renames there is no table; `tables.replace` has no such moment."""
     spark = df.sparkSession
     staged, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     df.write.parquet(staged)
