@@ -28,7 +28,7 @@ def _parser() -> argparse.ArgumentParser:
         if verb != "demean":
             p.add_argument("--datasource", required=verb == "update", action="append" if verb == "create" else "store", help="one of its sources")
     models = domains.add_parser("analysis", help="fit models of a sheet, print and clean their results").add_subparsers(dest="verb", required=True)
-    for verb in ("run", "tables", "summary", "cleanup"):
+    for verb in ("run", "tables", "summary", "cleanup", "relabel"):
         p = models.add_parser(verb)
         p.add_argument("--config", required=True)
         if verb in ("run", "tables"):
@@ -37,7 +37,7 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--again", action="store_true", help="also models that have results")
         if verb == "tables":
             p.add_argument("--formats", nargs="+", default=["text"])
-        if verb == "cleanup":
+        if verb in ("cleanup", "relabel"):
             p.add_argument("--dry-run", action="store_true")
     return top
 
@@ -95,6 +95,9 @@ def _analysis(spark, args) -> None:
             print(text)
     elif args.verb == "summary":
         jobs.summary(spark, own).show(1000, False)
+    elif args.verb == "relabel":
+        for old, new in jobs.relabel(spark, own, args.dry_run):
+            print(f"{old} -> {new}")
     else:
         print("\n".join(jobs.cleanup(spark, own, args.dry_run)))
 

@@ -125,6 +125,59 @@ def summary(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     return names.join(have, "model_name", "left").fillna(0, ["n_results"]).orderBy("model_name")
 
 
+def labels_of(config: dict[str, Any], formula_text: str, where: str | None, source: str, cluster: str | None) -> dict[str, str]:
+    """What a result's own formula, condition, table and cluster mean in the configuration's labels; an unknown one is an error."""
+    parsed = formula.parse(formula_text)
+    effect = [label for label, terms in config["effects"].values() if sorted(terms) == sorted(parsed.effects)]
+    place = [(name, years) for name, (table, years) in config["sources"].items() if table == source]
+    cluster = cluster or (parsed.cluster[0] if parsed.cluster else None)
+    clusters = [label for label, column in config["clusters"].values() if column == cluster] if cluster else [""]
+    for what, found in (("effects", effect), ("source", place), ("cluster", clusters)):
+        if not found:
+            raise ValueError(f"no label for the {what} of {formula_text!r} on {source}")
+    low, high = specs.temporal_extent(where or "")
+    years = place[0][1] if low is None or high is None else f"{low}-{high}"
+    return {"fixed_effects": effect[0], "resolution": place[0][0], "temporal_extent": years, "clustering": clusters[0]}
+
+
+def _model_key(text: str) -> tuple:
+    f = formula.parse(text)
+    return f.y, tuple(sorted(f.x)), tuple(sorted(f.endog)), tuple(sorted(f.instruments))
+
+
+def relabelled(spark: SparkSession, config: dict[str, Any]) -> list[tuple[str, str]]:
+    """Results that lie elsewhere than the sheet and the labels of today say, and where they belong.
+
+    A result's model is the one of the sheet with its variables and its own condition (without
+    years), the one of its old name if there are several; one without a model is an error.
+    """
+    known: dict[tuple, list[dict[str, Any]]] = {}
+    for spec in model_specs(spark, config):
+        known.setdefault((_model_key(spec["formula"]), specs.without_years(spec["where"] or "")), []).append(spec)
+    out = []
+    for r in results(spark, config["results"]).select("path", "stamp", "analysis_metadata").collect():
+        meta = r.analysis_metadata.asDict()
+        fitting = known.get((_model_key(meta["formula"]), specs.without_years(meta.get("where") or "")), [])
+        named = [s for s in fitting if s["model_name"] == meta["model_name"]]
+        if len(fitting) != 1 and len(named) != 1:
+            raise ValueError(f"{r.path}: {len(fitting)} models of the sheet fit")
+        spec = named[0] if len(named) == 1 else fitting[0]
+        own = labels_of(config, meta["formula"], meta.get("where"), meta["source"], meta.get("cluster"))
+        variant = [spec["model_name"], own["fixed_effects"], own["resolution"], own["temporal_extent"], meta.get("spatial_extent") or specs.FULL_SAMPLE, own["clustering"]]
+        to = f"{config['results']}/{_variant({'variant_path': variant})}/{r.stamp}"
+        if files.bare(to) != files.bare(r.path):
+            out.append((r.path, to))
+    return sorted(out)
+
+
+def relabel(spark: SparkSession, config: dict[str, Any], dry_run: bool = False) -> list[tuple[str, str]]:
+    """Moves results to where `relabelled` says; nothing is moved onto a result that is there."""
+    moves = relabelled(spark, config)
+    for old, new in () if dry_run else moves:
+        files.move(spark, old, new)
+    return moves
+
+
 def cleanup(spark: SparkSession, config: dict[str, Any], dry_run: bool = False) -> list[str]:
     """Removes all results of a variant but the newest; returns them."""
     every = results(spark, config["results"]).select("path", "variant", "stamp")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -80,3 +81,18 @@ def age(spark: SparkSession, path: str, now: float) -> float:
     """Seconds since a file or folder was changed."""
     fs, target = _fs(spark, path)
     return now - fs.getFileStatus(target).getModificationTime() / 1000
+
+
+def bare(path: str) -> str:
+    """A path without the slashes that only spell its scheme."""
+    return re.sub(r"^file:/+", "/", path)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a file or folder, making the folders above its new place; an error where something is there."""
+    fs, target = _fs(spark, to)
+    if fs.exists(target):
+        raise FileExistsError(to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(_fs(spark, path)[1], target):
+        raise OSError(f"{path} could not be moved to {to}")

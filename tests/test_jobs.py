@@ -75,6 +75,21 @@ def test_models_by_command(spark, place, capsys):
     assert abs(two.coefficients.estimates[0] - want.coef[0]) < 1e-9 and abs(two.coefficients.std_errors[0] - want.se[0]) < 1e-9
 
 
+def test_results_move_with_their_labels(spark, place):
+    at, path, config = place
+    own = json.loads(json.dumps(config["analysis"]))
+    before = jobs.results(spark, own["results"]).count()
+    assert jobs.relabelled(spark, own) == []
+    own["effects"]["cell"][0] = "PIX"  # a label has another name today
+    assert len(jobs.relabel(spark, own, dry_run=True)) == 1
+    ((old, new),) = jobs.relabel(spark, own)
+    assert "/CELL/" in old and "/PIX/" in new and jobs.relabelled(spark, own) == []
+    assert jobs.results(spark, own["results"]).count() == before
+    own["effects"] = {"0": ["NO", []]}
+    with pytest.raises(ValueError):
+        jobs.relabelled(spark, own)
+
+
 def test_seeds_maps_and_bootstrap(spark):
     seed = spark.createDataFrame([(1, 2000), (1, 2000), (2, 2000)], "id int, year int")
     t = spark.createDataFrame([(1, 2000, 5.0), (3, 2001, 6.0)], "id int, year int, v double")
