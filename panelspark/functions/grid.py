@@ -43,6 +43,34 @@ class GridSpec:
         """The grid with `cells` more on every side."""
         return replace(self, lat0=self.lat0 - cells * self.lat_step, lon0=self.lon0 - cells * self.lon_step, n_rows=self.n_rows + 2 * cells, n_cols=self.n_cols + 2 * cells)
 
+    def offset(self, other: GridSpec) -> tuple[int, int]:
+        """Rows and columns from this grid's first cell to the other's; an error if the cells of the two do not coincide."""
+        if abs(self.lat_step - other.lat_step) > 1e-12 or abs(self.lon_step - other.lon_step) > 1e-12:
+            raise ValueError("grids of different steps")
+        rows, cols = (other.lat0 - self.lat0) / self.lat_step, (other.lon0 - self.lon0) / self.lon_step
+        if abs(rows - round(rows)) > 1e-6 or abs(cols - round(cols)) > 1e-6:
+            raise ValueError("grids whose cells do not coincide")
+        return round(rows), round(cols)
+
+    def crop(self, row: int, col: int, n_rows: int, n_cols: int) -> GridSpec:
+        """The part of so many cells from a cell on, as far as the grid goes."""
+        r0, c0 = max(0, row), max(0, col)
+        r1, c1 = min(self.n_rows, row + n_rows), min(self.n_cols, col + n_cols)
+        if r1 <= r0 or c1 <= c0:
+            raise ValueError("nothing is left of the grid")
+        return replace(self, lat0=self.lat0 + r0 * self.lat_step, lon0=self.lon0 + c0 * self.lon_step, n_rows=r1 - r0, n_cols=c1 - c0)
+
+    def intersect(self, other: GridSpec) -> GridSpec:
+        """The cells that both grids have."""
+        return self.crop(*self.offset(other), other.n_rows, other.n_cols)
+
+    def union(self, other: GridSpec) -> GridSpec:
+        """The least grid that holds both."""
+        rows, cols = self.offset(other)
+        r0, c0 = min(0, rows), min(0, cols)
+        r1, c1 = max(self.n_rows, rows + other.n_rows), max(self.n_cols, cols + other.n_cols)
+        return replace(self, lat0=self.lat0 + r0 * self.lat_step, lon0=self.lon0 + c0 * self.lon_step, n_rows=r1 - r0, n_cols=c1 - c0)
+
     def tile_for(self, target: float) -> int:
         """A tile size in cells that holds at least one target cell."""
         return max(self.tile, math.ceil(target / abs(self.lat_step)))

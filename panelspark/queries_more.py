@@ -193,3 +193,19 @@ def q_joint_f(spark, d):
     """The Wald F of all coefficients but the intercept."""
     f = regression.ols(_t(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"])
     return spark.createDataFrame([(float(f.n), f.joint_f(), f.stats["r2"])], "n double, f double, r2 double").select("n", _r("f", 2), _r("r2", 8))
+
+
+@query(
+    """WITH p AS (SELECT o_totalprice AS y, o_custkey % 17 AS x, c_nationkey AS n, year(o_orderdate) AS t FROM orders JOIN customer ON c_custkey = o_custkey),
+    k AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY n, t) > 1), w AS (SELECT y - avg(y) OVER g AS y, x - avg(x) OVER g AS x FROM k WINDOW g AS (PARTITION BY n, t)),
+    s AS (SELECT sum(x * y) / sum(x * x) AS b FROM w), d AS (SELECT count(*) - 1 - (SELECT count(*) FROM (SELECT DISTINCT n, t FROM k)) AS df FROM k)
+    SELECT df::DOUBLE AS df, round(b, 3) AS slope, round(sqrt((SELECT sum((y - b * x) * (y - b * x)) FROM w) / df / (SELECT sum(x * x) FROM w)), 3) AS std_error FROM s, d"""
+)
+def q_joint_effect(spark, d):
+    """An effect for each nation and year together, singletons pruned."""
+    from panelspark.plans import formula
+
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n"))
+    o = _t(spark, d, "orders").join(c, "o_custkey").select(F.col("o_totalprice").alias("y"), (F.col("o_custkey") % 17).cast("double").alias("x"), "n", F.year("o_orderdate").alias("t"))
+    f = formula.fit(o, "y ~ x | n^t")
+    return spark.createDataFrame([(float(f.df), float(f.coef[0]), float(f.se[0]))], "df double, slope double, std_error double").select("df", _r("slope", 3), _r("std_error", 3))

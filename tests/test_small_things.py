@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import text
+from panelspark.functions.grid import GridSpec
 from panelspark.operators import catalog
 from panelspark.plans import registry, specs
 from panelspark.sources import readers, sinks
@@ -48,3 +49,14 @@ def test_years_memory_and_choices(spark):
     assert [catalog.pick(rows, "id", w, "o").first().o for w in ("b", "z", None)] == [2, 1, 1]
     pairs = spark.createDataFrame([(True, True), (True, None), (False, True), (None, None)], "local_exists boolean, remote_exists boolean")
     assert [r.advice for r in catalog.presence_advice(pairs).collect()] == ["compare", "push", "pull", "none"]
+
+
+def test_grids_together():
+    a, b = GridSpec(10.0, 0.0, -0.5, 0.5, 20, 10), GridSpec(8.0, 3.0, -0.5, 0.5, 30, 10)
+    both, common = a.union(b), a.intersect(b)
+    assert (both.lat0, both.lon0, both.n_rows, both.n_cols) == (10.0, 0.0, 34, 16) and b.union(a) == both
+    assert (common.lat0, common.lon0, common.n_rows, common.n_cols) == (8.0, 3.0, 16, 4) and b.intersect(a) == common
+    assert a.crop(-2, 8, 5, 5) == GridSpec(10.0, 4.0, -0.5, 0.5, 3, 2) and a.pad(3).crop(3, 3, 20, 10) == a
+    for odd in (GridSpec(10.0, 0.0, -0.25, 0.5, 2, 2), GridSpec(10.1, 0.0, -0.5, 0.5, 2, 2), GridSpec(-90.0, 0.0, -0.5, 0.5, 2, 2)):
+        with pytest.raises(ValueError):
+            a.intersect(odd)
