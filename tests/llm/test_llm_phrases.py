@@ -52,8 +52,11 @@ def texts(seed, count=120):
 
 
 @pytest.mark.parametrize(("seed", "shard_words", "chunk"), [(1, 1_000_000, 2_000_000), (2, 40, 30), (3, 7, 5)])
-def test_phrases_by_hand(spark, seed, shard_words, chunk):
+def test_phrases_by_hand(spark, seed, shard_words, chunk, monkeypatch):
     rows = texts(seed)
+    if seed > 1:  # a filter that lets nearly all pass, and counts looked up by shuffles
+        monkeypatch.setattr(pm, "MAX_BITS", 1 << 6)
+        monkeypatch.setattr(pm, "LOOKUP_ROWS", 0)
     # One very long text, cut into many chunks, with gaps longer than a chunk.
     rows.append(("en", ("a b a b" + " " * 50 + "cc a b, ") * 80))
     for percent in (100, 60):
