@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,10 +52,17 @@ def packed(rows: DataFrame, most: int) -> DataFrame:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of `rows` at most, so that a worker holds few texts at once beside their Arrow form."""
+    """The same rows in batches of `rows` at most, so that a worker holds few texts at once beside their Arrow form.
+
+    At the end of a task's rows the worker gives back what it has freed: it goes on to tasks of other stages.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # not every C library has it
+        trim(0)
 
 
 def free_names(columns: list[str], *wanted: str) -> list[str]:

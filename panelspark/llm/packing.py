@@ -25,7 +25,7 @@ from panelspark.llm.common import partitions, sliced, stash
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 #: Below it every letter's lower case is one letter.
 _PLAIN = "\u0130"
