@@ -107,7 +107,7 @@ def memory_gb(text: str) -> float:
     return float(m[1]) * 1024.0 ** ("KMGT".index(m[2].upper()) - 2)
 
 
-def partition_for(memory: str, explicit: str | None = None, names: tuple[str, str] = ("scicore", "bigmem"), bound: float = 256.0) -> str:
+def partition_for(memory: str, explicit: str | None = None, names: tuple[str, str] = ("normal", "large"), bound: float = 256.0) -> str:
     """The queue for a job: the one asked for, else the large one from `bound` gigabytes on."""
     return explicit or names[memory_gb(memory) >= bound]
 

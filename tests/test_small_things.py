@@ -42,7 +42,7 @@ def test_years_memory_and_choices(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r[0] for r in df.select(text.bounded_year(F.col("n"), 1990, 2040)).collect()] == [1999, 2001, 2003, None, 2010]
     assert [r[0] for r in df.select(text.bounded_year(F.col("n"), 1990, 2040, delimited=True)).collect()] == [2005, 1995, 2003, None, 2010]
-    assert specs.partition_for("112GB") == "scicore" and specs.partition_for("256 GB") == "bigmem" and specs.partition_for("1TB", "own") == "own" and specs.partition_for("0.25TB") == "bigmem"
+    assert specs.partition_for("112GB") == "normal" and specs.partition_for("256 GB") == "large" and specs.partition_for("1TB", "own") == "own" and specs.partition_for("0.25TB") == "large"
     with pytest.raises(ValueError):
         specs.memory_gb("12")
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "o int, id string")
