@@ -80,7 +80,7 @@ def clusters(points: DataFrame, key: str, x: str, y: str, eps: float) -> DataFra
     return density_clusters(points, key, x, y, eps).drop("kind")
 
 
-def spread_cells(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The last row of each cell, by order: the mosaic of overlapping swaths."""
-    w = Window.partitionBy(*by).orderBy(F.desc(order))
+def spread_cells(df: DataFrame, by: list[str], order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The last row of each cell, by order: the mosaic of overlapping swaths. Of rows of one order the first by `ties`."""
+    w = Window.partitionBy(*by).orderBy(F.desc(order), *ties)
     return df.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")

@@ -29,9 +29,15 @@ def q_preferred_files(spark, d):
 
 @query("SELECT l_orderkey % 64 AS r, l_partkey % 64 AS c, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS v FROM lineitem GROUP BY 1, 2")
 def q_mosaic(spark, d):
-    """Overlapping swaths of cells: the last value of each cell."""
-    li = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 64).alias("r"), (F.col("l_partkey") % 64).alias("c"), F.col("l_extendedprice").alias("v"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
-    return spatial.spread_cells(li, ["r", "c"], "o").select("r", "c", "v")
+    """Overlapping swaths of cells: the last value of each cell that has one.
+
+    An order and line number can stand at several rows. Of those the first in the table counts
+    (by file, then place in it), as in the SQL where one thread reads.
+    """
+    v = F.col("l_extendedprice")
+    o = F.when(v.isNotNull(), F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    li = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 64).alias("r"), (F.col("l_partkey") % 64).alias("c"), F.when(o.isNotNull(), v).alias("v"), o.alias("o"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return spatial.spread_cells(li, ["r", "c"], "o", ("file", "row")).select("r", "c", "v")
 
 
 @query("SELECT o_custkey AS k, arg_max(o_orderkey, strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey) AS result FROM orders GROUP BY 1")
