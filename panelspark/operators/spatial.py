@@ -70,9 +70,16 @@ def neighbours(left: DataFrame, right: DataFrame, xy: tuple[str, str], other: tu
 
 
 def buffer_counts(cells: DataFrame, sites: DataFrame, xy: tuple[str, str], other: tuple[str, str], radius: float, key: str) -> DataFrame:
-    """How many sites lie within `radius` of each cell; cells without one have 0."""
-    n = neighbours(cells, sites, xy, other, radius).groupBy(key).agg(F.count(F.lit(1)).alias("n_sites"))
-    return cells.join(n, key, "left").fillna(0, ["n_sites"])
+    """How many sites lie within `radius` of each cell, by `key`; cells without one have 0.
+
+    Places are what meets, not rows: each distinct place of cells is paired with the distinct
+    places of sites near it, which count for as many sites as stand there. Rows of one key
+    add up, and each has their sum.
+    """
+    at = sites.groupBy(*other).agg(F.count(F.lit(1)).alias("__w"))
+    n = neighbours(cells.select(*xy).distinct(), at, xy, other, radius).groupBy(*xy).agg(F.sum("__w").alias("__w"))
+    by_key = cells.select(key, *xy).join(n, list(xy)).groupBy(key).agg(F.sum("__w").alias("n_sites"))
+    return cells.join(by_key, key, "left").fillna(0, ["n_sites"])
 
 
 def clusters(points: DataFrame, key: str, x: str, y: str, eps: float) -> DataFrame:

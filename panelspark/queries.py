@@ -552,7 +552,7 @@ def q_pip_last_wins(spark, d):
 def q_buffer_count(spark, d):
     s = F.col("s_suppkey")
     sites = _t(spark, d, "supplier").select(s.alias("s"), (s * 53 % 100).cast("double").alias("sx"), (s * 29 % 62).cast("double").alias("sy"))
-    return spatial.buffer_counts(_points(spark, d), sites, ("x", "y"), ("sx", "sy"), 5.0, "k").select("k", "n_sites")
+    return spatial.buffer_counts(_points(spark, d), sites, ("x", "y"), ("sx", "sy"), 5.0, "k").select("k", "n_sites").distinct()
 
 
 @query()

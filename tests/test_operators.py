@@ -309,3 +309,32 @@ def test_constant_regressors_are_left_out(spark):
     assert formula.fit(df, "y ~ x + c", drop_constants=True).names == ["Intercept", "x"]
     with pytest.raises(ValueError, match="c"):
         formula.fit(df, "y ~ x + c")
+
+
+def test_buffer_counts_pair_places_not_rows(spark, monkeypatch):
+    """1,000 cells at four places (and one at none), 600 sites at three: places alone are paired; a key twice adds up."""
+    cells = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 4).cast("double").alias("x"), F.lit(0.5).alias("y"), F.lit("own").alias("z"))
+    cells = cells.union(spark.createDataFrame([(1000, None, 0.5, "own"), (3, 0.0, 0.5, "own")], cells.schema))
+    sites = spark.range(600).select((F.col("id") % 3 * 10).cast("double").alias("sx"), F.lit(0.5).alias("sy"))
+    met, plain = [], spatial.neighbours
+
+    def counted(left, right, *rest):
+        met.append((left.filter("x is not null").count(), right.count()))
+        return plain(left, right, *rest)
+
+    monkeypatch.setattr(spatial, "neighbours", counted)
+    got = spatial.buffer_counts(cells, sites, ("x", "y"), ("sx", "sy"), 2.0, "k")
+    assert met == [(4, 3)] and got.columns == ["k", "x", "y", "z", "n_sites"]
+    want = {k: 0 if k % 4 == 3 or k == 1000 else 200 for k in range(1001)} | {3: 200}
+    assert sorted((r.k, r.n_sites) for r in got.collect()) == sorted([*want.items(), (3, 200)])
+
+
+def test_buffer_query_has_a_row_for_each_order(spark, sf, tmp_path):
+    from panelspark.queries import QUERIES
+
+    spark.read.parquet(f"{sf}/supplier.parquet").write.parquet(f"{tmp_path}/supplier.parquet")
+    orders = spark.read.parquet(f"{sf}/orders.parquet").limit(20)
+    orders.union(orders).write.parquet(f"{tmp_path}/orders.parquet")
+    once = {r.k: r.n_sites for r in QUERIES["q_buffer_count"](spark, sf).collect()}
+    twice = QUERIES["q_buffer_count"](spark, str(tmp_path)).collect()
+    assert len(twice) == 20 and all(r.n_sites == 2 * once[r.k] for r in twice)
