@@ -558,9 +558,7 @@ def q_buffer_count(spark, d):
 @query()
 def q_buffer_count_all(spark, d):
     """As `q_buffer_count`; tests hold it against brute force."""
-    s = F.col("s_suppkey")
-    sites = _t(spark, d, "supplier").select(s.alias("s"), (s * 53 % 100).cast("double").alias("sx"), (s * 29 % 62).cast("double").alias("sy"))
-    return spatial.buffer_counts(_points(spark, d), sites, ("x", "y"), ("sx", "sy"), 5.0, "k").select("k", "n_sites")
+    return q_buffer_count(spark, d)
 
 
 @query(

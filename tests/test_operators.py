@@ -329,12 +329,13 @@ def test_buffer_counts_pair_places_not_rows(spark, monkeypatch):
     assert sorted((r.k, r.n_sites) for r in got.collect()) == sorted([*want.items(), (3, 200)])
 
 
-def test_buffer_query_has_a_row_for_each_order(spark, sf, tmp_path):
+@pytest.mark.parametrize("name", ["q_buffer_count", "q_buffer_count_all"])
+def test_buffer_query_has_a_row_for_each_order(spark, sf, tmp_path, name):
     from panelspark.queries import QUERIES
 
     spark.read.parquet(f"{sf}/supplier.parquet").write.parquet(f"{tmp_path}/supplier.parquet")
     orders = spark.read.parquet(f"{sf}/orders.parquet").limit(20)
     orders.union(orders).write.parquet(f"{tmp_path}/orders.parquet")
-    once = {r.k: r.n_sites for r in QUERIES["q_buffer_count"](spark, sf).collect()}
-    twice = QUERIES["q_buffer_count"](spark, str(tmp_path)).collect()
+    once = {r.k: r.n_sites for r in QUERIES[name](spark, sf).collect()}
+    twice = QUERIES[name](spark, str(tmp_path)).collect()
     assert len(twice) == 20 and all(r.n_sites == 2 * once[r.k] for r in twice)
